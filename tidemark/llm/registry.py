@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing
+from . import minhash, mixing, packing
 from .common import table
 
 
@@ -17,5 +17,9 @@ def op10_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op10_source_mixing)}
+def op6_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_minhash_near_dedup, op10_source_mixing)}
 ORACLE: dict[str, str] = {}
