@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing
+from . import minhash, mixing, packing, substrings
 from .common import table
 
 
@@ -17,9 +17,24 @@ def op10_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substrings.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_minhash_near_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_substring_dedup, op6_minhash_near_dedup, op10_source_mixing)}
 ORACLE: dict[str, str] = {}
+
+ORACLE["op4_substring_dedup"] = """
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+firsts AS (SELECT h, min(doc_id) AS f FROM win GROUP BY h),
+late AS (SELECT win.doc_id, win.i FROM win JOIN firsts USING (h) WHERE f < win.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM late),
+words AS (SELECT doc_id, w[p] AS word, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
