@@ -105,14 +105,14 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["source", "size"]].assign(repeats=repeats, picked=fit_budget(sizes, counts, budget))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
-    """(doc_id, source, size, source_size, target, repeats): how often each document enters the mix.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, repeats, *carry): how often each document enters the mix.
 
     size counts the runs of characters other than ASCII white space (null text: 0). Null sources form one
     source; repeated rows are separate documents; documents without words are taken 0 times. The same input
     and seed give the same mix on any partitioning, up to the order of rows equal in doc_id and size.
     """
-    narrow = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    narrow = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry))
     hist = materialise(narrow.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     sources = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = materialise(source_targets(sources, weights))
@@ -126,4 +126,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -
     ranked = salted_rank(narrow, ["source", "size"], seeded, salt_buckets(rows), "_rank")
     joined = ranked.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
     times = F.when(F.col("size") > 0, F.col("repeats") + (F.col("_rank") < F.col("picked")).cast("long")).otherwise(F.lit(0))
-    return joined.select("doc_id", "source", "size", "source_size", "target", times.cast("long").alias("repeats"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", times.cast("long").alias("repeats"), *carry)
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it. Rows equal in all columns are interchangeable."""
+    keys = ["_key_a", "_key_b"]
+    keyed = docs.withColumns({k: F.xxhash64(F.lit(i), *[F.col(c) for c in docs.columns]) for i, k in enumerate(keys)})
+    times = mix(keyed, weights, seed, tuple(keys)).groupBy(*keys).agg(F.sum("repeats").cast("int").alias("_times")).where("_times > 0")
+    joined = keyed.join(materialise(times), keys)
+    one = joined.withColumn("_nth", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0)))).where("_nth = 1")
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -119,3 +119,11 @@ def packed_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, voc
     pieces = token_pieces(docs, capacity, end_id, vocabulary)
     narrow = materialise(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return pack(narrow, capacity)
+
+
+def assemble(placed: DataFrame) -> DataFrame:
+    """(sequence_id, length, ids): the packed sequences themselves, from placed pieces that carry their ids."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    rows = placed.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("parts"))
+    whole = F.aggregate("parts", F.lit(b""), lambda joined, part: F.concat(joined, part["ids"]))
+    return rows.select("sequence_id", "length", whole.alias("ids"))

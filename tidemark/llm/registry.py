@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, substrings
+import corpus_pipeline
+
+from . import minhash, mixing, packing, substrings, toxicity
 from .common import table
 
 
@@ -17,6 +19,10 @@ def op10_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark, sf_dir):
     return substrings.removal_digests(table(spark, sf_dir, "documents"))
 
@@ -25,8 +31,11 @@ def op6_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_substring_dedup, op6_minhash_near_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_substring_dedup, op6_minhash_near_dedup, op10_source_mixing)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 ORACLE["op4_substring_dedup"] = """
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
