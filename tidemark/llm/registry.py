@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import minhash, mixing, packing, substrings, toxicity
+from . import minhash, mixing, packing, quality, substrings, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_source_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
@@ -31,7 +35,7 @@ def op6_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_substring_dedup, op6_minhash_near_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_substring_dedup, op6_minhash_near_dedup, op8_quality, op10_source_mixing)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {}
 if corpus_pipeline.ORACLE_SQL:
