@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import minhash, mixing, packing, quality, substrings, toxicity
+from . import hnsw, kdtree, licenses, minhash, mixing, packing, quality, substrings, tokencount, toxicity
 from .common import table
 
 
@@ -14,10 +14,18 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_hnsw_neighbours(spark, sf_dir):
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_kdtree_top_products(spark, sf_dir):
+    return kdtree.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
@@ -27,15 +35,23 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark, sf_dir):
     return substrings.removal_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark, sf_dir):
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_substring_dedup, op6_minhash_near_dedup, op8_quality, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_license_scan, op4_substring_dedup, op5_token_counts, op6_minhash_near_dedup, op7_hnsw_neighbours, op8_quality, op9_kdtree_top_products, op10_source_mixing)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {}
 if corpus_pipeline.ORACLE_SQL:
@@ -51,3 +67,12 @@ words AS (SELECT doc_id, w[p] AS word, p FROM (SELECT doc_id, w, unnest(range(1,
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
+
+ORACLE["op9_kdtree_top_products"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(embedding) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
