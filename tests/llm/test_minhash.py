@@ -76,6 +76,7 @@ def test_awkward_rows(spark):
 def test_large_group_of_near_copies(spark, drift, monkeypatch):
     """Copies that each differ from a base, or drift away from one another in a chain."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "FEW", 4)
     rng = np.random.default_rng(drift)
     words = [f"w{i}" for i in range(300)]
     rows, current = [], list(words)

@@ -3,8 +3,9 @@
 Signatures hold the low bits of 80 minima, packed; 20 bands of 4 whole minima give candidates, whose similarity
 is first estimated from bit counts, corrected for chance collisions, and then confirmed on the full shingle
 sets. Documents with equal sets form one class, so copies never meet as pairs. Within a bucket, classes are
-first held against one pivot, the class that shares most buckets; only classes still in different components
-are then compared with one another, block by block. A pair at similarity 0.85 shares no band with a probability
+first held against one pivot, the class that shares most buckets; only classes of a bucket still in different
+components are then compared with one another, where an exact prefix filter over their rarest shingles leaves
+few pairs. A pair at similarity 0.85 shares no band with a probability
 of 4e-7.
 """
 
@@ -18,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import materialise
 from .components import components
@@ -28,6 +30,8 @@ MINIMA, BANDS, BITS = 80, 20, 2
 MARGIN = 0.24
 #: Classes per block when the rest of a bucket is compared.
 BLOCK = 256
+#: Up to so many classes of a key meet in a plain join.
+FEW = 32
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, sig_0 long, sig_1 long, sig_2 long, bands array<long>"
 
 _RNG = np.random.default_rng(20260101)
@@ -148,33 +152,78 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
     return materialise(joined.select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long"))
 
 
-def _rest_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs of members (key, rep, label, n, sig_*) of one bucket with different labels.
+def _shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(rep, shingle): the distinct shingle hashes of each text."""
 
-    A bucket's members are dealt into blocks of about BLOCK by a hash; every two blocks of a bucket meet in one
-    group of at most two blocks' rows, where bit counts rule pairs out before any row is made.
+    def cut(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                grams, at = shingle_sets(part.column(1), width)
+                reps = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(at))))
+                yield pa.RecordBatch.from_arrays([reps, pa.array(grams.view(np.int64))], names=["rep", "shingle"])
+
+    return texts.select("rep", "text").mapInArrow(cut, "rep long, shingle long")
+
+
+def _prefixes(members: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """members (rep, label, n, sig_*) by the shared shingles (key) of their prefixes, with the place of each.
+
+    With shingles in order of frequency among the members, rarest first, two sets over the threshold share one
+    of their first n - ceil(percent * n / 100) + 1. Shingles of one member stand first and match nothing, so a
+    member with enough of them has no link left to find.
     """
-    count = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(materialise(count), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = meets.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "label", "n", "sig_0", "sig_1", "sig_2")
+    shingles = materialise(_shingles(texts.join(members.select("rep"), "rep", "left_semi"), width))
+    common = materialise(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    of_rep = W.partitionBy("rep")
+    shared = shingles.join(common, "shingle").join(members, "rep")
+    shared = shared.withColumn("own", F.col("n") - F.count(F.lit(1)).over(of_rep)).withColumn("nth", F.row_number().over(of_rep.orderBy("df", "shingle")))
+    length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    placed = shared.withColumn("place", F.col("own") + F.col("nth")).where(F.col("place") <= length)
+    return placed.select(F.col("shingle").alias("key"), "place", *members.columns)
+
+
+def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of members (key, place, rep, label, n, sig_*) with one key and different labels.
+
+    Position filter: past their first common shingle, two sets share at most what is left of either, which
+    must reach the overlap that the threshold asks of their sizes. Keys whose members have one label are
+    done. Few members of a key meet in a join; many are dealt into blocks of about BLOCK by a hash, and every
+    two blocks meet in one group of at most two blocks' rows, where positions and bit counts rule pairs out
+    before any row is made.
+    """
+    threshold = percent / 100
+    members = materialise(members)
+    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    keys = materialise(keys.where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), (F.col("size") <= FEW).alias("few")))
+    dealt = materialise(members.join(keys, "key"))
+
+    few = dealt.where("few").drop("few", "blocks")
+    side = lambda s: few.select("key", *[F.col(c).alias(s if c == "rep" else f"{s}_{c}") for c in few.columns if c != "key"])
+    small = side("a").join(side("b"), "key").where("a < b and a_label <> b_label")
+    overlap = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent) - F.lit(1e-9))
+    small = small.where(1 + F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) >= overlap)
+    small = small.where(_likely(threshold, "a", "b")).select("a", "b").distinct()
+
+    many = dealt.where("not few").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    meets = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = meets.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "place", "rep", "label", "n", "sig_0", "sig_1", "sig_2")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["block"] == pdf["i"]], pdf[pdf["block"] == pdf["j"]]
-        out = []
+        out = [np.zeros((0, 2), np.int64)]
         sig = right[["sig_0", "sig_1", "sig_2"]].to_numpy().view(np.uint64)
-        n, label, rep = (right[c].to_numpy() for c in ("n", "label", "rep"))
-        for row in left.itertuples(index=False):
+        n, label, rep, place = (right[c].to_numpy() for c in ("n", "label", "rep", "place"))
+        for row in left.itertuples(index=False) if pdf["label"].nunique() > 1 else ():
             x = sig ^ np.array([row.sig_0, row.sig_1, row.sig_2], np.int64).view(np.uint64)
             differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
             estimate = (1 - differ / MINIMA - 2.0**-BITS) / (1 - 2.0**-BITS)
-            fits = np.minimum(n, row.n) >= (threshold - 1e-9) * np.maximum(n, row.n)
+            fits = 1 + np.minimum(n - place, row.n - row.place) >= np.ceil((n + row.n) * percent / (100 + percent) - 1e-9)
             hit = rep[(label != row.label) & fits & (estimate >= threshold - MARGIN)]
             out.append(np.column_stack((np.minimum(hit, row.rep), np.maximum(hit, row.rep))))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(np.unique(pairs, axis=0), columns=["a", "b"]).astype("int64")
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"]).astype("int64")
 
-    return cells.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    large = cells.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return small.union(large).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
@@ -210,8 +259,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     labelled = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     labelled = materialise(labelled.select("key", "rep", F.coalesce("component", "rep").alias("label")))
     apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rest = labelled.join(materialise(apart), "key").join(classes, "rep")
-    pairs = materialise(_rest_pairs(rest, threshold).join(likely, ["a", "b"], "left_anti"))
+    open_reps = labelled.join(materialise(apart), "key").select("rep", "label").distinct()
+    rest = materialise(open_reps.join(classes, "rep"))
+    pairs = materialise(_rest_pairs(_prefixes(rest, texts, percent, width), percent).join(likely, ["a", "b"], "left_anti"))
     more = _confirm(pairs, texts, percent, width)
     found = materialise(components(links.union(more)))
 
