@@ -10,16 +10,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_any(texts: pd.Series) -> pd.Series:
     """Casefolded and stripped of combining marks, for every script."""
     strip = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t.casefold()) if not unicodedata.combining(c))
     return texts.map(strip, na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def any_list_literal(values: pd.Series) -> pd.Series:
     """Any list literal to its items as text; everything else to an empty list."""
 

@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BEST = (F.desc("score"), F.asc("item_id"))
+
+def best() -> tuple[Column, Column]:
+    return F.desc("score"), F.asc("item_id")
 
 
 def best_first(*keys: str):
-    return W.partitionBy(*keys).orderBy(*BEST)
+    return W.partitionBy(*keys).orderBy(*best())
 
 
 def rounded(scores: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def ranked(scores: DataFrame, key: str = "query_id") -> DataFrame:
     """
     rows = rounded(scores)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(rows.repartitionByRange(parts, F.col(key), *BEST).withColumn("_range", F.spark_partition_id()))
+    dealt = written(rows.repartitionByRange(parts, F.col(key), *best()).withColumn("_range", F.spark_partition_id()))
     if "_range" not in dealt.columns or not rows.sparkSession.conf.get("spark.checkpoint.dir", None):
         return rows.withColumn("rank", F.row_number().over(best_first(key)))
     counts = dealt.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import cleaning, evaluating, modelling, profiling_queries  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
