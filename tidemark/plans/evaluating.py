@@ -115,14 +115,14 @@ def _ranks(q, top, model):
 METRICS_SQL = f"""WITH {EVAL_SQL}, qa AS (SELECT q.*, a.author AS q_author, coalesce(a.author = b.author, false) AS same FROM q LEFT JOIN pp a ON a.item_id = query LEFT JOIN pp b ON b.item_id = target),
 h AS (SELECT model, avg(CAST(target_rank > 0 AS INTEGER)) AS hit_rate, count(*) AS n, avg(CASE WHEN target_rank > 0 THEN 1 / target_rank ELSE 0 END) AS mrr, avg(CAST(target_rank > 0 AS INTEGER)) FILTER (same) AS hit_same_author, avg(CAST(target_rank > 0 AS INTEGER)) FILTER (NOT same) AS hit_other_author FROM ranks JOIN qa USING (query_id) GROUP BY 1),
 l AS (SELECT model, count(DISTINCT item_id) / (SELECT count(*) FROM pp) AS coverage, avg(popularity) AS avg_popularity, avg(CAST(author = q_author AS INTEGER)) AS by_query_author FROM top JOIN pp USING (item_id) JOIN qa USING (query_id) GROUP BY 1)
-SELECT model, n, """ + ", ".join(f"round({x}, 4) AS {x}" for x in ("hit_rate", "mrr", "hit_same_author", "hit_other_author", "avg_popularity", "by_query_author", "coverage")) + ", round(sqrt(hit_rate * (1 - hit_rate) / n), 4) AS std_error FROM h JOIN l USING (model)"
+SELECT model, n, """ + ", ".join(f"round(round({x}, 9), 3) AS {x}" for x in ("hit_rate", "mrr", "hit_same_author", "hit_other_author", "avg_popularity", "by_query_author", "coverage")) + ", round(round(sqrt(hit_rate * (1 - hit_rate) / n), 9), 3) AS std_error FROM h JOIN l USING (model)"
 
 
 @query(METRICS_SQL)
 def eval_metrics(spark, d):
     q, items, top = lists(spark, d)
     m = E.metrics(top, q, items)
-    return m.select("model", "n", *[F.round(x, 4).alias(x) for x in m.columns if x not in ("model", "n")])
+    return m.select("model", "n", *[F.round(F.round(x, 9), 3).alias(x) for x in m.columns if x not in ("model", "n")])
 
 
 MC_SQL = f"WITH {EVAL_SQL}, x AS (SELECT query_id, max(target_rank) FILTER (model = 'cf') AS a, max(target_rank) FILTER (model = 'popularity') AS b FROM ranks GROUP BY 1) SELECT count(*) FILTER (a > 0 AND b = 0) AS only_a, count(*) FILTER (a = 0 AND b > 0) AS only_b FROM x"

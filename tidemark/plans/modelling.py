@@ -97,9 +97,9 @@ def multi_seed_profile(spark, d):
     return M.profiles(seeds(spark), M.tfidf(documents(spark, d))).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"WITH {DOCS_SQL}, {SEEDS_SQL}, {tfidf_sql('d')}, {similar_sql('t', 's')} SELECT query_id, item_id, round(score, 6) AS score FROM s")
+@query(f"WITH {DOCS_SQL}, {SEEDS_SQL}, {tfidf_sql('d')}, {similar_sql('t', 's')} SELECT query_id, item_id, round(score, 4) AS score FROM s")
 def tfidf_similar(spark, d):
-    return M.similar(seeds(spark), M.tfidf(documents(spark, d))).withColumn("score", F.round("score", 6))
+    return R.rounded(M.similar(seeds(spark), M.tfidf(documents(spark, d)))).withColumn("score", F.round("score", 4))
 
 
 @query(f"WITH {DOCS_SQL}, {SEEDS_SQL}, {tfidf_sql('d')}, {similar_sql('t', 's')}, {top_sql('s')}")
@@ -117,9 +117,9 @@ def cf_weights(spark, d):
     return M.reader_postings(interactions(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"WITH {INTER_SQL}, {SEEDS_SQL}, {CF_SQL}, {similar_sql('cw', 's')} SELECT query_id, item_id, round(score, 6) AS score FROM s")
+@query(f"WITH {INTER_SQL}, {SEEDS_SQL}, {CF_SQL}, {similar_sql('cw', 's')} SELECT query_id, item_id, round(score, 4) AS score FROM s")
 def cf_similar(spark, d):
-    return M.similar(seeds(spark), M.reader_postings(interactions(spark, d))).withColumn("score", F.round("score", 6))
+    return R.rounded(M.similar(seeds(spark), M.reader_postings(interactions(spark, d)))).withColumn("score", F.round("score", 4))
 
 
 def cf_scores(spark, d, inter=None, who=None, least=MIN_READERS):
@@ -133,10 +133,10 @@ def cf_recommend(spark, d):
     return listed(cf_scores(spark, d, least=25), spark)
 
 
-@query(f"WITH {BOTH_SQL}, {SEEDS_SQL}, {DENSE_SQL} SELECT query_id, item_id, round(score, 6) AS score FROM dense")
+@query(f"WITH {BOTH_SQL}, {SEEDS_SQL}, {DENSE_SQL} SELECT query_id, item_id, round(score, 4) AS score FROM dense")
 def embedding_similar(spark, d):
     v = vectors(spark, d)
-    return M.dense_similar(M.dense_profiles(seeds(spark), v), v).withColumn("score", F.round("score", 6))
+    return R.rounded(M.dense_similar(M.dense_profiles(seeds(spark), v), v)).withColumn("score", F.round("score", 4))
 
 
 @query(f"WITH {BOTH_SQL}, {SEEDS_SQL}, {DENSE_SQL}, {top_sql('dense')}")
