@@ -37,7 +37,7 @@ TEMPLATES = (
     ("proprietary", "all rights reserved no part of this publication may be reproduced without prior written permission"),
 )
 THRESHOLD = 0.8
-#: A line longer than this is read as blocks of so many words, each begun half a block after the one before.
+#: More words than this, of a line or of a text, are read as blocks of so many, each begun half a block after the one before.
 BLOCK_WORDS = 64
 
 #: Bytes to words: A-Z lowered; letters, digits and bytes beyond ASCII stay; the rest parts words.
@@ -45,16 +45,25 @@ _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57
 _LINES = bytes(10 if b == 10 else c for b, c in enumerate(_PLAIN))
 
 
+def _windows(words: list[bytes]):
+    if len(words) <= BLOCK_WORDS:
+        if words:
+            yield words
+    else:
+        for start in range(0, len(words) - BLOCK_WORDS // 2, BLOCK_WORDS // 2):
+            yield words[start : start + BLOCK_WORDS]
+
+
 def text_blocks(plain: bytes):
-    """Word lists of a text's blocks; `plain` has its lines apart by newlines."""
-    for line in plain.split(b"\n"):
-        words = line.split()
-        if len(words) <= BLOCK_WORDS:
-            if words:
-                yield words
-        else:
-            for start in range(0, len(words) - BLOCK_WORDS // 2, BLOCK_WORDS // 2):
-                yield words[start : start + BLOCK_WORDS]
+    """Word lists of a text's blocks: of each line, then of all words across lines, as notices are wrapped.
+
+    `plain` has its lines apart by newlines. Any run of BLOCK_WORDS // 2 + 1 words lies in one block.
+    """
+    lines = [words for line in plain.split(b"\n") if (words := line.split())]
+    for words in lines:
+        yield from _windows(words)
+    if len(lines) > 1:
+        yield from _windows(plain.split())
 
 
 def word_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
