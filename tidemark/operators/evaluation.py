@@ -91,6 +91,16 @@ def mcnemar_p(only_a: int, only_b: int) -> float:
     return 1.0 if n == 0 else math.erfc(math.sqrt((abs(only_a - only_b) - 1) ** 2 / n / 2))
 
 
+def compared(top: DataFrame, queries: DataFrame, reference: str) -> DataFrame:
+    """(model, only_model, only_reference, p): every model of top against the reference on the same queries."""
+    hits = top.join(queries.select("query_id", F.col("target").alias("item_id")), ["query_id", "item_id"], "left_semi").select("model", "query_id")
+    known = hits.where(F.col("model") == reference).select("query_id", F.lit(True).alias("known"))
+    own = hits.join(known, "query_id", "left").groupBy("model").agg(F.count_if(F.col("known").isNull()).alias("only_model"), F.count_if("known").alias("both"))
+    rows = top.select("model").distinct().join(own, "model", "left").join(F.broadcast(known.agg(F.count(F.lit(1)).alias("found"))))
+    counts = rows.select("model", F.coalesce("only_model", F.lit(0)).alias("only_model"), (F.col("found") - F.coalesce("both", F.lit(0))).alias("only_reference"))
+    return counts.withColumn("p", F.udf(mcnemar_p, "double")("only_model", "only_reference"))
+
+
 def top_lists(scores: dict[str, DataFrame], k: int = 10) -> DataFrame:
     """(model, query_id, item_id, score, rank) of several models in one table."""
     out = None

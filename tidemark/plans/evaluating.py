@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import udf as U
 from ..operators import evaluation as E
 from ..operators import popularity as pop
 from ..operators import ranking as R
+from ..operators import similarity as M
+from ..operators.models import Catalogue, model_lists
 from ..sources.tables import table
 from .cleaning import INTER_SQL, interactions
-from .modelling import ITEM_SQL, PCT, cf_scores, item_counts
+from .modelling import ITEM_SQL, MIN_READERS, PCT, cf_scores, item_counts, parts
 from .registry import query
 
 c, lit = F.col, F.lit
-N, SEED = 100, 42
+#: Readers of the queries with an SQL twin, and of the whole evaluation (eval_compare, alpha_metrics).
+N, READERS, SEED = 100, 2000, 42
+ALPHAS = (0.0, 0.25, 0.5, 0.75, 1.0)
 LIKED_SQL = f"{INTER_SQL}, liked AS (SELECT user_id, item_id FROM inter SEMI JOIN (SELECT p_partkey FROM part WHERE p_size >= 15) ON item_id = p_partkey WHERE rating >= 7)"
 PAIRS_SQL = f"""{LIKED_SQL}, two AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY md5('42:' || user_id || ':' || item_id), item_id) AS n FROM liked),
 q AS (SELECT user_id AS query_id, max(item_id) FILTER (n = 1) AS query, max(item_id) FILTER (n = 2) AS target FROM two WHERE n <= 2 GROUP BY user_id HAVING count(*) = 2 ORDER BY md5('42:' || user_id), user_id LIMIT 100)"""
@@ -33,6 +38,10 @@ def liked(spark, d):
     return E.liked(interactions(spark, d), described)
 
 
+def tags(spark, d):
+    return table(spark, d, "part").select(c("p_partkey").alias("item_id"), F.explode(X.informative_tags(F.array("p_type", "p_brand"))).alias("tag"))
+
+
 def pairs(spark, d):
     """(query_id, query, target); the reader is the query's id."""
     return E.test_pairs(liked(spark, d), N, SEED).withColumnRenamed("user_id", "query_id")
@@ -82,8 +91,7 @@ two AS (SELECT *, row_number() OVER (PARTITION BY user_id, tag ORDER BY md5('42:
 b AS (SELECT user_id, tag, max(item_id) FILTER (n = 1) AS query, max(item_id) FILTER (n = 2) AS target FROM two WHERE n <= 2 GROUP BY 1, 2 HAVING count(*) = 2)
 SELECT user_id, query, target, tag FROM b QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5('42:' || user_id || ':' || tag)) = 1 ORDER BY md5('42:' || user_id), user_id LIMIT 100""")
 def related_pairs(spark, d):
-    tags = table(spark, d, "part").select(c("p_partkey").alias("item_id"), F.explode(X.informative_tags(F.array("p_type", "p_brand"))).alias("tag"))
-    return E.related_pairs(liked(spark, d), tags, N, SEED)
+    return E.related_pairs(liked(spark, d), tags(spark, d), N, SEED)
 
 
 @query(f"WITH {PAIRS_SQL}, {ITEM_SQL} SELECT it.item_id, greatest(n_readers - coalesce(h, 0), 0) AS n_readers FROM it LEFT JOIN (SELECT target, count(*) AS h FROM q GROUP BY 1) ON target = it.item_id")
@@ -134,10 +142,43 @@ def mcnemar_counts(spark, d):
     return E.discordant(_ranks(q, top, "cf"), _ranks(q, top, "popularity"))
 
 
+def test_sets(spark, d, n=READERS):
+    """The reference's test sets (query_id, query, target): any two liked items of a reader, and two that share a tag."""
+    good = R.written(liked(spark, d))
+    related = E.related_pairs(good, tags(spark, d), n, SEED)
+    sets = {"all_pairs": E.test_pairs(good, n, SEED), "related_pairs": related}
+    return {name: R.written(q.select(c("user_id").alias("query_id"), "query", "target")) for name, q in sets.items()}
+
+
+def scored(spark, d, q, alphas=None):
+    """(items, top lists) of all models, or per alpha, for one test set, without its hidden pairs."""
+    described = table(spark, d, "part").select(c("p_partkey").alias("item_id"), (c("p_size") >= 15).alias("has_description"))
+    items = R.written(safe_popularity(spark, d, q).join(described, "item_id"))
+    text = parts(spark, d)
+    catalogue = Catalogue(items, M.tfidf(text), U.embed(text, lambda: U.hashed_words), M.reader_postings(training(spark, d, q)), MIN_READERS)
+    return items, R.written(model_lists(q, catalogue, alphas=alphas))
+
+
+def _shown():
+    return [F.round(x, 6).alias(x) for x in ("hit_rate", "std_error", "mrr", "hit_same_author", "hit_other_author", "coverage", "avg_popularity", "by_query_author")]
+
+
 @query()
 def eval_compare(spark, d):
-    """Hit rates with the paired test's p-value against popularity; the p-value has no SQL form (erfc)."""
-    q, items, top = lists(spark, d)
-    row = E.discordant(_ranks(q, top, "cf"), _ranks(q, top, "popularity")).first()
-    p = E.mcnemar_p(row["only_a"], row["only_b"])
-    return E.metrics(top, q, items).select("model", F.round("hit_rate", 6).alias("hit_rate"), F.when(c("model") != "popularity", lit(round(p, 6))).alias("p_vs_popularity"))
+    """Every service model on both test sets of 2,000 readers, with the paired test's p-value against tfidf."""
+    out = None
+    for name, q in test_sets(spark, d).items():
+        items, top = scored(spark, d, q)
+        m = E.metrics(top, q, items).join(E.compared(top, q, "tfidf"), "model")
+        one = m.select(lit(name).alias("test_set"), "model", "n", *_shown(), "only_model", c("only_reference").alias("only_tfidf"), F.round("p", 6).alias("p_vs_tfidf"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def alpha_metrics(spark, d):
+    """The metrics of the text and vector hybrid per alpha, over the readers of all_pairs."""
+    q = test_sets(spark, d)["all_pairs"]
+    items, top = scored(spark, d, q, ALPHAS)
+    m = E.metrics(top, q, items)
+    return m.select(F.substring_index("model", "=", -1).cast("double").alias("alpha"), "n", *_shown())
