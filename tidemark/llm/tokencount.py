@@ -8,31 +8,84 @@ edge, or longer than many blocks, are measured whole.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import default_vocabulary, encoder
+from .common import default_vocabulary, encoder, materialise, shared_dir
 
 #: Ids per block; the vocabulary's end-of-document id fits unsigned 16-bit files.
 BLOCK_TOKENS, END_OF_DOCUMENT, KIND = 1 << 16, 50256, "<u2"
+#: Blocks of a file that one row of the listing asks for.
+RANGE_BLOCKS = 64
 BLOCKS = "file string, block long, start long, data binary"
 ENDS = "file string, block long, start long, n long, first long, last long, gaps array<long>, doc_ids array<long>"
 
 
 def read_flat(spark: SparkSession, path: str, kind: str = KIND, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, start, data): blocks of the flat files under path, each file below Spark's 2 GB row limit."""
+    """(file, block, start, data): blocks of the flat files under path, of any size.
+
+    Files are listed without their content and cut into byte ranges; each range is dealt out and read by offset,
+    from a path that all executors see. Files of a store that only Spark opens are read whole, each below its 2 GB
+    row limit.
+    """
     step = block_tokens * np.dtype(kind).itemsize
+    found = spark.read.format("binaryFile").load(path)
+    one = found.select("path").first()
+    if one and not one["path"].startswith("file:"):
+        return _read_whole(found, step, block_tokens)
+
+    def cut(batches):
+        for batch in batches:
+            for name, at, upto in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                with open("/" + name.removeprefix("file:").lstrip("/"), "rb") as f:
+                    f.seek(at)
+                    for k in range(at // step, -(-upto // step)):
+                        yield pa.RecordBatch.from_pylist([{"file": name, "block": k, "start": k * block_tokens, "data": f.read(min(step, upto - k * step))}], _arrow(BLOCKS))
+
+    size = F.lit(step * RANGE_BLOCKS)
+    starts = found.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, size.cast("long"))).alias("at"))
+    ranges = starts.select("path", "at", F.least(F.col("at") + size, "length").alias("upto"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return ranges.repartition(parts, "path", "at").mapInArrow(cut, BLOCKS)
+
 
+def _read_whole(found: DataFrame, step: int, block_tokens: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for k, at in enumerate(range(0, len(content), step)):
                     yield pa.RecordBatch.from_pylist([{"file": name, "block": k, "start": k * block_tokens, "data": content[at : at + step]}], _arrow(BLOCKS))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, BLOCKS)
+    return found.select("path", "content").mapInArrow(cut, BLOCKS)
+
+
+def write_flat(docs: DataFrame, folder: str, vocabulary: str | None = None) -> DataFrame:
+    """Tokenise documents into flat files in a local or mounted folder, one per task; (file, ordinal, doc_id) of what was written.
+
+    A file is named by its task's attempt: those of attempts that were lost have no rows here.
+    """
+    path = vocabulary or default_vocabulary()
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        bpe, name, ordinal = encoder(path), f"part-{task.partitionId():06d}-{task.taskAttemptId()}.bin", 0
+        with open(f"{folder}/{name}", "wb") as f:
+            for batch in batches:
+                for text in batch.column(1).to_pylist():
+                    f.write(np.append(bpe.encode_to_numpy(text or "", disallowed_special=()), END_OF_DOCUMENT).astype(KIND).tobytes())
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(ordinal, ordinal + n), pa.int64()), batch.column(0).cast(pa.int64())], names=["file", "ordinal", "doc_id"])
+                ordinal += n
+
+    return materialise(docs.select("doc_id", "text").mapInArrow(write, "file string, ordinal long, doc_id long"))
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -107,5 +160,17 @@ def document_lengths(blocks: DataFrame, end: int = END_OF_DOCUMENT, kind: str =
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, file, ordinal) per row of docs; null and empty texts have 0 tokens."""
-    return document_lengths(flat_blocks(docs, vocabulary)).select("doc_id", "n_tokens", "file", "ordinal")
+    """(doc_id, n_tokens, file, ordinal) per row of docs; null and empty texts have 0 tokens.
+
+    Documents are written as flat files into the shared folder and measured by the scan of those files. Where
+    Python cannot open the shared folder, the blocks are scanned as they are made.
+    """
+    spark = docs.sparkSession
+    base = shared_dir(spark)
+    if not base.startswith(("file:", "/")):
+        return document_lengths(flat_blocks(docs, vocabulary)).select("doc_id", "n_tokens", "file", "ordinal")
+    folder = "/" + base.removeprefix("file:").lstrip("/") + f"/tokens/{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    written = write_flat(docs, folder, vocabulary)
+    lengths = document_lengths(read_flat(spark, f"file://{folder}")).select(F.substring_index("file", "/", -1).alias("file"), "ordinal", "n_tokens")
+    return written.join(lengths, ["file", "ordinal"]).select("doc_id", "n_tokens", F.substring("file", 1, 11).alias("file"), "ordinal")
