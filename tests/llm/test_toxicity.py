@@ -1,6 +1,9 @@
 import zlib
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tidemark.llm import registry, toxicity
 
@@ -16,18 +19,22 @@ def grammar():
     ("text", "patterns"),
     [
         ("an idiot", {"insult"}),
+        ("idiot", set()),
+        ("IDIOT! Scum. you", set()),
+        ("idiot scum", {"insult"}),
+        ("Idiot of a man", {"insult"}),
+        ("idiot, you", {"insult+target"}),
         ("You idiot", {"insult+target"}),
         ("an idiot, you", {"insult", "insult+target"}),
         ("not an idiot", {"insult+negation"}),
         ("they said he is a clown", {"insult+target+report"}),
-        ("he said nothing. clown", {"insult"}),
+        ("he said nothing. a clown", {"insult"}),
         ("never said you idiot", {"insult+target+negation+report"}),
         ("I will hurt you", {"threat", "threat+target"}),
-        ("not. idiot", {"insult"}),
+        ("not. an idiot", {"insult"}),
         ("not one two three idiot", {"insult"}),
         ("idiot one two three you", {"insult"}),
         ("a scumbag idiotically", set()),
-        ("IDIOT!", {"insult"}),
     ],
 )
 def test_patterns(grammar, text, patterns):
@@ -56,7 +63,7 @@ def frame(spark, rows):
 
 
 def test_awkward_rows(spark):
-    rows = [(1, None), (2, ""), (None, "you idiot"), (3, "fine words " * 50_000 + "idiot"), (4, "fine"), (4, "fine"), (5, "\n.!")]
+    rows = [(1, None), (2, ""), (None, "you idiot"), (3, "fine words " * 50_000 + "you idiot"), (4, "fine"), (4, "fine"), (5, "\n.!")]
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     odd = spark.createDataFrame([(1, 0, None), (4, 1, 0), (4, 1, 0), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     for labels in (none, odd):
@@ -70,8 +77,65 @@ def test_awkward_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 4, 5]
 
 
-def test_stems_are_mined_from_labels(spark):
-    docs = [(i, f"plain text number {i % 7} " + (f"qxzor{i % 3}ab" if i % 4 == 0 else "")) for i in range(400)]
+def test_words_are_mined_from_labels(spark):
+    docs = [(i, f"plain text number {i}" + (f" then qxzor{i % 3}ab" if i % 4 == 0 else "")) for i in range(400)]
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
-    out = toxicity.toxic_scores(frame(spark, docs + [(1000, "a qxzornew word")]), labels).collect()
-    assert all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in out)
+    out = toxicity.toxic_scores(frame(spark, [*docs, (1000, "a qxzor1ab word"), (1001, "a qxzornew word")]), labels).collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in out if r["doc_id"] < 1001)
+    assert [r["predicted"] for r in out if r["doc_id"] == 1001] == [0]
+
+
+def test_copies_are_no_evidence_and_mined_words_get_tags(spark):
+    toxic = [f"plain number {i} and glurm you now" for i in range(30)] + [f"here {i} they frabjous ones" for i in range(30)] + ["one copied sentence of grovelblat"] * 60
+    clean = [f"here is plain number {i} for you and now they are many" for i in range(600)]
+    rows = spark.createDataFrame([(t, 1) for t in toxic] + [(t, 0) for t in clean], "text string, y int")
+    words = toxicity.mined_words(rows)
+    assert words.keys() == {"glurm", "frabjous", "ones"}
+    assert words["glurm"][0] == toxicity.THREAT and words["frabjous"][0] == toxicity.INSULT
+
+
+def slow_patterns(tags):
+    """The grammar's definition by looking around each marked word, without any machine."""
+    reach = lambda i, tag: any(t == tag for t in tags[max(0, i - toxicity.REACH[tag]) : i])
+    out = []
+    for i, tag in enumerate(tags):
+        if tag not in (toxicity.INSULT, toxicity.THREAT) or len(tags) == 1:
+            continue
+        name = "insult" if tag == toxicity.INSULT else "threat"
+        target, negation, report = reach(i, toxicity.TARGET), reach(i, toxicity.NEGATION), reach(i, toxicity.REPORT)
+        rest = ("+negation" if negation else "") + ("+report" if report else "")
+        after = tags[i + 1 : i + 1 + toxicity.REACH[toxicity.TARGET]]
+        stop = next((k for k, t in enumerate(after) if t in (toxicity.INSULT, toxicity.THREAT)), len(after))
+        follows = toxicity.TARGET in after[:stop]
+        if not (i == 0 and tags[1] == toxicity.TARGET):
+            out.append(name + ("+target" if target else "") + rest)
+        if follows and not target:
+            out.append(name + "+target" + rest)
+    return set(out)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=14))
+def test_the_composed_machine_against_its_definition(tags):
+    words = {0: "word", 1: "idiot", 2: "kill", 3: "you", 4: "not", 5: "said"}
+    found, matched = toxicity.pattern_weights(" ".join(words[t] for t in tags), toxicity.Tagger({}), *toxicity.compiled())
+    assert {p for p, w in zip(toxicity.PATTERNS, found, strict=True) if w} == slow_patterns(tags)
+    assert matched == bool(slow_patterns(tags))
+
+
+def test_without_the_grammar_scores_are_worse(monkeypatch):
+    """Ablation: the same words, once said at someone and once denied or reported."""
+    bad = ["you are an idiot number {}", "they are scum for {}", "I will hurt you {}", "you {} moron"]
+    good = ["you are not an idiot number {}", "he said that they are scum for {}", "nobody wrote that I will hurt you {}", "not one {} moron"]
+    texts = [(t.format(i), y) for i in range(40) for y, some in ((1, bad), (0, good)) for t in some]
+    y = np.array([y for _, y in texts], dtype=float)
+    fold = np.arange(len(texts)) % 5 == 0
+
+    def right():
+        x = toxicity.squash([toxicity.pattern_weights(t, toxicity.Tagger({}), *toxicity.compiled())[0] for t, _ in texts])
+        b = toxicity.fit_logistic(x[~fold], y[~fold], np.ones((~fold).sum()), 0.05)
+        return (((x[fold] @ b[:-1] + b[-1]) > 0) == (y[fold] > 0)).mean()
+
+    assert right() == 1
+    monkeypatch.setattr(toxicity, "LEXICON", {tag: words if tag in (toxicity.INSULT, toxicity.THREAT) else "" for tag, words in toxicity.LEXICON.items()})
+    assert right() < 0.8

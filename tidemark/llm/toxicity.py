@@ -1,16 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become tags (insult, threat, target, negation, report) through a lexicon: built-in words and stems mined
-from labelled rows. Four small transducers over the tags are composed into one machine: negation and reported
-speech reach over the next words, targets join the insults beside them, and the last one emits the matched
-pattern. Clauses are scored by the patterns they match; a logistic layer turns a document's pattern weights
-into its score.
+Words become tags (insult, threat, target, negation, report) through a lexicon: built-in words, and whole words
+mined from labelled clauses. Four small transducers over the tags are composed into one machine that runs over a
+clause: negation and reported speech reach over the next words, targets join the insults beside them, and the last
+one emits the matched patterns. A pattern takes an insult or threat and at least one more word of its clause: a
+word that stands alone matches nothing. What is scored are clauses: a clause has its strongest weight of each
+pattern, and a logistic layer turns the sums over a document's clauses into its score.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -36,10 +38,14 @@ REACH = {NEGATION: 3, REPORT: 8, TARGET: 3}
 #: The last transducer's output; the logistic layer weighs these.
 PATTERNS = [f"{kind}{target}{negated}{reported}" for kind, target, negated, reported in product(("insult", "threat"), ("", "+target"), ("", "+negation"), ("", "+report"))]
 
-#: Bounds of what is learned: labelled rows used, mined stems kept, and the evidence (in nats) a stem needs.
-MOST_ROWS, MOST_STEMS, EVIDENCE = 20_000, 2_000, 12.0
-LEAST_ROWS, LEAST_SHARE = 5, 0.02
-STEM_LENGTHS = range(3, 8)
+#: Added to a pattern that belongs to the marked word before the present one.
+PREVIOUS = len(PATTERNS)
+
+#: Bounds of what is learned: labelled rows used; what a mined word needs: evidence in nats, clauses, and clauses as a
+#: share of the rows to explain.
+MOST_ROWS, EVIDENCE, LEAST_CLAUSES, LEAST_SHARE = 20_000, 12.0, 4, 0.02
+#: Nats that a clause of label 0 takes off a word's evidence.
+AGAINST = 8.0
 
 _BREAKS = {ord(c): "\n" for c in ".!?;:\n\r"} | {ord(c): " " for c in map(chr, range(128)) if not c.isalnum() and c not in ".!?;:\n\r"}
 
@@ -65,13 +71,28 @@ def reach_of(tag: int, mark: int, reach: int):
 
 
 def emit(state, symbol):
-    """Turn marked insults and threats into patterns; a target right after an insult adds a target pattern's rest."""
+    """Turn marked insults and threats into patterns.
+
+    A clause's first word waits for a second one; where that is marked itself, PREVIOUS tells the first one's pattern.
+    A target soon after an insult without one adds the pattern with it. State: 0 at the clause's start, 1 with nothing
+    open, else (kind, bits, distance, waits) of the last insult or threat.
+    """
     kind, bits = symbol
+    out = []
+    if isinstance(state, tuple):
+        was, had, far, waits = state
+        code = (8 if was == THREAT else 0) + had
+        if waits:
+            out.append(code + PREVIOUS if kind in (INSULT, THREAT) else code | 4 if kind == TARGET else code)
+        elif kind == TARGET and not had & 4 and far < REACH[TARGET]:
+            out.append(code | 4)
     if kind in (INSULT, THREAT):
-        return (kind, bits, 0), [(8 if kind == THREAT else 0) + bits]
-    if kind == TARGET and state and not state[1] & 4 and state[2] < REACH[TARGET]:
-        return None, [(8 if state[0] == THREAT else 0) + state[1] | 4]
-    return (state[0], state[1], state[2] + 1) if state and state[2] < REACH[TARGET] else None, []
+        if state != 0:
+            out.append((8 if kind == THREAT else 0) + bits)
+        return (kind, bits, 0, state == 0), out
+    if isinstance(state, tuple) and kind != TARGET and far + 1 < REACH[TARGET]:
+        return (was, had, far + 1, False), out
+    return 1, out
 
 
 def compose(first, second):
@@ -86,11 +107,12 @@ def compose(first, second):
     return step, (f0, g0)
 
 
+@lru_cache(maxsize=1)
 def compiled() -> tuple[list[list[int]], list[list[list[int]]]]:
     """The composed grammar as tables: next state and emitted patterns by (state, tag)."""
     machine = compose(
         compose(reach_of(NEGATION, 2, REACH[NEGATION]), reach_of(REPORT, 1, REACH[REPORT])),
-        compose(reach_of(TARGET, 4, REACH[TARGET]), (emit, None)),
+        compose(reach_of(TARGET, 4, REACH[TARGET]), (emit, 0)),
     )
     step, start = machine
     number, queue, goes, says = {start: 0}, [start], [], []
@@ -109,41 +131,38 @@ def compiled() -> tuple[list[list[int]], list[list[list[int]]]]:
 
 
 class Tagger(dict):
-    """word -> (tag, weight), filled on demand: built-in words first, else the shortest mined stem."""
+    """word -> (tag, weight), filled on demand: built-in words, then mined ones (word -> (tag, weight))."""
 
-    def __init__(self, stems: dict[str, float]):
-        self.fixed = {w: (tag, 1.0) for tag, words in LEXICON.items() for w in words.split()}
-        self.stems = stems
+    def __init__(self, mined: dict[str, tuple[int, float]]):
+        self.known = mined | {w: (tag, 1.0) for tag, words in LEXICON.items() for w in words.split()}
 
     def __missing__(self, word: str):
         if len(self) > 500_000:
             self.clear()
-        found = self.fixed.get(word)
-        if found is None or found[0] not in (INSULT, THREAT):
-            stem = next((word[:n] for n in STEM_LENGTHS if word[:n] in self.stems), None) or (word + "$" if word + "$" in self.stems else None)
-            if stem:
-                found = (INSULT, self.stems[stem])
-        self[word] = found or (OTHER, 0.0)
+        self[word] = self.known.get(word, (OTHER, 0.0))
         return self[word]
 
 
 def pattern_weights(text: str | None, tags: Tagger, goes, says) -> tuple[list[float], int]:
-    """(weight matched per pattern, clauses that match) over the whole text."""
+    """(per pattern the sum over clauses of the clause's largest weight, number of clauses that match), whole text."""
     out, matched = [0.0] * len(PATTERNS), 0
     plain = clauses(text or "")
     if not any(tags[w][0] in (INSULT, THREAT) for w in set(plain.split())):
         return out, 0
     for clause in plain.split("\n"):
-        state, weight, hit = 0, 1.0, False
-        for word in clause.split():
-            tag, w = tags[word]
-            if tag in (INSULT, THREAT):
-                weight = w
+        tagged = [tags[w] for w in clause.split()]
+        if not any(tag in (INSULT, THREAT) for tag, _ in tagged):
+            continue
+        state, weight, best = 0, 0.0, {}
+        for tag, w in tagged:
+            before, weight = weight, w if tag in (INSULT, THREAT) else weight
             for pattern in says[state][tag]:
-                out[pattern] += weight
-                hit = True
+                of, value = (pattern - PREVIOUS, before) if pattern >= PREVIOUS else (pattern, weight)
+                best[of] = max(best.get(of, 0.0), value)
             state = goes[state][tag]
-        matched += hit
+        for pattern, w in best.items():
+            out[pattern] += w
+        matched += bool(best)
     return out, matched
 
 
@@ -162,47 +181,71 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def mined_stems(rows: DataFrame) -> dict[str, float]:
-    """Words (written word$) and stems that mark label 1 where no built-in word does, with weights.
+def mined_words(rows: DataFrame) -> dict[str, tuple[int, float]]:
+    """Words that mark label 1 in rows (text, y) where no built-in word does: word -> (tag, weight).
 
-    Counts are made by Spark; a stem must mark at least LEAST_ROWS rows and LEAST_SHARE of those to explain.
+    Evidence is counted over distinct clauses, so copies of a document add nothing. A word is a threat if targets
+    stand after it more often than before it, as after a verb, else an insult.
     """
 
-    def count(batches):
+    def open_clauses(batches):
         known = Tagger({})
-        with_label, without = Counter(), Counter()
-        docs = [0, 0]
         for batch in batches:
+            out = []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(clauses(text or "").split())
-                if any(known[w][0] in (INSULT, THREAT) for w in words):
-                    continue
-                seen = {w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n and not w[:n].isdigit()} | {w + "$" for w in words if len(w) < 24}
-                (with_label if y else without).update(seen)
-                docs[y] += 1
-        for part in (with_label, without):
-            part["\0rows"] = docs[0 if part is without else 1]
-        keys = list(with_label.keys() | without.keys())
+                plain = clauses(text or "")
+                if not any(known[w][0] in (INSULT, THREAT) for w in set(plain.split())):
+                    out.append((None, y))
+                    out += [(" ".join(words), y) for c in set(plain.split("\n")) if (words := c.split())]
+            texts, ys = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(ys, pa.int32())], names=["clause", "y"])
+
+    # A null clause stands for each row.
+    found = materialise(rows.mapInArrow(open_clauses, "clause string, y int").groupBy("clause", "y").agg(F.count(F.lit(1)).alias("n")))
+    positive = F.col("y") == 1
+    totals = found.agg(
+        F.sum(F.when(positive & F.col("clause").isNull(), F.col("n"))).alias("rows"),
+        F.count_if(positive & F.col("clause").isNotNull()).alias("pos"),
+        F.count_if(F.col("clause").isNotNull()).alias("every"),
+    ).first()
+    if not totals["rows"]:
+        return {}
+    plain = found.where("clause is not null")
+
+    def count(batches):
+        counts = Counter(), Counter()
+        for batch in batches:
+            for clause, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[y].update(set(clause.split()))
+        keys = list(counts[0].keys() | counts[1].keys())
         for i in range(0, len(keys), 50_000):
             some = keys[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([with_label[k] for k in some], pa.int64()), pa.array([without[k] for k in some], pa.int64())], names=["stem", "pos", "neg"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([counts[y][k] for k in some], pa.int64()) for y in (1, 0))], names=["word", "pos", "neg"])
+
+    nats = math.log(max(totals["every"], 1) / max(totals["pos"], 1))
+    least = max(LEAST_CLAUSES, LEAST_SHARE * totals["rows"])
+    words = plain.select("clause", "y").mapInArrow(count, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    marked = words.withColumn("e", F.col("pos") * nats - F.col("neg") * AGAINST).where((F.col("e") >= EVIDENCE) & (F.col("pos") >= least))
+    # Each marks a share of the rows, so their number is bounded by the words of a text over that share.
+    weights = {r["word"]: min(2.0, 0.5 + math.log1p(r["e"]) / 4) for r in marked.collect()}
+
+    def sides(batches):
+        targets = frozenset(LEXICON[TARGET].split())
+        near = {}
+        for batch in batches:
+            for clause in batch.column(0).to_pylist():
+                line = clause.split()
+                if not weights.keys().isdisjoint(line) and not targets.isdisjoint(line):
+                    for i, w in enumerate(line):
+                        if w in weights:
+                            both = near.setdefault(w, [0, 0])
+                            both[0] += not targets.isdisjoint(line[max(0, i - REACH[TARGET]) : i])
+                            both[1] += not targets.isdisjoint(line[i + 1 : i + 1 + REACH[TARGET]])
+        yield pa.RecordBatch.from_arrays([pa.array(list(near), pa.string()), *(pa.array([v[k] for v in near.values()], pa.int64()) for k in (0, 1))], names=["word", "before", "after"])
 
-    counts = rows.mapInArrow(count, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counts = counts.where(f"pos >= {LEAST_ROWS} and pos >= 9 * neg or stem = '\\u0000rows'").cache()
-    total = counts.where("stem = '\\u0000rows'").first()
-    if not total or not total["pos"]:
-        counts.unpersist()
-        return {}
-    share = total["pos"] / max(1, total["pos"] + total["neg"])
-    evidence = F.col("pos") * math.log(1 / share) - F.col("neg") * 8
-    found = counts.where("stem <> '\\u0000rows'").withColumn("e", evidence).where((F.col("e") >= EVIDENCE) & (F.col("pos") >= LEAST_SHARE * total["pos"])).orderBy(F.desc("e"), "stem").limit(MOST_STEMS).collect()
-    counts.unpersist()
-    stems: dict[str, float] = {}
-    for r in sorted(found, key=lambda r: (len(r["stem"]), r["stem"])):
-        word = r["stem"].rstrip("$")
-        if not any(word[:n] in stems for n in STEM_LENGTHS):
-            stems[r["stem"]] = min(2.0, 0.5 + math.log1p(r["e"]) / 4)
-    return stems
+    placed = plain.select("clause").mapInArrow(sides, "word string, before long, after long").groupBy("word").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
+    threats = {r["word"] for r in placed.where(F.col("after") > F.greatest(2 * F.col("before"), F.lit(LEAST_CLAUSES))).select("word").collect()}
+    return {w: (THREAT if w in threats else INSULT, weight) for w, weight in sorted(weights.items())}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -224,43 +267,46 @@ def squash(weights: np.ndarray) -> np.ndarray:
     return np.log1p(2 * np.asarray(weights, dtype=float))
 
 
+def prior(pattern: str) -> float:
+    """What a pattern says before there are examples: an insult at someone, neither denied nor reported, is toxic."""
+    return 0.2 if "negation" in pattern else 0.3 if "report" in pattern or "target" not in pattern else 0.9
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> dict:
-    """Mine stems and fit the pattern weights on at most `most` labelled rows outside the held-out fold.
+    """Mine words and fit the pattern weights on at most `most` labelled rows outside the held-out fold.
 
-    Without labels of both kinds the built-in lexicon decides alone, each plain match counting for label 1.
+    Without labels of both kinds the built-in lexicon and the patterns' priors decide alone.
     """
     rows = materialise(training_rows(docs, labels, "toxic", most))
-    stems = mined_stems(rows)
-    goes, says = compiled()
+    words = mined_words(rows)
 
     def weigh(batches):
-        tags = Tagger(stems)
+        tags, machine = Tagger(words), compiled()
         for pdf in batches:
-            x = [(*pattern_weights(t, tags, goes, says)[0], y) for t, y in zip(pdf["text"], pdf["y"], strict=True)]
+            x = [(*pattern_weights(t, tags, *machine)[0], y) for t, y in zip(pdf["text"], pdf["y"], strict=True)]
             yield pd.DataFrame(x, columns=[*(f"p{k}" for k in range(len(PATTERNS))), "y"]).astype(float)
 
     fields = ", ".join(f"p{k} double" for k in range(len(PATTERNS))) + ", y double"
     # Equal rows are counted by Spark; most documents match nothing.
     seen = rows.mapInPandas(weigh, fields)
     counted = seen.groupBy(*seen.columns).count().toPandas()
-    # Made-up rows that keep a pattern without examples on the side its words say.
-    prior = np.log1p(2 * np.eye(len(PATTERNS)))
-    x = np.vstack((squash(counted[[f"p{k}" for k in range(len(PATTERNS))]].to_numpy()), prior, np.zeros((1, len(PATTERNS)))))
-    y = np.concatenate((counted["y"], np.array([0.2 if "negation" in p else 0.9 for p in PATTERNS]), [0.0]))
+    # Made-up rows that keep a pattern without examples on the side of its prior.
+    made_up = np.log1p(2 * np.eye(len(PATTERNS)))
+    x = np.vstack((squash(counted[[f"p{k}" for k in range(len(PATTERNS))]].to_numpy()), made_up, np.zeros((1, len(PATTERNS)))))
+    y = np.concatenate((counted["y"], np.array([prior(p) for p in PATTERNS]), [0.0]))
     weight = np.concatenate((counted["count"], np.ones(len(PATTERNS)), [1.0]))
-    return {"stems": stems, "weights": fit_logistic(x, y, weight, 0.05).tolist()}
+    return {"words": words, "weights": fit_logistic(x, y, weight, 0.05).tolist()}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """docs with score (0 to 1) and clauses, the number of matched clauses; null and empty texts match nothing."""
-    goes, says = compiled()
     b = np.array(model["weights"])
     columns = docs.columns
 
     def run(batches):
-        tags = Tagger(model["stems"])
+        tags, machine = Tagger(model["words"]), compiled()
         for batch in batches:
-            found = [pattern_weights(t, tags, goes, says) for t in batch.column("text").to_pylist()]
+            found = [pattern_weights(t, tags, *machine) for t in batch.column("text").to_pylist()]
             x = squash(np.array([w for w, _ in found]).reshape(len(found), len(PATTERNS)))
             p = 1 / (1 + np.exp(-np.clip(x @ b[:-1] + b[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array([n for _, n in found], pa.int64())], names=[*columns, "score", "clauses"])
