@@ -19,7 +19,7 @@ def brute(rows, measure, k=5, every=50, usable=lambda v: True):
     out = {}
     for q, x in rows:
         if q % every == 0:
-            scored = sorted((-measure(np.array(x), np.array(y)), i) for i, y in rows if i != q)
+            scored = sorted((-measure(np.array(x), np.array(y)), i) for i, y in rows if i != q and len(x) == len(y))
             out[q] = [(i, -s) for s, i in scored[:k]]
     return out
 
@@ -33,7 +33,7 @@ def got(df):
 
 
 def product(x, y):
-    return int(np.floor(256 * x) @ np.floor(256 * y))
+    return sum(int(math.floor(256 * a)) * int(math.floor(256 * b)) for a, b in zip(x.tolist(), y.tolist(), strict=True))
 
 
 def cosine(x, y):
@@ -83,3 +83,26 @@ def test_recall_of_the_query(spark):
     hits = sum(len({i for i, _ in want[q]} & {i for i, _ in found[q]}) for q in want)
     assert hits >= 0.95 * sum(map(len, want.values()))
     assert all(abs(s - cosine(*(np.float64(dict(rows)[v]) for v in (q, i)))) < 1e-12 for q in list(found)[:5] for i, s in found[q])
+
+
+def test_lengths_apart(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 16)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=(3, 5, 8)[i % 3]).tolist()) for i in range(450)]
+    assert got(kdtree.top_products(frame(spark, rows))) == brute(rows, product)
+    want, found = brute(rows, cosine), got(hnsw.nearest(frame(spark, rows)))
+    assert found.keys() == want.keys()
+    assert all(sorted(i for i, _ in want[q]) == sorted(i for i, _ in found[q]) for q in want)
+
+
+def test_large_products_stay_whole(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "LEAF", 2)
+    big = 2.0**19  # floor(256 * x) is 2^27: products from 2^54 on
+    wide = "vec_id long, embedding array<double>"
+    rows = [(50, [big, 2.0**-8]), (1, [big, 1 / 256]), (2, [big, 2 / 256]), (3, [big, 2 / 256]), (4, [-big, 0.0]), (5, [0.0, 0.0])]
+    out = [(r["vec_id"], r["score"]) for r in sorted(kdtree.top_products(spark.createDataFrame(rows, wide)).collect(), key=lambda r: r["rank"])]
+    assert out == [(2, 2**54 + 2), (3, 2**54 + 2), (1, 2**54 + 1), (5, 0), (4, -(2**54))]
+    # Beyond 64 bits: scores stop at the ends and are ties there.
+    rows = [(50, [2.0**60, 1.0]), (1, [2.0**60, 1.0]), (2, [2.0**61, 0.0]), (3, [-(2.0**60), 5.0]), (4, [0.5, 0.0])]
+    out = [(r["vec_id"], r["score"]) for r in sorted(kdtree.top_products(spark.createDataFrame(rows, wide)).collect(), key=lambda r: r["rank"])]
+    assert out == [(1, 2**63 - 1), (2, 2**63 - 1), (4, 2**63 - 1), (3, -(2**63))]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .vectors import best, distinct_vectors, query_blocks, search, sharded, usable
+from .vectors import best, blocks_of, distinct_vectors, search, shard_ranges, sharded, usable
 
 #: Links per node above the ground layer (twice as many on it), and breadth of search when building and asking.
 LINKS, BUILD_BREADTH, ASK_BREADTH = 16, 64, 160
@@ -75,13 +75,28 @@ def _diverse(unit: np.ndarray, found: list[tuple[float, int]], most: int) -> lis
 
 
 def build_graph(shard: int, ids: np.ndarray, vectors: np.ndarray) -> pd.DataFrame:
-    """Insert the vectors one by one, in an order and with levels that depend on the ids alone."""
+    """Insert the vectors one by one, in an order and with levels that depend on the ids alone.
+
+    A neighbour list has room for half as many links again; when that is full, it is cut back to its size by the
+    rule that chose it, so that links to other parts of the graph stay.
+    """
     n = len(ids)
     unit = (vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))).astype(np.float32)
     rng = np.random.default_rng(shard)
     levels = np.minimum(6, np.floor(-np.log(rng.random(n)) / np.log(LINKS))).astype(int)
-    layers = [np.full((n, LINKS * (1 if level else 2)), -1, np.int32) for level in range(levels.max(initial=0) + 1)]
+    most = [LINKS * (1 if level else 2) for level in range(levels.max(initial=0) + 1)]
+    layers = [np.full((n, m + m // 2), -1, np.int32) for m in most]
     degree = [np.zeros(n, np.int64) for _ in layers]
+
+    def cut_back(level: int, node: int) -> None:
+        near = layers[level][node, : degree[level][node]]
+        sims = unit[near] @ unit[node]
+        order = np.lexsort((near, -sims))
+        kept = _diverse(unit, list(zip(sims[order].tolist(), near[order].tolist(), strict=True)), most[level])
+        layers[level][node] = -1
+        layers[level][node, : len(kept)] = kept
+        degree[level][node] = len(kept)
+
     seen = np.zeros(n, np.int64)
     entry, top, mark = 0, int(levels[0]) if n else 0, 0
     for node in range(1, n):
@@ -94,22 +109,21 @@ def build_graph(shard: int, ids: np.ndarray, vectors: np.ndarray) -> pd.DataFram
             if not low:
                 continue
             links, count = layers[level], degree[level]
-            most = links.shape[1]
             near = _diverse(unit, found, LINKS)
             links[node, : len(near)] = near
             count[node] = len(near)
             for other in near:
-                if count[other] < most:
-                    links[other, count[other]] = node
-                    count[other] += 1
-                else:  # the least similar neighbour gives way
-                    sims = unit[links[other]] @ unit[other]
-                    worst = int(np.argmin(sims))
-                    if sims[worst] < unit[node] @ unit[other]:
-                        links[other, worst] = node
+                if count[other] == links.shape[1]:
+                    cut_back(level, other)
+                links[other, count[other]] = node
+                count[other] += 1
         if levels[node] > top:
             entry, top = node, int(levels[node])
-    row = (shard, vectors.shape[1], entry, ids.tobytes(), np.ascontiguousarray(vectors).tobytes(), [x.tobytes() for x in layers[: top + 1]])
+    for level in range(top + 1):
+        for node in np.flatnonzero(degree[level] > most[level]).tolist():
+            cut_back(level, node)
+    flat = [np.ascontiguousarray(x[:, :m]).tobytes() for x, m in zip(layers[: top + 1], most, strict=False)]
+    row = (shard, vectors.shape[1], entry, ids.tobytes(), np.ascontiguousarray(vectors).tobytes(), flat)
     return pd.DataFrame([row], columns=[f.split()[0] for f in GRAPH.split(", ")])
 
 
@@ -139,14 +153,15 @@ def ask(graph, queries, k: int) -> list[tuple[int, int, float]]:
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): per query the k nearest rows found by cosine.
 
-    Queries are rows whose vec_id is divisible by `every`, candidates all rows but the query's own; ties go to
-    the smaller vec_id, rows equal in id and vector count once. Every row is indexed, equal vectors under one
-    node. Vectors that are null, zero, hold null or non-finite components, or differ in length from most, take
-    no part.
+    Queries are rows whose vec_id is divisible by `every`, candidates all rows of the same length but the query's
+    own; ties go to the smaller vec_id, rows equal in id and vector count once. Every row is indexed, equal vectors
+    under one node. Vectors that are null, empty or zero, or hold null or non-finite components, take no part.
     """
     rows = materialise(usable(vectors).where(F.exists("x", lambda v: v != 0)))
     classes = materialise(distinct_vectors(rows, k))
-    index, shards = sharded(classes, build_graph, GRAPH)
-    packed = materialise(query_blocks(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "x").distinct()))
-    cells = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).drop("block")
-    return best(search(index, cells, lambda row, qs: ask(row, qs, k)), classes, k)
+    ranges, shards = shard_ranges(classes)
+    index = sharded(classes, ranges, shards, build_graph, GRAPH)
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "x").distinct()
+    packed = materialise(blocks_of(asked.withColumn("d", F.size("x")).join(ranges, "d").drop("d"), "first", "shards"))
+    cells = packed.select(F.explode(F.sequence("first", F.col("first") + F.col("shards") - 1)).alias("shard"), "queries")
+    return best(search(index, cells, lambda row, qs: ask(row, qs, k), "double"), classes, k)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .vectors import best, distinct_vectors, query_blocks, search, shard_of, sharded, usable
+from .vectors import best, blocks_of, distinct_vectors, search, shard_ranges, sharded, usable, with_shard
 
 LEAF = 64
 TREE = "shard int, dimension int, ids binary, points binary, lo binary, hi binary, nodes binary"
@@ -43,16 +43,20 @@ def build_tree(shard: int, ids: np.ndarray, points: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame([row], columns=[f.split()[0] for f in TREE.split(", ")])
 
 
+_INT = np.frompyfunc(int, 1, 1)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
 def _products(points: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact integer inner products, limited to 64 bits."""
+    """Exact integer inner products; beyond 64 bits they stop at the nearest end."""
     reach = np.abs(points).max(initial=0) * np.abs(query).max(initial=0) * len(query)
     if reach < 2**53:
         return (points @ query).astype(np.int64)
-    exact = points.astype(object) @ query.astype(object)
-    return np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in exact], dtype=np.int64)
+    exact = _INT(points) @ _INT(query)
+    return np.array([max(LEAST, min(MOST, x)) for x in exact], dtype=np.int64)
 
 
-def visit(tree, queries, k: int) -> list[tuple[int, int, float]]:
+def visit(tree, queries, k: int) -> list[tuple[int, int, int]]:
     """The k + 1 best classes of a tree per query, none of them under the bound that the query brings."""
     d = tree.dimension
     ids = np.frombuffer(tree.ids, np.int64)
@@ -61,15 +65,16 @@ def visit(tree, queries, k: int) -> list[tuple[int, int, float]]:
     out = []
     for q in queries:
         x = np.asarray(q["x"], dtype=np.float64)
-        bounds = hi @ np.maximum(x, 0) + lo @ np.minimum(x, 0)
-        bounds = (bounds + np.abs(bounds) * 1e-12).tolist()
-        kth, found, heap = q["bound"] if q["bound"] is not None else -np.inf, [], [(-bounds[0], 0)]
-        while heap and -heap[0][0] >= kth:
+        up, down = np.maximum(x, 0), np.minimum(x, 0)
+        # The margin covers the rounding of the sum, which goes with its terms, not with what is left of them.
+        bounds = (hi @ up + lo @ down + 1e-12 * (np.abs(hi) @ up - np.abs(lo) @ down)).tolist()
+        kth, found, heap = LEAST if q["bound"] is None else int(q["bound"]), [], [(-bounds[0], 0)]
+        while heap and min(-heap[0][0], MOST) >= kth:
             _, node = heapq.heappop(heap)
             start, stop, left, right = nodes[node]
             if left >= 0:
                 for child in (left, right):
-                    if bounds[child] >= kth:
+                    if min(bounds[child], MOST) >= kth or kth == LEAST:
                         heapq.heappush(heap, (-bounds[child], child))
                 continue
             scores = _products(points[start:stop], x)
@@ -87,22 +92,29 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
     """(query_id, rank, vec_id, score): per query the k rows of largest integer inner product.
 
     Components become floor(scale * x). Queries are rows whose vec_id is divisible by `every`, candidates all
-    rows but the query's own; ties go to the smaller vec_id, rows equal in id and vector count once. Vectors
-    that are null, hold null or non-finite components, or differ in length from most, take no part.
+    rows of the same length but the query's own; ties go to the smaller vec_id, rows equal in id and vector count
+    once. Scores are exact integers; beyond 64 bits they stop at the nearest end and count as ties there. Vectors
+    that are null or empty, or hold null or non-finite components, take no part. Components of 2^53 / scale and
+    more are whole numbers already.
     """
-    rows = materialise(usable(vectors).select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("double")).alias("x")))
+    rows = materialise(usable(vectors).select("vec_id", F.transform("x", lambda v: _floor(v, scale)).alias("x")))
     classes = materialise(distinct_vectors(rows, k))
-    index, shards = sharded(classes, build_tree, TREE)
-    queries = rows.where(F.col("vec_id") % every == 0).join(classes.select("class_id", "x"), "x").select(F.col("vec_id").alias("query_id"), "x", shard_of("class_id", shards).alias("home")).distinct()
-    queries = materialise(queries)
-
-    plain = queries.select("query_id", "x", F.lit(None).cast("double").alias("bound"), F.col("home").alias("shard"))
-    # At home: blocks within the shard.
-    blocks = plain.groupBy("shard", F.pmod(F.xxhash64("query_id"), F.lit(16)).alias("block")).agg(F.collect_list(F.struct("query_id", "x", "bound")).alias("queries"))
-    at_home = materialise(search(index, blocks.drop("block"), lambda row, qs: visit(row, qs, k)))
+    ranges, shards = shard_ranges(classes)
+    index = sharded(classes, ranges, shards, build_tree, TREE)
+    asked = rows.where(F.col("vec_id") % every == 0).join(classes.select("class_id", "x"), "x").select(F.col("vec_id").alias("query_id"), "x", "class_id").distinct()
+    queries = materialise(with_shard(asked, ranges, "class_id", "home").select("query_id", "x", "home", "first", "shards"))
+
+    plain = queries.select("query_id", "x", F.lit(None).cast("long").alias("bound"), F.col("home").alias("shard"))
+    at_home = materialise(search(index, blocks_of(plain, "shard"), lambda row, qs: visit(row, qs, k), "long"))
     kth = at_home.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("query_id", F.get("s", F.lit(k)).alias("bound"))
     bounded = materialise(queries.join(kth, "query_id", "left"))
-    packed = materialise(query_blocks(bounded.select("query_id", "x", "bound", "home")))
-    away = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("queries", F.filter("queries", lambda q: q["home"] != F.col("shard")))
-    rest = search(index, away.where(F.size("queries") > 0).drop("block"), lambda row, qs: visit(row, qs, k))
-    return best(at_home.union(rest), classes, k).withColumn("score", F.col("score").cast("long"))
+    packed = materialise(blocks_of(bounded, "first", "shards"))
+    away = packed.withColumn("shard", F.explode(F.sequence("first", F.col("first") + F.col("shards") - 1))).withColumn("queries", F.filter("queries", lambda q: q["home"] != F.col("shard")))
+    rest = search(index, away.where(F.size("queries") > 0).select("shard", "queries"), lambda row, qs: visit(row, qs, k), "long")
+    return best(at_home.union(rest), classes, k)
+
+
+def _floor(v, scale: int):
+    """floor(scale * v) as a double: Spark's floor goes through a long, so what has no fraction stays as it is."""
+    scaled = v * F.lit(float(scale))
+    return F.when(F.abs(scaled) < F.lit(2.0**53), F.floor(scaled).cast("double")).otherwise(scaled)

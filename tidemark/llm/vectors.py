@@ -4,28 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import materialise
 
-SHARD_ROWS, QUERY_BLOCK = 8192, 1024
-HITS = "query_id long, class_id long, score double"
+#: Vectors per shard, and queries that meet a shard in one row: both a few MB, so neither is copied for little work.
+SHARD_ROWS, QUERY_BLOCK = 8192, 8192
 
 
-def usable(vectors: DataFrame, dimension: int | None = None) -> DataFrame:
-    """(vec_id, x array<double>): rows with an id whose vector has no null or non-finite component.
-
-    A table's dimension is its most frequent vector length (the larger of equals); others take no part.
-    """
+def usable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, x array<double>): rows with an id whose vector has no null or non-finite component."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x")).where("vec_id is not null and size(x) > 0")
-    rows = rows.where(F.forall("x", finite))
-    if dimension is None:
-        most = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-        dimension = most["d"] if most else 0
-    return rows.where(F.size("x") == dimension)
+    return rows.where(F.forall("x", finite))
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
@@ -39,10 +32,27 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("x").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("class_id"), "x", "ids")
 
 
-def sharded(classes: DataFrame, build, schema: str) -> tuple[DataFrame, int]:
-    """(one row per shard made by build(shard, ids, matrix), number of shards), written to the shared folder."""
-    shards = max(1, -(-classes.count() // SHARD_ROWS))
-    dealt = classes.select(shard_of("class_id", shards).alias("shard"), "class_id", "x").repartitionById(shards, F.col("shard"))
+def shard_ranges(classes: DataFrame, shard_rows: int | None = None) -> tuple[DataFrame, int]:
+    """((d, first, shards): the shards of each vector length, one after another; their number).
+
+    One row per length: a vector meets only those of its own length.
+    """
+    n = classes.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    n = n.select("d", F.ceil(F.col("n") / (shard_rows or SHARD_ROWS)).cast("int").alias("shards"))
+    before = F.coalesce(F.sum("shards").over(W.orderBy("d").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = materialise(n.select("d", before.cast("int").alias("first"), "shards"))
+    return ranges, int(ranges.agg(F.sum("shards")).first()[0] or 0)
+
+
+def with_shard(rows: DataFrame, ranges: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the shard of each row (x, column) by a hash of column."""
+    joined = rows.withColumn("d", F.size("x")).join(ranges, "d")
+    return joined.withColumn(name, F.col("first") + F.pmod(F.xxhash64(column), F.col("shards")).cast("int"))
+
+
+def sharded(classes: DataFrame, ranges: DataFrame, shards: int, build, schema: str) -> DataFrame:
+    """One row per shard, made by build(shard, ids, matrix) and written to the shared folder."""
+    dealt = with_shard(classes, ranges, "class_id", "shard").select("shard", "class_id", "x").repartitionById(max(1, shards), F.col("shard"))
 
     def run(batches):
         parts = [p for p in batches if len(p)]
@@ -50,29 +60,26 @@ def sharded(classes: DataFrame, build, schema: str) -> tuple[DataFrame, int]:
             pdf = pd.concat(parts).sort_values("class_id")
             yield build(int(pdf["shard"].iloc[0]), pdf["class_id"].to_numpy(np.int64), np.stack(pdf["x"].to_numpy()).astype(np.float64))
 
-    return materialise(dealt.mapInPandas(run, schema)), shards
-
-
-def shard_of(column: str, shards: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(shards)).cast("int")
+    return materialise(dealt.mapInPandas(run, schema))
 
 
-def query_blocks(queries: DataFrame) -> DataFrame:
-    """(block, queries): at most about QUERY_BLOCK rows of queries packed into one row."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
-    return queries.groupBy(block).agg(F.collect_list(F.struct(*queries.columns)).alias("queries"))
+def blocks_of(queries: DataFrame, *by: str) -> DataFrame:
+    """(by, queries): queries (query_id, ...) packed into rows of at most about QUERY_BLOCK for each value of `by`."""
+    number = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).alias("_block")
+    return queries.groupBy(*by, number).agg(F.collect_list(F.struct(*queries.columns)).alias("queries")).drop("_block")
 
 
-def search(index: DataFrame, cells: DataFrame, look_up) -> DataFrame:
-    """Hits of look_up(index row, query rows) for every cell (shard, queries)."""
+def search(index: DataFrame, cells: DataFrame, look_up, score: str) -> DataFrame:
+    """Hits (query_id, class_id, score) of look_up(index row, query rows) for every cell (shard, queries)."""
+    kind = {"long": "int64", "double": "float64"}[score]
 
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                yield pd.DataFrame(look_up(row, row.queries), columns=["query_id", "class_id", "score"]).astype({"query_id": "int64", "class_id": "int64", "score": "float64"})
+                ids, classes, scores = zip(*hits, strict=True) if (hits := look_up(row, row.queries)) else ((), (), ())
+                yield pd.DataFrame({"query_id": np.array(ids, np.int64), "class_id": np.array(classes, np.int64), "score": np.array(scores, kind)})
 
-    return index.join(cells, "shard").mapInPandas(run, HITS)
+    return index.join(cells, "shard").mapInPandas(run, f"query_id long, class_id long, score {score}")
 
 
 def best(hits: DataFrame, classes: DataFrame, k: int) -> DataFrame:
