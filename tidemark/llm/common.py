@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import base64
+import json
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,20 +22,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a local one only where the session names none."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir.
+
+    Where the session names none, a local master gets a folder of this machine; on a cluster that would be another
+    one on each executor, so there it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+#: Bytes of one Arrow batch while tables are written: texts reach Python a few MB at a time.
+BATCH_BYTES = "8m"
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Within it, Spark hands rows to Python in batches of at most BATCH_BYTES."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no plan still to be run reads."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """(docs with the columns other than needed renamed by their place, old name -> new name).
+
+    Between this and the renaming back no column that an operator adds can clash with one of docs.
+    """
+    names = {c: c if c in needed else f"in_{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
 
 
 def salt_buckets(rows: int, per_bucket: int = 8192, least: int = 64) -> int:
@@ -69,15 +114,28 @@ def default_vocabulary() -> str:
     """Place of the byte-level BPE vocabulary, read by the executors from their own Python installation."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the rest follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """The byte-level BPE of a rank file; its ids equal those of the JSON form of the same vocabulary."""
+    """The byte-level BPE of a tokenizers JSON file with its special tokens, in a faster implementation.
+
+    encode_to_numpy(text, allowed_special="all") gives the ids that tokenizers gives without added special tokens;
+    allowed_special=() reads the special tokens' strings as ordinary text.
+    """
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    letters, special = _byte_letters(), {t["content"]: t["id"] for t in held["added_tokens"]}
+    ranks = {bytes(letters[c] for c in token): rank for token, rank in held["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)

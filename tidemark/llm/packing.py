@@ -24,7 +24,7 @@ SLOTS = "length long, rank_from long, rank_to long, first_sequence long, per_seq
 def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:
     """Tokenise whole texts (null: empty), end each with end_id and cut only those longer than capacity.
 
-    Cut documents have pieces of exactly `capacity` ids but for the first, which takes the remainder.
+    Ids are those of the vocabulary file by `tokenizers`, its special tokens' strings included. Cut documents have pieces of exactly `capacity` ids but for the first, which takes the remainder.
     `ids` holds the piece's ids as little-endian unsigned 32-bit integers.
     """
     path = vocabulary or default_vocabulary()
@@ -34,7 +34,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabul
         for batch in batches:
             doc, piece, start, length, ids = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                all_ids = np.append(bpe.encode_to_numpy(text or "", disallowed_special=()), end_id).astype("<u4")
+                all_ids = np.append(bpe.encode_to_numpy(text or "", allowed_special="all"), end_id).astype("<u4")
                 first = len(all_ids) % capacity or capacity
                 edges = [0, *range(first, len(all_ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):

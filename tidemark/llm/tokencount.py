@@ -80,7 +80,7 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str | None = None) -> D
         with open(f"{folder}/{name}", "wb") as f:
             for batch in batches:
                 for text in batch.column(1).to_pylist():
-                    f.write(np.append(bpe.encode_to_numpy(text or "", disallowed_special=()), END_OF_DOCUMENT).astype(KIND).tobytes())
+                    f.write(np.append(bpe.encode_to_numpy(text or "", allowed_special=set(), disallowed_special=()), END_OF_DOCUMENT).astype(KIND).tobytes())
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(ordinal, ordinal + n), pa.int64()), batch.column(0).cast(pa.int64())], names=["file", "ordinal", "doc_id"])
                 ordinal += n
@@ -120,7 +120,7 @@ def flat_blocks(docs: DataFrame, vocabulary: str | None = None, block_tokens: in
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append(np.append(bpe.encode_to_numpy(text or "", disallowed_special=()), END_OF_DOCUMENT).astype(KIND))
+                held.append(np.append(bpe.encode_to_numpy(text or "", allowed_special=set(), disallowed_special=()), END_OF_DOCUMENT).astype(KIND))
                 ids.append(doc_id)
                 size += len(held[-1])
                 if size >= 8 * block_tokens:

@@ -74,7 +74,7 @@ class Prefixes:
         count = len(self.sums) - n
         if count <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[n:] - self.sums[:-n]) * self.down[:count] + np.uint64(n) * BASE)
+        return mix((self.sums[n:] - self.sums[:-n]) * self.down[:count] + np.uint64(n * int(BASE) % (1 << 64)))
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
