@@ -91,6 +91,37 @@ def test_large_group_of_near_copies(spark, drift, monkeypatch):
     assert got(minhash.near_duplicates(frame(spark, rows))) == brute(rows)
 
 
+def test_query_matches_its_twin(spark, oracle, rows_of):
+    sf, name = "/root/testdata/sf0.01", "op6_minhash_near_dedup"
+    assert rows_of(registry.QUERIES[name](spark, sf)) == oracle(registry.ORACLE[name], sf)
+
+
+def test_rows_of_one_id_and_a_hot_group(spark):
+    """Texts of one doc_id are linked each by its own; a bucket of 5,000 near copies in which a third of the rows are equal."""
+    base = [f"w{i}" for i in range(60)]
+    other = " ".join(f"o{i}" for i in range(60))
+    rows = [(1, other), (1, "short text of five words"), (1, None), (2, other), (2, "nobody has this text at all"), (3, None)]
+    out = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows)).collect())
+    assert out == [(1, 0, 1), (1, 1, 1), (1, 56, 1), (2, 2, 2), (2, 56, 1), (3, 0, 3)]
+    kept = sorted((r["doc_id"], r["text"] or "") for r in minhash.without_near_duplicates(frame(spark, rows)).collect())
+    assert kept == [(1, ""), (1, other), (1, "short text of five words"), (2, "nobody has this text at all"), (3, "")]
+
+    hot = [(10_000 + k, " ".join(base)) for k in range(1_700)]
+    hot += [(20_000 + k, " ".join([*base[:-1], f"x{k}"])) for k in range(3_300)]
+    found = got(minhash.near_duplicates(frame(spark, hot)))
+    assert found == {i: (56, 10_000) for i, _ in hot}
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    schema = "doc_id long, text string, text_key string, nth int, component_id string, in_2 long, kept string"
+    df = spark.createDataFrame([(2, text, "t", 7, "c", 1, "k"), (1, text, "t", 8, "c", 1, "k"), (1, text, "t", 8, "c", 1, "k"), (None, text, None, None, None, None, None), (3, None, "t", 9, "c", 2, "k")], schema)
+    out = minhash.without_near_duplicates(df)
+    assert out.schema == df.schema
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(1, text, "t", 8, "c", 1, "k"), (None, text, None, None, None, None, None), (3, None, "t", 9, "c", 2, "k")], key=str)
+    assert minhash.without_near_duplicates(df.limit(0)).count() == 0
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (3, 4)]
     out = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

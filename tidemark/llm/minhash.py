@@ -2,7 +2,7 @@
 
 Signatures hold the low bits of 80 minima, packed; 20 bands of 4 whole minima give candidates, whose similarity
 is first estimated from bit counts, corrected for chance collisions, and then confirmed on the full shingle
-sets. Documents with equal sets form one class, so copies never meet as pairs. Within a bucket, classes are
+sets. Documents with equal sets form one class, numbered by `rep`, so copies never meet as pairs. Within a bucket, classes are
 first held against one pivot, the class that shares most buckets; only classes of a bucket still in different
 components are then compared with one another, where an exact prefix filter over their rarest shingles leaves
 few pairs. A pair at similarity 0.85 shares no band with a probability
@@ -21,18 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise
+from .common import SPACES, discard, materialise, set_aside
 from .components import components
 from .words import Prefixes, hash_words, lower_ascii, mix, word_lists
 
 MINIMA, BANDS, BITS = 80, 20, 2
 #: An estimate this far under the threshold rules a pair out: a pair at 0.85 with 53 or fewer equal minima, 9e-8 of them.
 MARGIN = 0.29
-#: Classes per block when the rest of a bucket is compared.
-BLOCK = 256
+#: Classes per block when the rest of a bucket is compared; a row for each class and block is dealt out.
+BLOCK = 2048
 #: Up to so many classes of a key meet in a plain join.
 FEW = 32
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, sig_0 long, sig_1 long, sig_2 long, bands array<long>"
+SIGNED = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, sig_0 long, sig_1 long, sig_2 long, bands array<long>"
 
 _RNG = np.random.default_rng(20260101)
 _FLIP = _RNG.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
@@ -73,12 +73,12 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """Per document: set size, a 128-bit set identity, the packed low bits of its minima and its band keys."""
+    """Per document and text_key, a digest of its text: set size, a 128-bit set identity, the packed low bits of its minima and its band keys."""
 
     def sign(batches):
         for batch in batches:
-            for part in slices(batch, 1):
-                grams, at = shingle_sets(part.column(1), width)
+            for part in slices(batch, 2):
+                grams, at = shingle_sets(part.column(2), width)
                 some = np.flatnonzero(np.diff(at))
                 starts = at[some]
                 minima = np.empty((len(some), MINIMA), np.uint64)
@@ -101,16 +101,17 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).cast(pa.int64()),
+                        part.column(1),
                         pa.array(np.diff(at).astype(np.int64)),
                         pa.array(np.ascontiguousarray(identity[:, 0]).view(np.int64)),
                         pa.array(np.ascontiguousarray(identity[:, 1]).view(np.int64)),
                         *(pa.array(np.ascontiguousarray(sig[:, k])) for k in range(3)),
                         pa.ListArray.from_arrays(pa.array(np.cumsum(per, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "sig_0", "sig_1", "sig_2", "bands"],
+                    names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "sig_0", "sig_1", "sig_2", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, SIGNED)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(sign, SIGNED)
 
 
 def _likely(threshold: float, a: str, b: str):
@@ -227,31 +228,36 @@ def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
+    """(doc_id, text_key, n_shingles, component_id, kept, component) for every row of docs (doc_id, text).
 
     Documents are linked if 100 * intersection >= percent * union over their sets of distinct `width`-word
     shingles; component_id is the smallest doc_id reachable. Documents without words are linked with nothing.
-    Rows that share a doc_id count as one document, linked by the least of its texts; a null doc_id links nothing: its component is null and
-    it is kept. `percent` may be 80 or more, for which the bands are laid out.
+    Rows that share a doc_id are told apart by text_key, a digest of the text, and linked each by its own text; a
+    null doc_id links nothing: its component is null and it is kept. `component` tells components apart where
+    unlinked texts share a doc_id; its numbers mean nothing else and are null without words. `percent` may be 80 or
+    more, for which the bands are laid out.
     """
     if percent < 80:
         raise ValueError("the bands are laid out for a similarity of 0.8 or more")
     threshold = percent / 100
     signed = materialise(signatures(docs, width))
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    first = F.min_by(F.struct("n_shingles", "sig_0", "sig_1", "sig_2", "bands"), "doc_id").alias("x")
-    sets = materialise(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), first).select("set_a", "set_b", "rep", F.col("x.n_shingles").alias("n"), "x.sig_0", "x.sig_1", "x.sig_2", "x.bands"))
+    first = F.min_by(F.struct("doc_id", "text_key", "n_shingles", "sig_0", "sig_1", "sig_2", "bands"), F.struct("doc_id", "text_key")).alias("x")
+    grouped = some.groupBy("set_a", "set_b").agg(first)
+    sets = materialise(grouped.select(F.monotonically_increasing_id().alias("rep"), "set_a", "set_b", "x.doc_id", "x.text_key", F.col("x.n_shingles").alias("n"), "x.sig_0", "x.sig_1", "x.sig_2", "x.bands"))
     classes = sets.select("rep", "n", "sig_0", "sig_1", "sig_2")
-    banded = sets.select(F.explode("bands").alias("key"), "rep")
+    banded = sets.select(F.explode("bands").alias("key"), "rep", F.col("doc_id").alias("id"))
     shared = materialise(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     members = materialise(banded.join(shared, "key"))
     score = materialise(members.groupBy("rep").agg(F.sum("members").alias("score")))
-    scored = members.select("key", "rep").join(score, "rep")
-    pivots = materialise(scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("least"))).alias("p")).select("key", (-F.col("p.least")).alias("pivot")))
+    # The pivot of a bucket: the class that shares most; of equals the one with the smallest document.
+    chosen = F.max(F.struct("score", (-F.col("id")).alias("least"), "rep")).alias("p")
+    pivots = materialise(members.select("key", "rep", "id").join(score, "rep").groupBy("key").agg(chosen).select("key", F.col("p.rep").alias("pivot")))
     stars = members.join(pivots, "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     likely = materialise(_with(_with(stars, "a", classes), "b", classes).where(_likely(threshold, "a", "b")).select("a", "b"))
+    discard(shared, score, pivots)
 
-    texts = _texts(docs, members)
+    texts = _texts(docs, sets, members)
     links = _confirm(likely, texts, percent, width)
     found = materialise(components(links))
 
@@ -263,17 +269,37 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     rest = materialise(open_reps.join(classes, "rep"))
     pairs = materialise(_rest_pairs(_prefixes(rest, texts, percent, width), percent).join(likely, ["a", "b"], "left_anti"))
     more = _confirm(pairs, texts, percent, width)
+    discard(members, labelled, rest, pairs, texts, found)
     found = materialise(components(links.union(more)))
 
-    ids = sets.select("set_a", "set_b", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    ids = materialise(ids.select("set_a", "set_b", F.coalesce("component", "rep").alias("c")))
-    joined = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(ids, ["set_a", "set_b"], "left")
+    # Classes are numbered as they come; a component's id is its smallest document.
+    linked = sets.select("rep", "set_a", "set_b", "doc_id").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = materialise(linked.groupBy("component").agg(F.min("doc_id").alias("c")))
+    ids = materialise(linked.join(least, "component").select("set_a", "set_b", "c", "component"))
+    joined = signed.select("doc_id", "text_key", "n_shingles", "set_a", "set_b").join(ids, ["set_a", "set_b"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")))
-    return joined.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return joined.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "component")
 
 
-def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
     """One text for each class that shares a bucket."""
-    wanted = materialise(members.select("rep").distinct())
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
+    wanted = materialise(sets.select("rep", "doc_id", "text_key").join(members.select("rep").distinct(), "rep"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(wanted, ["doc_id", "text_key"])
     return materialise(texts.groupBy("rep").agg(F.min("text").alias("text")))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """docs with one row of each group of near copies: its smallest doc_id; of that one's texts and rows the first by digest.
+
+    Rows whose texts are not linked stay apart even if they share a doc_id. Rows without words or without doc_id are
+    nobody's copies and stay.
+    """
+    apart, names = set_aside(docs, "doc_id", "text")
+    wordless = ~F.coalesce(F.col("text").rlike(f"[^{SPACES}]"), F.lit(False)) | F.col("doc_id").isNull()
+    found = near_duplicates(apart.where(~wordless).select("doc_id", "text"), percent, width)
+    kept = found.where("kept").groupBy("component").agg(F.min("component_id").alias("doc_id"), F.min("text_key").alias("text_key"))
+    keyed = apart.where(~wordless).withColumn("text_key", F.xxhash64("text"))
+    same = keyed.join(materialise(kept.select("doc_id", "text_key")), ["doc_id", "text_key"], "left_semi")
+    nth = F.row_number().over(W.partitionBy("doc_id", "text_key").orderBy(F.xxhash64(*apart.columns)))
+    one = same.withColumn("nth", nth).where("nth = 1").select(*apart.columns)
+    return one.unionByName(apart.where(wordless)).select(*[F.col(names[c]).alias(c) for c in docs.columns])

@@ -48,7 +48,7 @@ def op5_token_counts(spark, sf_dir):
 
 
 def op6_minhash_near_dedup(spark, sf_dir):
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "component")
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_license_scan, op4_substring_dedup, op5_token_counts, op6_minhash_near_dedup, op7_hnsw_neighbours, op8_quality, op9_kdtree_top_products, op10_source_mixing)}
@@ -78,3 +78,16 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 ORACLE["op3_license_scan"] = licenses.scan_sql()
+
+#: Exact components: equal sets first, then pairs of sets that share a shingle, then the least doc_id reachable.
+ORACLE["op6_minhash_near_dedup"] = """
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM d),
+k AS MATERIALIZED (SELECT min(doc_id) AS rep, len(g) AS n, g FROM s WHERE len(g) > 0 GROUP BY g),
+x AS MATERIALIZED (SELECT rep, n, hash(u) AS h FROM (SELECT rep, n, unnest(g) AS u FROM k)),
+p AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.h = b.h AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p UNION ALL SELECT rep, rep FROM k),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS rep, min(b) AS c FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(c.c, s.doc_id) AS component_id, coalesce(c.c, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN k ON s.g = k.g LEFT JOIN c ON c.rep = k.rep"""
