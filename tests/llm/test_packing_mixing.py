@@ -17,7 +17,7 @@ def docs(spark, rows):
 
 @pytest.fixture(scope="module")
 def awkward(spark):
-    rows = [(0, None, "a"), (1, "", "a"), (2, " \n", None), (3, "word " * 3000, "b"), (4, "one two", "b"), (4, "one two", "b"), (None, "x y z", None)]
+    rows = [(50, "a <|endoftext|> b", "a"), (51, "<|endoftext|>", "a"), (52, "<|endoftext |> <|endoftext|><|endoftext|>x", None), (0, None, "a"), (1, "", "a"), (2, " \n", None), (3, "word " * 3000, "b"), (4, "one two", "b"), (4, "one two", "b"), (None, "x y z", None)]
     return docs(spark, rows + [(10 + i, "same text here", "a") for i in range(200)])
 
 
@@ -59,7 +59,6 @@ def test_pack_rejects_long_pieces_and_accepts_none(spark):
 
 def expected_pieces(rows, capacity=1024):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out = Counter()
     for doc_id, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -89,6 +88,24 @@ def test_token_pieces_hold_the_ids(spark):
     assert list(np.frombuffer(r["ids"], "<u4")) == [31373, 995, 2]
 
 
+def test_pack_with_any_columns(spark):
+    schema = "doc_id long, piece int, length long, place string, slot_length string, rank_from long, sequence_id string, _salt int"
+    df = spark.createDataFrame([(i, 0, 3, "p", "s", 5, "old", 7) for i in range(9)], schema)
+    rows = packing.pack(df, 8).collect()
+    assert check_packing(rows, 8) == 5 and {(r["place"], r["slot_length"], r["rank_from"], r["_salt"]) for r in rows} == {("p", "s", 5, 7)}
+
+
+def test_assembled_sequences_hold_every_id(spark):
+    """Exact round trip: packed sequences cut back into pieces give every document's ids."""
+    texts = {i: " ".join(f"word{k}" for k in range(i * 37 % 400)) for i in range(30)}
+    pieces = packing.token_pieces(docs(spark, [(i, t, "a") for i, t in texts.items()]), 64)
+    placed = packing.pack(pieces, 64)
+    whole = {r["sequence_id"]: np.frombuffer(r["ids"], "<u4") for r in packing.assemble(placed).collect()}
+    for r in placed.collect():
+        assert (whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == np.frombuffer(r["ids"], "<u4")).all()
+    assert sum(map(len, whole.values())) == sum(r["length"] for r in placed.collect())
+
+
 def water_levels(sizes, weights=(1, 2, 3), most=3):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
@@ -132,6 +149,43 @@ def test_mix_query_hits_its_targets(spark):
     assert max(abs(taken[s] - t) for s, t in targets.items()) <= 1
 
 
+def test_many_sources_share_by_water_level(spark):
+    rng = np.random.default_rng(4)
+    sizes = {f"s{i:04}": int(x) for i, x in enumerate(rng.lognormal(3, 2, 500))} | {None: 90, "": 0}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    out = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}
+    want = water_levels(sizes)
+    assert out.keys() == want.keys() and all(out[s] == pytest.approx(want[s]) for s in want)
+
+
+def test_sizes_and_targets_match_sql(spark, oracle):
+    """The part of the mix that SQL can express: sizes, sources' sizes, and targets by sharing again and again."""
+    sf = "/root/testdata/sf0.001"
+    sql = r"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+    s AS (SELECT source, sum(size) AS n FROM d GROUP BY source), w AS (SELECT source, n, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM s),
+    o AS (SELECT *, row_number() OVER (ORDER BY 3 * n / w, source NULLS LAST) AS k, count(*) OVER () AS m, sum(n) OVER () AS total FROM w),
+    l AS (SELECT *, (total - coalesce(sum(3 * n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+    f AS (SELECT min_by(level, k) FILTER (level * w <= 3 * n) AS level FROM l)
+    SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, round(least(3 * n, f.level * w), 6) AS target FROM d JOIN l ON d.source IS NOT DISTINCT FROM l.source, f"""
+    rows = registry.op10_source_mixing(spark, sf).collect()
+    names, want = oracle(sql.replace("\\\\", "\\"), sf)
+    assert sorted(((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6)) for r in rows), key=repr) == want
+
+
+def test_mixed_rows_repeat_and_keep_columns(spark):
+    schema = "doc_id long, text string, source string, row string, copy int, repeats int, _times long"
+    rows = [(1, "a b c", "a", "r", 1, 2, 3)] * 40 + [(2, "a b", "b", "r", 1, 2, 3), (None, "x", None, None, None, None, None), (3, None, "b", "r", 1, 2, 3)]
+    df = spark.createDataFrame(rows, schema)
+    out = mixing.mixed_rows(df)
+    assert out.schema == df.schema
+    got = Counter(tuple(r) for r in out.collect())
+    sums = Counter()
+    for r in mixing.mix(df).collect():
+        sums[r["doc_id"], r["source"]] += r["repeats"]
+    assert {(k[0], k[2]): n for k, n in got.items()} == {k: n for k, n in sums.items() if n}
+    assert mixing.mixed_rows(df.limit(0)).count() == 0
+
+
 def test_mix_of_nothing(spark, awkward):
     assert mixing.mix(awkward.limit(0)).count() == 0
     assert {r["repeats"] for r in mixing.mix(awkward.where("doc_id < 3")).collect()} == {0}

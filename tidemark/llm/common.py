@@ -105,6 +105,21 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[Column], buckets: in
     return joined.withColumn(name, F.col("_start") + F.col("_rn") - 1).drop(*names, "_salt", "_rn", "_start")
 
 
+def prefix_sums(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Add, by name, the sum of each column over the rows before a row in a total order, without sorting all in one task.
+
+    Rows are dealt by range; each range sums its own rows, from the sum of the ranges before it: one row per range.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(rows.withColumns({f"x_{n}": c for n, c in sums.items()}).repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
+    totals = dealt.groupBy("range").agg(*[F.sum(f"x_{n}").alias(f"t_{n}") for n in sums])
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select("range", *[F.coalesce(F.sum(f"t_{n}").over(before), F.lit(0)).alias(f"s_{n}") for n in sums])
+    within = W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    own = dealt.withColumns({n: F.coalesce(F.sum(f"x_{n}").over(within), F.lit(0)) for n in sums})
+    return own.join(starts, "range").select(*rows.columns, *[(F.col(n) + F.col(f"s_{n}")).alias(n) for n in sums])
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACES}]+")), F.lit(0)).cast("long")

@@ -15,17 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import default_vocabulary, encoder, materialise, salt_buckets, salted_rank
+from .common import default_vocabulary, encoder, materialise, salt_buckets, salted_rank, set_aside
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-SLOTS = "length long, rank_from long, rank_to long, first_sequence long, per_sequence long, slot_offset long"
+SLOTS = "slot_length long, rank_from long, rank_to long, first_sequence long, per_sequence long, slot_offset long"
 
 
 def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:
     """Tokenise whole texts (null: empty), end each with end_id and cut only those longer than capacity.
 
-    Ids are those of the vocabulary file by `tokenizers`, its special tokens' strings included. Cut documents have pieces of exactly `capacity` ids but for the first, which takes the remainder.
-    `ids` holds the piece's ids as little-endian unsigned 32-bit integers.
+    Ids are those of the vocabulary file by `tokenizers`, its special tokens' strings included. Cut documents have
+    pieces of exactly `capacity` ids but for the first, which takes the remainder. `ids` holds the piece's ids as little-endian unsigned 32-bit integers.
     """
     path = vocabulary or default_vocabulary()
 
@@ -97,18 +97,21 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
     Every row is placed once, repeated rows included; an empty table stays empty. Sequences have no gaps:
     offsets start at 0 and each piece begins where the one before it ends. `pieces` is read twice, so pass a
-    written table where it is costly. Other columns ride along; `sequence_id` and `offset` must not be among them.
+    written table where it is costly. Other columns ride along; any named sequence_id or offset give way.
+
+    A length has few slots (5 on average for 3 million lengths of log-normal spread), so a piece tries its length's.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if counts and not 0 < min(counts) <= max(counts) <= capacity:
         raise ValueError(f"piece lengths must be within 1..{capacity}")
-    slots = spark.createDataFrame(best_fit_plan(counts, capacity), SLOTS).withColumnRenamed("length", "slot_length")
-    ranked = salted_rank(pieces, ["length"], [F.col("doc_id"), F.col("piece")], salt_buckets(sum(counts.values())), "_rank")
-    nth = F.col("_rank") - F.col("rank_from")
-    placed = ranked.join(F.broadcast(slots), (F.col("length") == F.col("slot_length")) & F.col("_rank").between(F.col("rank_from"), F.col("rank_to") - 1))
+    apart, names = set_aside(pieces, "doc_id", "piece", "length")
+    slots = spark.createDataFrame(best_fit_plan(counts, capacity), SLOTS)
+    ranked = salted_rank(apart, ["length"], [F.col("doc_id"), F.col("piece")], salt_buckets(sum(counts.values())), "place")
+    placed = ranked.join(F.broadcast(slots), (F.col("length") == F.col("slot_length")) & F.col("place").between(F.col("rank_from"), F.col("rank_to") - 1))
+    nth = F.col("place") - F.col("rank_from")
     return placed.select(
-        *pieces.columns,
+        *[F.col(n).alias(c) for c, n in names.items() if c not in ("sequence_id", "offset")],
         (F.col("first_sequence") + F.floor(nth / F.col("per_sequence"))).cast("long").alias("sequence_id"),
         (F.col("slot_offset") + F.pmod(nth, F.col("per_sequence")) * F.col("length")).cast("long").alias("offset"),
     )
