@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidemark.llm import minhash, mixing, packing, substrings, toxicity
-from tidemark.llm.common import materialise, table
+from tidemark.llm.common import discard, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,20 +14,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays, in one row.
+    """Of each group of documents linked at a similarity of 0.8 or more the smallest doc_id stays, in one row.
 
     Documents without words, and rows without doc_id, are nobody's copies and stay.
     """
-    kept = materialise(minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct())
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("_nth = 1")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return minhash.without_near_duplicates(docs, percent=80)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document holds are cut from the text; every document stays."""
-    cut = substrings.remove_duplicates(docs)
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.select(*[length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return substrings.without_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +52,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every stage is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        discard(before)
     return docs
