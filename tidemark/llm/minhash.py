@@ -284,7 +284,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
 def _texts(docs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
     """One text for each class that shares a bucket."""
     wanted = materialise(sets.select("rep", "doc_id", "text_key").join(members.select("rep").distinct(), "rep"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(wanted, ["doc_id", "text_key"])
+    # The wanted rows grow with the documents, so they are never broadcast.
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(wanted.hint("merge"), ["doc_id", "text_key"])
     return materialise(texts.groupBy("rep").agg(F.min("text").alias("text")))
 
 
