@@ -25,6 +25,10 @@ def test_lists_equal_the_engines(spark):
     catalogue = models.Catalogue(engine.items, M.tfidf(engine.items), vectors, M.reader_postings(inter))
     asked = spark.createDataFrame([(i + 100, i) for i in (1, 7, 30)], "query_id long, query long")
     out = models.model_lists(asked, catalogue).collect()
+    key = lambda df: sorted(tuple(r) for r in df.select("model", "query_id", "item_id", "score", "rank").collect())
+    parts = (asked, engine.items, M.tfidf(engine.items), vectors, M.reader_postings(inter))
+    for alphas in (None, (0.0, 0.5, 1.0)):
+        assert key(models.lists(*parts, alphas=alphas, most=0)) == key(models.lists(*parts, alphas=alphas))
     assert {r["model"] for r in out} == set(models.MODELS) == set(engine.models)
     for model in models.MODELS:
         for i in (1, 7, 30):

@@ -5,7 +5,7 @@ Arguments are checked on the driver as a caller expects (ValueError, KeyError);
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -13,8 +13,12 @@ from .operators import popularity as pop
 from .operators import ranking as R
 from .operators import search as S
 from .operators import similarity as M
+from .sources import raw, tables
 
 MOST_SEEDS, MIN_READERS, ALPHA, BETA = 20, 5, 0.5, 0.2
+#: The largest lists that a request may ask for.
+MOST_FOUND, MOST_POPULAR, MOST_RECOMMENDED = 20, 100, 50
+SOURCES = ("a_popularity", "b_popularity")
 CONTENT_MODELS = ("tfidf", "embeddings", "hybrid", "hybrid_popular")
 READER_MODELS = ("cf", "hybrid_cf")
 
@@ -23,7 +27,7 @@ class Engine:
     """Models over a catalogue (item_id, title, author, description, tags, has_description, and popularity counts).
 
     `vectors` (item_id, vector) adds embeddings, hybrid and hybrid_popular; `interactions` (user_id, item_id) adds
-    cf and hybrid_cf. Postings are made once and written where the session names a shared folder.
+    cf and hybrid_cf. Postings and the title index are made once and written to the shared folder.
     """
 
     def __init__(self, catalog: DataFrame, sources: tuple[str, ...], vectors: DataFrame | None = None, interactions: DataFrame | None = None):
@@ -31,7 +35,8 @@ class Engine:
         items = pop.popularity(catalog, sources)
         self.items = R.written(items.withColumn("text", X.model_text(F.col("title"), F.col("tags"), F.col("description"))))
         self.content = self.items.where("has_description").select("item_id")
-        self.postings = {"tfidf": R.written(M.tfidf(self.items.select("item_id", "text")))}
+        self.postings = {"tfidf": M.tfidf(self.items.select("item_id", "text"))}
+        self.titles = S.TitleIndex(self.items.select("item_id", "title"))
         self.vectors = vectors
         self.models = ["popularity", "tfidf"]
         if vectors is not None:
@@ -51,13 +56,16 @@ class Engine:
         return row.asDict()
 
     def popular(self, k: int = 10) -> DataFrame:
+        """The k (1 to 100) most popular items."""
+        _within("k", k, MOST_POPULAR)
         return self._results(self._popularity([]), k)
 
     def search_titles(self, query: str, n: int = 5) -> tuple[str, list[dict]]:
-        """('match', [item]), ('did_you_mean', items) or ('not_found', [])."""
+        """('match', [item]), ('did_you_mean', items) or ('not_found', []); n is 1 to 20."""
+        _within("n", n, MOST_FOUND)
         if not 1 <= len(query) <= 200:
             raise ValueError("a title has 1 to 200 characters")
-        rows = S.search(self.items.select("item_id", "title", "author", "has_description", "popularity"), query, n).orderBy("rank").collect()
+        rows = S.search(self.items.select("item_id", "title", "author", "has_description", "popularity"), query, n, self.titles).orderBy("rank").collect()
         if not rows:
             return "not_found", []
         return rows[0]["status"], [{"item_id": r["item_id"], "title": r["title"], "author": r["author"], "match": round(r["match"], 3)} for r in rows]
@@ -65,7 +73,8 @@ class Engine:
     # --- recommendations --------------------------------------------------------------------------------------
 
     def recommend(self, item_ids: list, model: str = "popularity", k: int = 10) -> DataFrame:
-        """The k best items for 1 to 20 seeds: item_id, title, author, description, score, rank."""
+        """The k (1 to 50) best items for 1 to 20 seeds: item_id, title, author, description, score, rank."""
+        _within("k", k, MOST_RECOMMENDED)
         ids = list(dict.fromkeys(item_ids))
         if model not in self.models:
             raise ValueError(f"no model {model!r}; there are {sorted(self.models)}")
@@ -128,3 +137,17 @@ class Engine:
         best = R.rounded(scores).orderBy(*R.best()).limit(k)
         top = R.top_k(best, k).select("item_id", F.round("score", 4).alias("score"), "rank")
         return self._shown(top.join(self.items, "item_id")).orderBy("rank")
+
+
+def _within(name: str, value: int, most: int) -> None:
+    if not 1 <= value <= most:
+        raise ValueError(f"{name} is 1 to {most}, not {value}")
+
+
+def open_engine(spark: SparkSession, catalog_path: str, interactions_path: str | None = None) -> Engine:
+    """The engine of a built catalogue: with vectors if its cache exists, with readers if interactions are given."""
+    catalog = tables.read_table(spark, catalog_path)
+    inter = None
+    if interactions_path:
+        inter = raw.interactions(spark, interactions_path, catalog, tables.read_aliases(spark, catalog_path))
+    return Engine(catalog, SOURCES, tables.cached_vectors(catalog, catalog_path), inter)

@@ -112,7 +112,7 @@ def first_author_by_semicolon(c: Column) -> Column:
 
 
 def list_literal(c: Column) -> Column:
-    """Quoted lists to arrays; anything else to an empty array (udf.any_list_literal reads every literal)."""
+    """Quoted lists to arrays; anything else to an empty array (udf.any_list_literal reads all flat lists)."""
     parsed = F.from_json(c, "array<string>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
     return F.coalesce(F.filter(parsed, lambda x: x.isNotNull()), F.array().cast("array<string>"))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import ast
+import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,25 +15,60 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+@lru_cache(maxsize=1)
+def combining_marks() -> dict[int, None]:
+    """The translation table that drops every combining mark of Unicode."""
+    return dict.fromkeys(c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c)))
+
+
 @F.pandas_udf(T.StringType())
 def fold_any(texts: pd.Series) -> pd.Series:
     """Casefolded and stripped of combining marks, for every script."""
-    strip = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t.casefold()) if not unicodedata.combining(c))
-    return texts.map(strip, na_action="ignore")
+    return texts.str.casefold().str.normalize("NFKD").str.translate(combining_marks())
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def any_list_literal(values: pd.Series) -> pd.Series:
-    """Any list literal to its items as text; everything else to an empty list."""
+#: An item of a list: quoted either way, or bare up to the next comma; then a comma or the end.
+_ITEM = re.compile(r"""\s*(?:'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)"|([^\s,'"\[\](){}]+))\s*(,|$)""", re.DOTALL)
+_ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|(.))", re.DOTALL)
+_ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "\n": ""}
+
+
+def _unescaped(text: str) -> str:
+    return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[3] is None else _ESCAPED.get(m[3], m[3]), text)
 
-    def parse(value):
+
+def _bare(word: str) -> str | None:
+    """A number or constant as text, None for what is neither."""
+    if word in ("True", "False", "None"):
+        return word
+    for kind in (int, float):
         try:
-            found = ast.literal_eval(value)
-        except (ValueError, SyntaxError, TypeError, MemoryError):
+            return str(kind(word))
+        except ValueError:
+            pass
+    return None
+
+
+def list_items(literal: str | None) -> list[str]:
+    """The items of a flat list of strings, numbers and constants, as text; an empty list for everything else."""
+    text = (literal or "").strip()
+    if text[:1] != "[" or text[-1:] != "]":
+        return []
+    inner, items, at = text[1:-1].rstrip(), [], 0
+    while at < len(inner):
+        m = _ITEM.match(inner, at)
+        item = None if m is None else _bare(m[3]) if m[3] else _unescaped(m[1] if m[1] is not None else m[2])
+        if item is None:
             return []
-        return [str(x) for x in found] if isinstance(found, list) else []
+        items.append(item)
+        at = m.end()
+    return items
 
-    return values.map(parse)
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def any_list_literal(values: pd.Series) -> pd.Series:
+    """Flat list literals to their items as text; everything else to an empty list."""
+    return values.map(list_items)
 
 
 def hashed_words(texts: list[str], dimension: int = 64) -> np.ndarray:

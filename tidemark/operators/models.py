@@ -1,8 +1,8 @@
 """Top lists of every model for many one-seed queries, in one job keyed by query_id and model.
 
-Each query needs the ranks of all items in two models, so rows per (query, item) would be queries x items. Here
-queries are dealt out and each task scores them against the catalogue as arrays, which driver and tasks hold whole:
-the memory needed grows with the items and their postings, not with the queries.
+Each query needs the ranks of all items in two models. `spark_lists` makes them with the ranking operators, in rows per
+query and item. Where the catalogue is small enough to be held by every task, which `lists` checks, `model_lists` deals
+queries out instead and scores each against the catalogue as arrays. Both give the same lists.
 """
 
 from __future__ import annotations
@@ -12,6 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranking as R
+from . import similarity as M
+
+#: Postings and vector components that driver and tasks hold at most: about 100 MB.
+MOST_HELD = 5_000_000
 MODELS = ("popularity", "tfidf", "embeddings", "hybrid", "hybrid_popular", "cf", "hybrid_cf")
 LISTS = "model string, query_id long, item_id long, score double, rank int"
 
@@ -129,3 +134,40 @@ def model_lists(queries: DataFrame, catalogue: Catalogue, k: int = 10, alphas: t
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return queries.select(F.col("query_id").cast("long"), F.col("query").cast("long")).repartition(parts, "query_id").mapInArrow(run, LISTS)
+
+
+def spark_lists(queries: DataFrame, items: DataFrame, tfidf: DataFrame, vectors: DataFrame, cf: DataFrame, k: int = 10, alphas: tuple[float, ...] | None = None, least_readers: int = 5) -> DataFrame:
+    """The rows of model_lists for items (item_id, popularity, has_description), by joins, range ranks and fusion."""
+    seeds = R.written(queries.join(items.select(F.col("item_id").alias("query")), "query", "left_semi").select("query_id", F.col("query").alias("item_id")))
+    content = items.where("has_description").select("item_id")
+    text = M.similar(seeds, tfidf).join(content, "item_id", "left_semi")
+    dense = M.dense_similar(seeds.join(vectors, "item_id").select("query_id", F.col("vector").cast("array<double>").alias("profile")), vectors).join(content, "item_id", "left_semi")
+    by_text, by_vector = R.ranked(R.completed(text, content, seeds)), R.ranked(R.completed(dense, content, seeds))
+    named = lambda scores, model: R.top_k(R.without_seeds(scores, seeds), k).select(F.lit(model).alias("model"), F.col("query_id").cast("long"), F.col("item_id").cast("long"), "score", "rank")
+    if alphas is not None:
+        swept = R.top_k(R.without_seeds(R.sweep(by_text, by_vector, alphas), seeds), k, "alpha", "query_id")
+        return swept.select(F.concat(F.lit("alpha="), F.col("alpha").cast("string")).alias("model"), F.col("query_id").cast("long"), F.col("item_id").cast("long"), "score", "rank")
+    supported = cf.groupBy("item_id").count().where(F.col("count") >= least_readers).join(content, "item_id", "left_semi").select("item_id")
+    readers = M.similar(seeds, cf).join(supported, "item_id", "left_semi")
+    hybrid = R.fused(by_text, by_vector).select("query_id", "item_id", "score")
+    # The same list for everyone but for the seed: with one item out, k + 1 suffice.
+    best = items.select("item_id", F.round("popularity", 9).alias("score")).orderBy(*R.best()).limit(k + 1)
+    out = named(seeds.select("query_id").join(F.broadcast(best)), "popularity")
+    for model, scores in {
+        "tfidf": R.rounded(text).where("score > 0"),
+        "embeddings": R.rounded(dense).where("score > 0"),
+        "cf": R.rounded(readers).where("score > 0"),
+        "hybrid": hybrid,
+        "hybrid_popular": R.reranked(R.without_seeds(hybrid, seeds), items).select("query_id", "item_id", "score"),
+        "hybrid_cf": R.fused(R.ranked(R.completed(text, content, seeds)), R.ranked(R.completed(readers, supported, seeds))).select("query_id", "item_id", "score"),
+    }.items():
+        out = out.unionByName(named(scores, model))
+    return out
+
+
+def lists(queries: DataFrame, items: DataFrame, tfidf: DataFrame, vectors: DataFrame, cf: DataFrame, k: int = 10, alphas: tuple[float, ...] | None = None, least_readers: int = 5, most: int = MOST_HELD) -> DataFrame:
+    """Top lists by arrays where the catalogue has at most `most` postings and vector components, else by joins."""
+    held = tfidf.count() + cf.count() + (vectors.agg(F.sum(F.size("vector"))).first()[0] or 0)
+    if held > most:
+        return spark_lists(queries, items, tfidf, vectors, cf, k, alphas, least_readers)
+    return model_lists(queries, Catalogue(items, tfidf, vectors, cf, least_readers), k, alphas)

@@ -12,15 +12,24 @@ def readers(interactions: DataFrame) -> DataFrame:
     return interactions.select("item_id", "user_id").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("n_readers"))
 
 
+#: Ranges of values per doubling.
+RANGES = 64
+
+
 def percentile(items: DataFrame, column: str, name: str) -> DataFrame:
     """Add the mean rank of `column` among its positive values, as a share of their number; null for the others.
 
-    Ranks come from the histogram of distinct values, so the only ordered window runs over those.
+    Ranks come from the histogram of distinct values. Those are ordered within ranges of like size, and only the
+    ranges' counts, at most RANGES for each doubling from the smallest to the largest value, in one task.
     """
     hist = items.where(F.col(column) > 0).groupBy(F.col(column).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    upto, every = W.orderBy("_x").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
-    before = F.coalesce(F.sum("_n").over(upto), F.lit(0))
-    ranks = hist.select("_x", ((before + (F.col("_n") + 1) / 2) / F.sum("_n").over(every)).alias(name))
+    hist = hist.withColumn("_range", F.floor(F.log2("_x") * RANGES))
+    sums = hist.groupBy("_range").agg(F.sum("_n").alias("_all"))
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("_range", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_start"), F.sum("_all").over(W.partitionBy()).alias("_total"))
+    within = W.partitionBy("_range").orderBy("_x").rowsBetween(W.unboundedPreceding, -1)
+    placed = hist.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(starts, "_range")
+    ranks = placed.select("_x", ((F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2) / F.col("_total")).alias(name))
     return items.join(ranks, items[column] == ranks["_x"], "left").drop("_x")
 
 

@@ -33,11 +33,45 @@ def shared_mask(items: DataFrame, least_titles: int = 2) -> DataFrame:
     return d.join(wide, "digest", "left").select("item_id", F.col("n").isNotNull().alias("shared"))
 
 
+def value_counts(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """(columns, n): the rows of each combination of values; two columns give the cells of a contingency table."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+
+
 def top_and_other(df: DataFrame, column: str, n: int) -> DataFrame:
-    """(column, n) for the n most frequent values, the others summed into Other. The window runs over distinct values."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("_r", F.row_number().over(W.orderBy(F.desc("n"), column)))
-    return ranked.groupBy(F.when(F.col("_r") <= n, F.col(column)).otherwise(F.lit("Other")).alias(column)).agg(F.sum("n").alias("n"))
+    """(column, n) for the n most frequent values, the others summed into Other. Only n rows are put in order."""
+    counts = value_counts(df, column)
+    top = counts.orderBy(F.desc("n"), column).limit(n).select(F.col(column).alias("_v"), F.lit(True).alias("_top"))
+    marked = counts.join(F.broadcast(top), F.col(column).eqNullSafe(F.col("_v")), "left")
+    return marked.groupBy(F.when(F.col("_top"), F.col(column)).otherwise(F.lit("Other")).alias(column)).agg(F.sum("n").alias("n"))
+
+
+def crosstab(df: DataFrame, rows: str, columns: str, values: list) -> DataFrame:
+    """A contingency table: a row per value of `rows`, and for each of the stated values of `columns` its count."""
+    wide = df.groupBy(rows).pivot(columns, values).agg(F.count(F.lit(1)))
+    return wide.select(rows, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(str(v)) for v in values])
+
+
+def described(df: DataFrame, value: Column, **quantiles: float) -> DataFrame:
+    """One row: n, mean, low, a column per named quantile, high. Quantiles are exact, from one counter per distinct value."""
+    n = df.select(value.alias("n"))
+    exact = [F.percentile("n", F.lit(q)).alias(name) for name, q in quantiles.items()]
+    return n.agg(F.count("n").alias("n"), F.avg("n").alias("mean"), F.min("n").alias("low"), *exact, F.max("n").alias("high"))
+
+
+def repeats(df: DataFrame, **keys: tuple[str, ...]) -> DataFrame:
+    """One row: for each named key, how many rows repeat the values of another in its columns."""
+    return df.agg(*[(F.count(F.lit(1)) - F.count_distinct(*columns)).alias(name) for name, columns in keys.items()])
+
+
+def counts_where(df: DataFrame, **conditions: Column) -> DataFrame:
+    """One row: for each named condition, how many rows meet it; with isNull() the nulls of a column."""
+    return df.agg(*[F.count_if(x).alias(name) for name, x in conditions.items()])
+
+
+def share_of(condition: Column) -> Column:
+    """The share of rows that meet a condition, as an aggregate; where it is null it isn't met."""
+    return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))
 
 
 def dense_counts(df: DataFrame, value: Column, lo: int, hi: int) -> DataFrame:

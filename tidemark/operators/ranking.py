@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.tables import shared_dir
+
 
 def best() -> tuple[Column, Column]:
     return F.desc("score"), F.asc("item_id")
@@ -24,27 +26,38 @@ def rounded(scores: DataFrame) -> DataFrame:
     return scores.withColumn("score", F.round("score", 9))
 
 
-def top_k(scores: DataFrame, k: int, key: str = "query_id") -> DataFrame:
-    """The k best rows per key with their rank; Spark keeps k per task before the shuffle."""
-    return rounded(scores).withColumn("rank", F.row_number().over(best_first(key))).where(F.col("rank") <= k)
+def top_k(scores: DataFrame, k: int, *keys: str) -> DataFrame:
+    """The k best rows per key (query_id) with their rank; Spark keeps k per task before the shuffle."""
+    return first_k(rounded(scores), k, keys or ("query_id",), best())
+
+
+def first_k(rows: DataFrame, k: int, keys: tuple[str, ...] | list[str], order: tuple[Column, ...] | list[Column]) -> DataFrame:
+    """The first k rows per key in the given order, with their rank."""
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def sweep(first: DataFrame, second: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
+    """(query_id, item_id, alpha, score): the fusion for several weights; ranks are made once, only the blend differs."""
+    return fused(first.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas)))), second, F.col("alpha")).drop("first_rank", "second_rank")
 
 
 def without_seeds(scores: DataFrame, seeds: DataFrame) -> DataFrame:
     return scores.join(seeds.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
 
 
-def completed(scores: DataFrame, items: DataFrame, query_ids: list) -> DataFrame:
-    """A row for every item and query, with score 0 where there was none. Queries are a short stated list."""
-    every = items.select("item_id").withColumn("query_id", F.explode(F.array(*map(F.lit, query_ids))))
+def completed(scores: DataFrame, items: DataFrame, queries: list | DataFrame) -> DataFrame:
+    """A row for every item and query, with score 0 where there was none. Queries are a stated set: ids, or (query_id)."""
+    if isinstance(queries, DataFrame):
+        packed = queries.select("query_id").distinct().agg(F.collect_list("query_id").alias("_queries"))
+        every = items.select("item_id").join(F.broadcast(packed)).select("item_id", F.explode("_queries").alias("query_id"))
+    else:
+        every = items.select("item_id").withColumn("query_id", F.explode(F.array(*map(F.lit, queries))))
     return every.join(scores, ["query_id", "item_id"], "left").select("query_id", "item_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared folder the session names; without one, keep the plan."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df
-    path = f"{base}/ranking/{uuid.uuid4().hex}"
+    """Cut lineage by a table in the shared folder: what is read several times is made once."""
+    path = f"{shared_dir(df.sparkSession)}/ranking/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -58,8 +71,6 @@ def ranked(scores: DataFrame, key: str = "query_id") -> DataFrame:
     rows = rounded(scores)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = written(rows.repartitionByRange(parts, F.col(key), *best()).withColumn("_range", F.spark_partition_id()))
-    if "_range" not in dealt.columns or not rows.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return rows.withColumn("rank", F.row_number().over(best_first(key)))
     counts = dealt.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -70,10 +81,12 @@ def ranked(scores: DataFrame, key: str = "query_id") -> DataFrame:
 def fused(first: DataFrame, second: DataFrame, alpha: float | Column = 0.5, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two rank tables (query_id, item_id, rank); an item that either lacks drops out.
 
-    Ranks are over all items of each model, seeds and zero scores included; filter afterwards.
+    Ranks are over all items of each model, seeds and zero scores included; filter afterwards. `alpha` may be a column
+    of `first`, as for a sweep.
     """
     alpha = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
-    a = first.select("query_id", "item_id", F.col("rank").alias("first_rank"))
+    more = [c for c in first.columns if c not in ("query_id", "item_id", "rank", "score")]
+    a = first.select("query_id", "item_id", *more, F.col("rank").alias("first_rank"))
     b = second.select("query_id", "item_id", F.col("rank").alias("second_rank"))
     score = alpha / (k + F.col("first_rank")) + (1 - alpha) / (k + F.col("second_rank"))
     return a.join(b, ["query_id", "item_id"]).withColumn("score", F.round(score, 9))

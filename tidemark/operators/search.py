@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
-from .similarity import trigram_idf, trigrams
+from .similarity import trigrams
 
 ACCEPT, SUGGEST, MARGIN = 0.9, 0.6, 0.1
 
@@ -20,19 +20,27 @@ def query_grams(spark: SparkSession, query: str, idf: DataFrame) -> DataFrame:
     return weights.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy())))
 
 
-def title_scores(items: DataFrame, query: str) -> DataFrame:
-    """(item_id, match) for items (item_id, title) that share a 3-gram with the query."""
-    grams = query_grams(items.sparkSession, query, trigram_idf(items))
-    return trigrams(items).join(grams, "term").groupBy("item_id").agg(F.round(F.sum(F.col("weight") * F.col("w")), 9).alias("match"))
+class TitleIndex:
+    """The 3-grams of the titles of items (item_id, title), made once and written; every typed title is looked up in them."""
 
+    def __init__(self, items: DataFrame):
+        self.spark = items.sparkSession
+        self.postings, self.idf = trigrams(items)
 
-def search(items: DataFrame, query: str, n: int = 5) -> DataFrame:
+    def scores(self, query: str) -> DataFrame:
+        """(item_id, match) for items that share a 3-gram with the query."""
+        grams = query_grams(self.spark, query, self.idf)
+        return self.postings.join(grams, "term").groupBy("item_id").agg(F.round(F.sum(F.col("weight") * F.col("w")), 9).alias("match"))
+
+
+def search(items: DataFrame, query: str, n: int = 5, index: TitleIndex | None = None) -> DataFrame:
     """The best n of items (item_id, title, author, has_description, popularity), cut at the first poor match.
 
-    Adds rank, match, ranked (match with small bonuses) and status, the same for all rows.
+    Adds rank, match, ranked (match with small bonuses) and status, the same for all rows. Without an index of the
+    items' titles one is made for this search.
     """
     bonus = 0.05 * F.col("has_description").cast("int") + 0.05 * F.col("author").isNotNull().cast("int") + 0.1 * F.col("popularity")
-    scored = items.join(title_scores(items, query), "item_id").withColumn("ranked", F.round(F.col("match") + bonus, 9))
+    scored = items.join((index or TitleIndex(items)).scores(query), "item_id").withColumn("ranked", F.round(F.col("match") + bonus, 9))
     # The cut needs the first n rows alone.
     top = scored.orderBy(F.desc("ranked"), "item_id").limit(n)
     order = W.orderBy(F.desc("ranked"), "item_id")

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from .ranking import written
+
+#: Queries that a dense search takes at once, as their vectors go to every task, and how many of them one row holds.
+MOST_QUERIES, QUERY_BLOCK = 100_000, 1000
 
 
 def normalised(postings: DataFrame) -> DataFrame:
@@ -15,27 +19,36 @@ def normalised(postings: DataFrame) -> DataFrame:
     return postings.withColumn("weight", F.col("weight") / norm)
 
 
+def _idf(counts: DataFrame, items: DataFrame, least: int = 1, share: float = 1.0) -> DataFrame:
+    """(term, df, idf) over counts (item_id, term), for terms in at least `least` and at most `share` of items."""
+    total = items.agg(F.count(F.lit(1)).alias("total"))
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    kept = df.join(F.broadcast(total)).where((F.col("df") >= least) & (F.col("df") <= share * F.col("total")))
+    return kept.select("term", "df", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
 def _weighted(counts: DataFrame, idf: DataFrame, tf) -> DataFrame:
-    return normalised(counts.join(idf, "term").select("item_id", "term", (tf * F.col("idf")).alias("weight")))
+    return normalised(counts.join(idf.select("term", "idf"), "term").select("item_id", "term", (tf * F.col("idf")).alias("weight")))
 
 
-def term_counts(items: DataFrame) -> DataFrame:
+def term_counts(items: DataFrame, stop_words=X.STOP_WORDS) -> DataFrame:
     """(item_id, term, tf) of items (item_id, text), without stop words."""
     words = items.select("item_id", F.explode(X.tokens(F.col("text"))).alias("term"))
-    return words.where(~F.col("term").isin(*X.STOP_WORDS)).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return words.where(~F.col("term").isin(*stop_words)).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(items: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
+def vocabulary(items: DataFrame, least: int = 2, share: float = 0.5, stop_words=X.STOP_WORDS) -> DataFrame:
     """(term, df, idf) for terms in at least `least` items and at most `share` of them."""
-    total = items.agg(F.count(F.lit(1)).alias("total"))
-    df = term_counts(items).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    kept = df.join(F.broadcast(total)).where((F.col("df") >= least) & (F.col("df") <= share * F.col("total")))
-    return kept.select("term", "df", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return _idf(term_counts(items, stop_words), items, least, share)
 
 
-def tfidf(items: DataFrame) -> DataFrame:
-    """Unit-length postings with sublinear term frequency and smooth inverse document frequency."""
-    return _weighted(term_counts(items), vocabulary(items).select("term", "idf"), 1 + F.log("tf"))
+def tfidf(items: DataFrame, least: int = 2, share: float = 0.5, stop_words=X.STOP_WORDS) -> DataFrame:
+    """Unit-length postings with sublinear term frequency and smooth inverse document frequency.
+
+    Texts are read once: their counts are written, then the postings, which similarity reads twice.
+    """
+    counts = written(term_counts(items, stop_words))
+    return written(_weighted(counts, _idf(counts, items, least, share), 1 + F.log("tf")))
 
 
 def trigram_counts(items: DataFrame) -> DataFrame:
@@ -44,14 +57,11 @@ def trigram_counts(items: DataFrame) -> DataFrame:
     return grams.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def trigram_idf(items: DataFrame) -> DataFrame:
-    df = trigram_counts(items).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = items.agg(F.count(F.lit(1)).alias("total"))
-    return df.join(F.broadcast(total)).select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
-
-
-def trigrams(items: DataFrame) -> DataFrame:
-    return _weighted(trigram_counts(items), trigram_idf(items), F.col("tf"))
+def trigrams(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings of the titles' 3-grams, (term, idf)), both written."""
+    counts = written(trigram_counts(items))
+    idf = written(_idf(counts, items).select("term", "idf"))
+    return written(_weighted(counts, idf, F.col("tf"))), idf
 
 
 def reader_postings(interactions: DataFrame) -> DataFrame:
@@ -84,10 +94,14 @@ def similar(seeds: DataFrame, postings: DataFrame) -> DataFrame:
 def dense_similar(profile: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query_id, item_id, score): inner products of (query_id, profile) with every (item_id, vector).
 
-    A stated, small set of queries against all rows: queries are packed into one row of an array, so each
-    vector is read once and no row is made before its score.
+    A stated set of queries against all rows, in blocks: QUERY_BLOCK queries are packed into an array, so each
+    vector is read once and no row is made before its score. More than MOST_QUERIES raise ValueError; pass them in parts.
     """
-    packed = profile.agg(F.collect_list(F.struct("query_id", "profile")).alias("queries"))
+    n = profile.limit(MOST_QUERIES + 1).count()
+    if n > MOST_QUERIES:
+        raise ValueError(f"at most {MOST_QUERIES} queries at once")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // QUERY_BLOCK)))).alias("block")
+    packed = profile.groupBy(block).agg(F.collect_list(F.struct("query_id", "profile")).alias("queries")).select("queries")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     pairs = vectors.join(F.broadcast(packed)).select("item_id", "vector", F.explode("queries").alias("q"))
     return pairs.select(F.col("q.query_id").alias("query_id"), "item_id", dot(F.col("vector"), F.col("q.profile")).alias("score"))

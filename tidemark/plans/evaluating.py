@@ -10,7 +10,7 @@ from ..operators import evaluation as E
 from ..operators import popularity as pop
 from ..operators import ranking as R
 from ..operators import similarity as M
-from ..operators.models import Catalogue, model_lists
+from ..operators import models
 from ..sources.tables import table
 from .cleaning import INTER_SQL, interactions
 from .modelling import ITEM_SQL, MIN_READERS, PCT, cf_scores, item_counts, parts
@@ -68,7 +68,7 @@ def lists(spark, d):
     # The same list for everyone: with one seed out, the first eleven items suffice.
     best = items.select("item_id", F.round("popularity", 9).alias("score")).orderBy(*R.best()).limit(11)
     by_popularity = R.without_seeds(q.select("query_id").join(F.broadcast(best)), seeds)
-    return q, items, E.top_lists({"cf": cf, "popularity": by_popularity})
+    return q, items, R.written(E.top_lists({"cf": cf, "popularity": by_popularity}))
 
 
 @query(f"WITH {LIKED_SQL} SELECT * FROM liked")
@@ -123,14 +123,14 @@ def _ranks(q, top, model):
 METRICS_SQL = f"""WITH {EVAL_SQL}, qa AS (SELECT q.*, a.author AS q_author, coalesce(a.author = b.author, false) AS same FROM q LEFT JOIN pp a ON a.item_id = query LEFT JOIN pp b ON b.item_id = target),
 h AS (SELECT model, avg(CAST(target_rank > 0 AS INTEGER)) AS hit_rate, count(*) AS n, avg(CASE WHEN target_rank > 0 THEN 1 / target_rank ELSE 0 END) AS mrr, avg(CAST(target_rank > 0 AS INTEGER)) FILTER (same) AS hit_same_author, avg(CAST(target_rank > 0 AS INTEGER)) FILTER (NOT same) AS hit_other_author FROM ranks JOIN qa USING (query_id) GROUP BY 1),
 l AS (SELECT model, count(DISTINCT item_id) / (SELECT count(*) FROM pp) AS coverage, avg(popularity) AS avg_popularity, avg(CAST(author = q_author AS INTEGER)) AS by_query_author FROM top JOIN pp USING (item_id) JOIN qa USING (query_id) GROUP BY 1)
-SELECT model, n, """ + ", ".join(f"round(round({x}, 9), 3) AS {x}" for x in ("hit_rate", "mrr", "hit_same_author", "hit_other_author", "avg_popularity", "by_query_author", "coverage")) + ", round(round(sqrt(hit_rate * (1 - hit_rate) / n), 9), 3) AS std_error FROM h JOIN l USING (model)"
+SELECT model, n, """ + ", ".join(f"CAST(round(CAST({x} AS DECIMAL(18, 9)), 4) AS DOUBLE) AS {x}" for x in ("hit_rate", "mrr", "hit_same_author", "hit_other_author", "avg_popularity", "by_query_author", "coverage")) + ", CAST(round(CAST(sqrt(hit_rate * (1 - hit_rate) / n) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS std_error FROM h JOIN l USING (model)"
 
 
 @query(METRICS_SQL)
 def eval_metrics(spark, d):
     q, items, top = lists(spark, d)
     m = E.metrics(top, q, items)
-    return m.select("model", "n", *[F.round(F.round(x, 9), 3).alias(x) for x in m.columns if x not in ("model", "n")])
+    return m.select("model", "n", *[F.round(c(x).cast("decimal(18,9)"), 4).cast("double").alias(x) for x in m.columns if x not in ("model", "n")])
 
 
 MC_SQL = f"WITH {EVAL_SQL}, x AS (SELECT query_id, max(target_rank) FILTER (model = 'cf') AS a, max(target_rank) FILTER (model = 'popularity') AS b FROM ranks GROUP BY 1) SELECT count(*) FILTER (a > 0 AND b = 0) AS only_a, count(*) FILTER (a = 0 AND b > 0) AS only_b FROM x"
@@ -155,8 +155,8 @@ def scored(spark, d, q, alphas=None):
     described = table(spark, d, "part").select(c("p_partkey").alias("item_id"), (c("p_size") >= 15).alias("has_description"))
     items = R.written(safe_popularity(spark, d, q).join(described, "item_id"))
     text = parts(spark, d)
-    catalogue = Catalogue(items, M.tfidf(text), U.embed(text, lambda: U.hashed_words), M.reader_postings(training(spark, d, q)), MIN_READERS)
-    return items, R.written(model_lists(q, catalogue, alphas=alphas))
+    vectors, cf = R.written(U.embed(text, lambda: U.hashed_words)), R.written(M.reader_postings(training(spark, d, q)))
+    return items, R.written(models.lists(q, items, M.tfidf(text), vectors, cf, alphas=alphas, least_readers=MIN_READERS))
 
 
 def _shown():

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions import text as X
 from ..functions import udf as U
 from ..operators import popularity as pop
@@ -79,6 +80,11 @@ def listed(scores, spark, k=10):
     return R.top_k(R.without_seeds(scores, seeds(spark)), k).select("query_id", "item_id", "rank", F.round("score", 4).alias("score"))
 
 
+def six():
+    """Scores to six places, through decimals: both sides round the same nine digits."""
+    return F.round(c("score").cast("decimal(18,9)"), 6).cast("double")
+
+
 # --- postings -------------------------------------------------------------------------------------------------
 
 
@@ -97,9 +103,9 @@ def multi_seed_profile(spark, d):
     return M.profiles(seeds(spark), M.tfidf(documents(spark, d))).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"WITH {DOCS_SQL}, {SEEDS_SQL}, {tfidf_sql('d')}, {similar_sql('t', 's')} SELECT query_id, item_id, round(score, 4) AS score FROM s")
+@query(f"WITH {DOCS_SQL}, {SEEDS_SQL}, {tfidf_sql('d')}, {similar_sql('t', 's')} SELECT query_id, item_id, CAST(round(CAST(score AS DECIMAL(18, 9)), 6) AS DOUBLE) AS score FROM s")
 def tfidf_similar(spark, d):
-    return R.rounded(M.similar(seeds(spark), M.tfidf(documents(spark, d)))).withColumn("score", F.round("score", 4))
+    return R.rounded(M.similar(seeds(spark), M.tfidf(documents(spark, d)))).withColumn("score", six())
 
 
 @query(f"WITH {DOCS_SQL}, {SEEDS_SQL}, {tfidf_sql('d')}, {similar_sql('t', 's')}, {top_sql('s')}")
@@ -117,9 +123,9 @@ def cf_weights(spark, d):
     return M.reader_postings(interactions(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"WITH {INTER_SQL}, {SEEDS_SQL}, {CF_SQL}, {similar_sql('cw', 's')} SELECT query_id, item_id, round(score, 4) AS score FROM s")
+@query(f"WITH {INTER_SQL}, {SEEDS_SQL}, {CF_SQL}, {similar_sql('cw', 's')} SELECT query_id, item_id, CAST(round(CAST(score AS DECIMAL(18, 9)), 6) AS DOUBLE) AS score FROM s")
 def cf_similar(spark, d):
-    return R.rounded(M.similar(seeds(spark), M.reader_postings(interactions(spark, d)))).withColumn("score", F.round("score", 4))
+    return R.rounded(M.similar(seeds(spark), M.reader_postings(interactions(spark, d)))).withColumn("score", six())
 
 
 def cf_scores(spark, d, inter=None, who=None, least=MIN_READERS):
@@ -133,10 +139,10 @@ def cf_recommend(spark, d):
     return listed(cf_scores(spark, d, least=25), spark)
 
 
-@query(f"WITH {BOTH_SQL}, {SEEDS_SQL}, {DENSE_SQL} SELECT query_id, item_id, round(score, 4) AS score FROM dense")
+@query(f"WITH {BOTH_SQL}, {SEEDS_SQL}, {DENSE_SQL} SELECT query_id, item_id, CAST(round(CAST(score AS DECIMAL(18, 9)), 6) AS DOUBLE) AS score FROM dense")
 def embedding_similar(spark, d):
     v = vectors(spark, d)
-    return R.rounded(M.dense_similar(M.dense_profiles(seeds(spark), v), v)).withColumn("score", F.round("score", 4))
+    return R.rounded(M.dense_similar(M.dense_profiles(seeds(spark), v), v)).withColumn("score", six())
 
 
 @query(f"WITH {BOTH_SQL}, {SEEDS_SQL}, {DENSE_SQL}, {top_sql('dense')}")
@@ -203,11 +209,8 @@ def popular(spark, d):
 
 @query("SELECT * FROM (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS INTEGER) AS rank FROM lineitem) WHERE rank <= 3")
 def top_k_per_query(spark, d):
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey")
     rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
+    return R.first_k(rows, 3, ["l_suppkey"], [F.desc("l_extendedprice"), c("l_orderkey"), c("l_linenumber"), c("l_partkey")])
 
 
 # --- fusion ---------------------------------------------------------------------------------------------------
@@ -253,17 +256,8 @@ def hybrid_cf_recommend(spark, d):
 
 @query(f"WITH {BOTH_RANKS}, rrf AS (SELECT alpha, query_id, item_id, {RRF.format('alpha')} AS score FROM r1 JOIN r2 USING (query_id, item_id), (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS alpha)) SELECT alpha, query_id, item_id, CAST(row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM rrf ANTI JOIN seeds USING (query_id, item_id) QUALIFY rank <= 10")
 def alpha_sweep(spark, d):
-    """Ranks are made once; only the blend differs."""
-    from pyspark.sql import Window as W
-
-    first, second = both_ranks(spark, d)
-    alphas = first.withColumn("alpha", F.explode(F.array(*map(lit, (0.0, 0.25, 0.5, 0.75, 1.0)))))
-    a = alphas.select("alpha", "query_id", "item_id", c("rank").alias("first_rank"))
-    b = second.select("query_id", "item_id", c("rank").alias("second_rank"))
-    score = F.round(c("alpha") / (60 + c("first_rank")) + (1 - c("alpha")) / (60 + c("second_rank")), 9)
-    rows = R.without_seeds(a.join(b, ["query_id", "item_id"]).withColumn("score", score), seeds(spark))
-    order = W.partitionBy("alpha", "query_id").orderBy(*R.best())
-    return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("alpha", "query_id", "item_id", "rank")
+    rows = R.without_seeds(R.sweep(*both_ranks(spark, d), (0.0, 0.25, 0.5, 0.75, 1.0)), seeds(spark))
+    return R.top_k(rows, 10, "alpha", "query_id").select("alpha", "query_id", "item_id", "rank")
 
 
 RERANK_SQL = f"""{{0}}, cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS n FROM rrf ANTI JOIN seeds USING (query_id, item_id)) WHERE n <= 200),
@@ -356,12 +350,12 @@ def named_items(spark, d):
 
 @query(f"WITH {NAMES_SQL}, {grams_sql('tn')} SELECT item_id, term, round(weight, 6) AS weight FROM g")
 def title_ngrams(spark, d):
-    return M.trigrams(named_items(spark, d)).withColumn("weight", F.round("weight", 6))
+    return M.trigrams(named_items(spark, d))[0].withColumn("weight", F.round("weight", 6))
 
 
 @query(f"WITH {NAMES_SQL}, {grams_sql('tn')}, {match_sql('smal rings')} SELECT item_id, round(match, 6) AS match FROM m")
 def title_match(spark, d):
-    return S.title_scores(named_items(spark, d), "The Smal Rings").withColumn("match", F.round("match", 6))
+    return S.TitleIndex(named_items(spark, d)).scores("The Smal Rings").withColumn("match", F.round("match", 6))
 
 
 @query(f"{search_sql('smal rings')} SELECT item_id, title, rank, round(match, 3) AS match, status FROM found")
@@ -391,3 +385,28 @@ def find_substring(spark, d):
 @query("SELECT p_partkey AS item_id, p_name AS title, p_type || '|' || p_brand AS tags FROM part WHERE p_partkey = 12")
 def item_details(spark, d):
     return table(spark, d, "part").where("p_partkey = 12").select(c("p_partkey").alias("item_id"), c("p_name").alias("title"), F.concat_ws("|", "p_type", "p_brand").alias("tags"))
+
+
+# --- the engine -----------------------------------------------------------------------------------------------
+
+
+def part_engine(spark, d):
+    """The engine over the parts, all of them described, by the popularity of their readers."""
+    items = table(spark, d, "part").select(
+        c("p_partkey").alias("item_id"), c("p_name").alias("title"), c("p_type").alias("author"), lit(None).cast("string").alias("description"), F.array("p_type", "p_brand").alias("tags"), lit(True).alias("has_description")
+    )
+    counts = item_counts(spark, d).select("item_id", "n_readers")
+    return Engine(items.join(counts, "item_id"), ("n_readers",), None, interactions(spark, d))
+
+
+ONE_SQL = PART_RRF.replace(SEEDS_SQL, "seeds AS (SELECT 1 AS query_id, 3 AS item_id)")
+
+
+@query(f"SELECT item_id, rank, score, p_name AS title, p_type AS author FROM (WITH {ONE_SQL}, {top_sql('rrf')}) JOIN part ON item_id = p_partkey")
+def engine_recommend(spark, d):
+    return part_engine(spark, d).recommend([3, 3], "hybrid_cf", 10).select("item_id", "rank", "score", "title", "author")
+
+
+@query(f"SELECT item_id, CAST(row_number() OVER (ORDER BY round(popularity, 9) DESC, item_id) AS INTEGER) AS rank, round(popularity, 4) AS score FROM (WITH {INTER_SQL}, {READ_SQL} SELECT * FROM pp) QUALIFY rank <= 10")
+def engine_popular(spark, d):
+    return part_engine(spark, d).popular(10).select("item_id", "rank", "score")

@@ -21,33 +21,30 @@ def _texts(spark, d):
 
 @query("SELECT nullif(lang, 'de') AS lang, count(*) AS n FROM documents GROUP BY 1")
 def value_counts(spark, d):
-    return table(spark, d, "documents").groupBy(F.nullif(c("lang"), lit("de")).alias("lang")).agg(F.count(lit(1)).alias("n"))
+    return P.value_counts(table(spark, d, "documents"), F.nullif(c("lang"), lit("de")).alias("lang"))
 
 
 @query(r"SELECT split_part(regexp_replace(c_mktsegment || ',  x', '\s+', ' ', 'g'), ',', 1) AS author, count(*) AS n FROM customer GROUP BY 1")
 def value_counts_author(spark, d):
     author = F.split_part(F.regexp_replace(F.concat("c_mktsegment", lit(",  x")), r"\s+", " "), lit(","), lit(1))
-    return table(spark, d, "customer").groupBy(author.alias("author")).agg(F.count(lit(1)).alias("n"))
+    return P.value_counts(table(spark, d, "customer"), author.alias("author"))
 
 
 @query("SELECT source, " + ", ".join(f"count(*) FILTER (lang = '{x}') AS {x}" for x in ("en", "fr", "de", "es")) + " FROM documents GROUP BY source")
 def crosstab(spark, d):
-    wide = table(spark, d, "documents").groupBy("source").pivot("lang", ["en", "fr", "de", "es"]).agg(F.count(lit(1)))
-    return wide.select("source", *[F.coalesce(x, lit(0)).alias(x) for x in ("en", "fr", "de", "es")])
+    return P.crosstab(table(spark, d, "documents"), "source", "lang", ["en", "fr", "de", "es"])
 
 
 @query("SELECT count(n) AS n, round(avg(n), 6) AS mean, min(n) AS low, round(quantile_cont(n, 0.25), 6) AS q25, round(quantile_cont(n, 0.5), 6) AS q50, round(quantile_cont(n, 0.9), 6) AS q90, max(n) AS high FROM (SELECT length(text) AS n FROM documents)")
 def describe_length(spark, d):
-    """Exact percentiles: Spark keeps one counter per distinct length."""
-    n = table(spark, d, "documents").select(F.length("text").cast("long").alias("n"))
-    q = lambda p: F.round(F.percentile("n", lit(p)), 6)
-    return n.agg(F.count("n").alias("n"), F.round(F.avg("n"), 6).alias("mean"), F.min("n").alias("low"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.9).alias("q90"), F.max("n").alias("high")).withColumn("n", c("n"))
+    found = P.described(table(spark, d, "documents"), F.length("text").cast("long"), q25=0.25, q50=0.5, q90=0.9)
+    return found.withColumns({x: F.round(x, 6) for x in ("mean", "q25", "q50", "q90")})
 
 
 @query("SELECT CAST(least(floor(n_chars / 500), 40) AS BIGINT) AS bin, CAST(floor(ln(1 + n_chars)) AS BIGINT) AS log_bin, count(*) AS n FROM documents GROUP BY 1, 2")
 def histogram(spark, d):
     linear, log = F.least(F.floor(c("n_chars") / 500), lit(40)).cast("long"), F.floor(F.log(1 + c("n_chars"))).cast("long")
-    return table(spark, d, "documents").groupBy(linear.alias("bin"), log.alias("log_bin")).agg(F.count(lit(1)).alias("n"))
+    return P.value_counts(table(spark, d, "documents"), linear.alias("bin"), log.alias("log_bin"))
 
 
 @query("WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, source) AS r FROM s) SELECT CASE WHEN r <= 10 THEN source ELSE 'Other' END AS source, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1")
@@ -62,18 +59,18 @@ def dense_year_counts(spark, d):
 
 @query("SELECT count(*) - count(DISTINCT p_name) AS by_title, count(*) - count(DISTINCT (p_name, p_type)) AS by_both FROM part")
 def duplicate_counts(spark, d):
-    return table(spark, d, "part").agg((F.count(lit(1)) - F.count_distinct("p_name")).alias("by_title"), (F.count(lit(1)) - F.count_distinct("p_name", "p_type")).alias("by_both"))
+    return P.repeats(table(spark, d, "part"), by_title=("p_name",), by_both=("p_name", "p_type"))
 
 
 @query("SELECT count(*) FILTER (nullif(event_type, 'error') IS NULL) AS event_type, count(*) FILTER (value IS NULL) AS value, count(*) FILTER (props = '{\"k\": 7}') AS sentinel FROM events")
 def null_counts(spark, d):
     kind = F.nullif(c("event_type"), lit("error"))
-    return table(spark, d, "events").agg(F.count_if(kind.isNull()).alias("event_type"), F.count_if(c("value").isNull()).alias("value"), F.count_if(c("props") == '{"k": 7}').alias("sentinel"))
+    return P.counts_where(table(spark, d, "events"), event_type=kind.isNull(), value=c("value").isNull(), sentinel=c("props") == '{"k": 7}')
 
 
 @query("SELECT count(*) FILTER (n_chars < 100) AS short, round(avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.0 END), 6) AS long_share, count(*) FILTER (lang = 'en') AS english FROM documents")
 def conditional_shares(spark, d):
-    share = F.round(F.avg(F.coalesce(c("n_chars") > 1000, lit(False)).cast("double")), 6)
+    share = F.round(P.share_of(c("n_chars") > 1000), 6)
     return table(spark, d, "documents").agg(F.count_if(c("n_chars") < 100).alias("short"), share.alias("long_share"), F.count_if(c("lang") == "en").alias("english"))
 
 

@@ -1,7 +1,9 @@
-"""Readers and writers. Schemas are declared; only the empty string is null in text files."""
+"""Readers and writers. Text files are read as strings under the columns asked for; only the empty string is null."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +23,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_text_table(spark: SparkSession, path: str, columns: list[str], types: dict[str, str] | None = None) -> DataFrame:
-    """Columns of a headed CSV as strings, '' as null; `types` narrows some of them, null where a value doesn't fit."""
-    header = spark.read.option("header", True).csv(path).columns if not columns else columns
+    """Columns of a headed CSV as strings, '' as null; `types` narrows some of them, null where a value doesn't fit.
+
+    No columns: all that the header names. The projection reaches the scan.
+    """
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    missing = [c for c in header if c not in raw.columns]
+    wanted = columns or raw.columns
+    missing = [c for c in wanted if c not in raw.columns]
     if missing:
         raise KeyError(f"{path} lacks the columns {missing}")
-    strings = [F.nullif(F.col(c), F.lit("")).alias(c) for c in header]
-    return raw.select(*strings).withColumns({c: F.col(c).try_cast(kind) for c, kind in (types or {}).items()})
+    strings = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in wanted]
+    return raw.select(*strings).withColumns({c: F.col(f"`{c}`").try_cast(kind) for c, kind in (types or {}).items()})
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -39,7 +44,43 @@ def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-VECTORS = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType()))])
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for tables between steps, seen by the driver and all executors: spark.checkpoint.dir.
+
+    Where the session names none, a local master gets a folder of this machine; on a cluster that is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+# --- the alias table beside a catalogue -----------------------------------------------------------------------
+
+ALIASES = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("kept_id", T.StringType())])
+
+
+def beside(path: str, name: str) -> str:
+    """A table's place beside a catalogue: shop/books.parquet and aliases give shop/books_aliases.parquet."""
+    return f"{path.removesuffix('/').removesuffix('.parquet')}_{name}.parquet"
+
+
+def write_aliases(aliases: DataFrame, catalog_path: str) -> None:
+    write_table(aliases.select(*[F.col(f.name).cast(f.dataType) for f in ALIASES]), beside(catalog_path, "aliases"))
+
+
+def read_aliases(spark: SparkSession, catalog_path: str) -> DataFrame:
+    """The alias table of a catalogue; one without, as of a single source, has no aliases."""
+    try:
+        return read_table(spark, beside(catalog_path, "aliases")).select(*ALIASES.names)
+    except FileNotFoundError:
+        return spark.createDataFrame([], ALIASES)
+
+
+# --- the vector cache of a catalogue --------------------------------------------------------------------------
 
 
 def id_mismatches(items: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -48,9 +89,23 @@ def id_mismatches(items: DataFrame, vectors: DataFrame) -> DataFrame:
     return a.join(b, "item_id", "left_anti").withColumn("side", F.lit("catalog")).union(b.join(a, "item_id", "left_anti").withColumn("side", F.lit("vectors")))
 
 
+def write_vectors(vectors: DataFrame, catalog_path: str) -> None:
+    """The vectors (item_id, vector) of a catalogue into its cache."""
+    write_table(vectors.select("item_id", F.col("vector").cast("array<float>")), beside(catalog_path, "vectors"))
+
+
 def read_vectors(items: DataFrame, path: str) -> DataFrame:
     """Cached vectors of exactly the catalogue's items."""
     vectors = read_table(items.sparkSession, path)
     if not id_mismatches(items, vectors).isEmpty():
         raise ValueError(f"the ids at {path} are not the catalogue's; build the vectors again")
     return vectors
+
+
+def cached_vectors(items: DataFrame, catalog_path: str) -> DataFrame | None:
+    """The vectors in a catalogue's cache, or None without a cache; ids are checked."""
+    try:
+        read_table(items.sparkSession, beside(catalog_path, "vectors"))
+    except FileNotFoundError:
+        return None
+    return read_vectors(items, beside(catalog_path, "vectors"))
