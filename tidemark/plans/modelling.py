@@ -17,6 +17,7 @@ from ..operators import similarity as M
 from ..operators.catalog import first_of
 from ..sources.tables import table
 from .cleaning import INTER_SQL, interactions, title_sql
+from .profiling_queries import DIGEST_SQL
 from .registry import query
 
 c, lit = F.col, F.lit
@@ -134,8 +135,18 @@ def cf_scores(spark, d, inter=None, who=None, least=MIN_READERS):
     return M.similar(seeds(spark) if who is None else who, M.reader_postings(inter)).join(supported, "item_id", "left_semi")
 
 
-@query(f"WITH {INTER_SQL}, {SEEDS_SQL}, {CF_SQL}, {similar_sql('cw', 's')}, sup AS (SELECT s.* FROM s SEMI JOIN (SELECT * FROM readers WHERE n_readers >= 25) r ON s.item_id = r.item_id), {top_sql('sup')}")
+def supported_sql(least: int) -> str:
+    return f"WITH {INTER_SQL}, {SEEDS_SQL}, {CF_SQL}, {similar_sql('cw', 's')}, sup AS (SELECT s.* FROM s SEMI JOIN (SELECT * FROM readers WHERE n_readers >= {least}) r ON s.item_id = r.item_id), {top_sql('sup')}"
+
+
+@query(supported_sql(MIN_READERS))
 def cf_recommend(spark, d):
+    return listed(cf_scores(spark, d), spark)
+
+
+@query(supported_sql(25))
+def cf_recommend_supported(spark, d):
+    """As cf_recommend, but for items with 25 readers, which leaves some out in every table."""
     return listed(cf_scores(spark, d, least=25), spark)
 
 
@@ -291,7 +302,7 @@ def author_capped_topk(spark, d):
     return R.top_k(R.capped(scores, authors, own, 2, 1), 12).select("item_id", F.round("score", 4).alias("score"))
 
 
-RULES_SQL = f"""pn AS (SELECT doc_id AS item_id, source AS author, {title_sql("left(text, 60)")} AS dedup_key, {PCT.format('n_chars')} AS popularity FROM documents), pp AS (SELECT item_id, popularity FROM pn)"""
+RULES_SQL = f"""pn AS (SELECT doc_id AS item_id, source AS author, {DIGEST_SQL} AS dedup_key, {PCT.format('n_chars')} AS popularity FROM documents), pp AS (SELECT item_id, popularity FROM pn)"""
 
 
 @query(
@@ -301,9 +312,9 @@ RULES_SQL = f"""pn AS (SELECT doc_id AS item_id, source AS author, {title_sql("l
     " SELECT item_id, round(score, 4) AS score, author FROM k ORDER BY k.score DESC, item_id LIMIT 10"
 )
 def hybrid_business_rules(spark, d):
-    """Fusion, 200 candidates, popularity blend, one per title, two per author, none of the query's own author."""
+    """Fusion, 200 candidates, popularity blend, one per text, two per author, none of the query's own author or text."""
     docs = documents(spark, d)
-    items = pop.popularity(docs, ("n_chars",)).select("item_id", "popularity", c("source").alias("author"), X.normalize_title(F.substring("text", 1, 60)).alias("dedup_key"))
+    items = pop.popularity(docs, ("n_chars",)).select("item_id", "popularity", c("source").alias("author"), F.md5(X.normalized_text(c("text"))).alias("dedup_key"))
     one = spark.createDataFrame(OWN, "query_id int, item_id long")
     own = one.join(items, "item_id")
     scores = R.reranked(R.without_seeds(R.fused(*both_ranks(spark, d)), seeds(spark)), items).where("query_id = 1").select("query_id", "item_id", "score")
