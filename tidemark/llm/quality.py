@@ -12,13 +12,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from .common import discard, materialise
 from .minhash import slices
 from .toxicity import held_out, training_rows
 from .words import Prefixes, hash_words, mix, word_lists
 
-#: Buckets for hashed words, after those of the statistics; factors per feature; labelled rows used at most.
-WORD_BUCKETS, FACTORS, MOST_ROWS = 1 << 15, 6, 12_000
+#: Buckets for hashed words, after those of the statistics; factors per feature; labelled rows, and their features, used at most.
+WORD_BUCKETS, FACTORS, MOST_ROWS, MOST_FEATURES = 1 << 15, 6, 12_000, 12_000_000
 BINS = 24
 STATISTICS = (
     "upper digit space punctuation symbol pipe other_script mean_word long_word distinct_words top_word same_as_previous distinct_trigrams distinct_lines short_lines capital_words ends_in_letter".split()
@@ -150,20 +152,33 @@ def fit(ids: np.ndarray, value: np.ndarray, at: np.ndarray, y: np.ndarray, epoch
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> dict:
-    """Fit on at most `most` labelled rows outside the held-out fold; features, not texts, come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_features: int = MOST_FEATURES) -> dict:
+    """Fit on at most `most` labelled rows outside the held-out fold, the first with `most_features` features in all.
+
+    Features, not texts, come to the driver: eight bytes each.
+    """
 
     def extract(batches):
         for batch in batches:
-            for part in slices(batch, 0):
-                ids, value, at = features(part.column(0))
+            for part in slices(batch, 1):
+                ids, value, at = features(part.column(1))
                 rows = range(part.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1), pa.array([ids[at[r] : at[r + 1]].astype("<u4").tobytes() for r in rows], pa.binary()), pa.array([value[at[r] : at[r + 1]].tobytes() for r in rows], pa.binary())],
-                    names=["y", "ids", "value"],
+                    [
+                        part.column(0),
+                        part.column(2),
+                        pa.array(np.diff(at), pa.int64()),
+                        pa.array([ids[at[r] : at[r + 1]].astype("<u4").tobytes() for r in rows], pa.binary()),
+                        pa.array([value[at[r] : at[r + 1]].tobytes() for r in rows], pa.binary()),
+                    ],
+                    names=["nth", "y", "n", "ids", "value"],
                 )
 
-    rows = training_rows(docs, labels, "quality", most).mapInArrow(extract, "y int, ids binary, value binary").toArrow()
+    made = materialise(training_rows(docs, labels, "quality", most).mapInArrow(extract, "nth long, y int, n long, ids binary, value binary"))
+    # The window runs over the chosen rows' lengths alone; rows of one document come together.
+    sums = made.groupBy("nth").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(W.orderBy("nth").rowsBetween(W.unboundedPreceding, 0)))
+    rows = made.join(sums.where(F.col("upto") <= most_features).select("nth"), "nth", "left_semi").select("y", "ids", "value").toArrow()
+    discard(made)
     y = np.asarray(rows["y"].to_pylist(), dtype=np.float32)
     ids = np.frombuffer(b"".join(rows["ids"].to_pylist()), "<u4").astype(np.int64)
     value = np.frombuffer(b"".join(rows["value"].to_pylist()), np.float32)

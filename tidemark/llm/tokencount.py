@@ -173,4 +173,5 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     os.makedirs(folder)
     written = write_flat(docs, folder, vocabulary)
     lengths = document_lengths(read_flat(spark, f"file://{folder}")).select(F.substring_index("file", "/", -1).alias("file"), "ordinal", "n_tokens")
-    return written.join(lengths, ["file", "ordinal"]).select("doc_id", "n_tokens", F.substring("file", 1, 11).alias("file"), "ordinal")
+    # Both sides grow with the documents, so neither is broadcast.
+    return written.join(lengths.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", F.substring("file", 1, 11).alias("file"), "ordinal")

@@ -167,14 +167,15 @@ def pattern_weights(text: str | None, tags: Tagger, goes, says) -> tuple[list[fl
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str, most: int = MOST_ROWS) -> DataFrame:
-    """(text, y): at most `most` labelled rows outside the held-out fold, chosen by a hash of doc_id.
+    """(nth, text, y): at most `most` labelled rows outside the held-out fold, chosen by nth, a hash of doc_id.
 
     Held out are rows whose crc32(doc_id as text) mod 5 is 0. Null labels are left out; of several labels for
     one document the larger counts.
     """
     usable = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = usable.groupBy("doc_id").agg((F.max(column) > 0).cast("int").alias("y")).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
+    nth = F.xxhash64(F.lit(5), "doc_id")
+    chosen = usable.groupBy("doc_id").agg((F.max(column) > 0).cast("int").alias("y")).withColumn("nth", nth).orderBy("nth", "doc_id").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("nth", "text", "y")
 
 
 def held_out(doc_id):
@@ -277,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> dict:
 
     Without labels of both kinds the built-in lexicon and the patterns' priors decide alone.
     """
-    rows = materialise(training_rows(docs, labels, "toxic", most))
+    rows = materialise(training_rows(docs, labels, "toxic", most).select("text", "y"))
     words = mined_words(rows)
 
     def weigh(batches):
