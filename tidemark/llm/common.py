@@ -72,6 +72,21 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Materialised tables between steps, deleted together once no plan still to be run reads them."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables.append(materialise(df))
+        return self.tables[-1]
+
+    def drop(self) -> None:
+        discard(*self.tables)
+        self.tables.clear()
+
+
 def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
     """(docs with the columns other than needed renamed by their place, old name -> new name).
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACES, discard, materialise, set_aside
+from .common import SPACES, Scratch, discard, materialise, set_aside
 from .components import components
 from .words import Prefixes, hash_words, lower_ascii, mix, word_lists
 
@@ -166,15 +166,15 @@ def _shingles(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("rep", "text").mapInArrow(cut, "rep long, shingle long")
 
 
-def _prefixes(members: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+def _prefixes(members: DataFrame, texts: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
     """members (rep, label, n, sig_*) by the shared shingles (key) of their prefixes, with the place of each.
 
     With shingles in order of frequency among the members, rarest first, two sets over the threshold share one
     of their first n - ceil(percent * n / 100) + 1. Shingles of one member stand first and match nothing, so a
     member with enough of them has no link left to find.
     """
-    shingles = materialise(_shingles(texts.join(members.select("rep"), "rep", "left_semi"), width))
-    common = materialise(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    shingles = scratch(_shingles(texts.join(members.select("rep"), "rep", "left_semi"), width))
+    common = scratch(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     of_rep = W.partitionBy("rep")
     shared = shingles.join(common, "shingle").join(members, "rep")
     shared = shared.withColumn("own", F.col("n") - F.count(F.lit(1)).over(of_rep)).withColumn("nth", F.row_number().over(of_rep.orderBy("df", "shingle")))
@@ -183,7 +183,7 @@ def _prefixes(members: DataFrame, texts: DataFrame, percent: int, width: int) ->
     return placed.select(F.col("shingle").alias("key"), "place", *members.columns)
 
 
-def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
+def _rest_pairs(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Candidate pairs of members (key, place, rep, label, n, sig_*) with one key and different labels.
 
     Position filter: past their first common shingle, two sets share at most what is left of either, which
@@ -193,10 +193,10 @@ def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
     before any row is made.
     """
     threshold = percent / 100
-    members = materialise(members)
+    members = scratch(members)
     keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    keys = materialise(keys.where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), (F.col("size") <= FEW).alias("few")))
-    dealt = materialise(members.join(keys, "key"))
+    keys = scratch(keys.where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), (F.col("size") <= FEW).alias("few")))
+    dealt = scratch(members.join(keys, "key"))
 
     few = dealt.where("few").drop("few", "blocks")
     side = lambda s: few.select("key", *[F.col(c).alias(s if c == "rep" else f"{s}_{c}") for c in few.columns if c != "key"])
@@ -240,6 +240,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     if percent < 80:
         raise ValueError("the bands are laid out for a similarity of 0.8 or more")
     threshold = percent / 100
+    scratch = Scratch()
     signed = materialise(signatures(docs, width))
     some = signed.where("n_shingles > 0 and doc_id is not null")
     first = F.min_by(F.struct("doc_id", "text_key", "n_shingles", "sig_0", "sig_1", "sig_2", "bands"), F.struct("doc_id", "text_key")).alias("x")
@@ -247,46 +248,48 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     sets = materialise(grouped.select(F.monotonically_increasing_id().alias("rep"), "set_a", "set_b", "x.doc_id", "x.text_key", F.col("x.n_shingles").alias("n"), "x.sig_0", "x.sig_1", "x.sig_2", "x.bands"))
     classes = sets.select("rep", "n", "sig_0", "sig_1", "sig_2")
     banded = sets.select(F.explode("bands").alias("key"), "rep", F.col("doc_id").alias("id"))
-    shared = materialise(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    members = materialise(banded.join(shared, "key"))
-    score = materialise(members.groupBy("rep").agg(F.sum("members").alias("score")))
+    shared = scratch(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    members = scratch(banded.join(shared, "key"))
+    score = scratch(members.groupBy("rep").agg(F.sum("members").alias("score")))
     # The pivot of a bucket: the class that shares most; of equals the one with the smallest document.
     chosen = F.max(F.struct("score", (-F.col("id")).alias("least"), "rep")).alias("p")
-    pivots = materialise(members.select("key", "rep", "id").join(score, "rep").groupBy("key").agg(chosen).select("key", F.col("p.rep").alias("pivot")))
+    pivots = scratch(members.select("key", "rep", "id").join(score, "rep").groupBy("key").agg(chosen).select("key", F.col("p.rep").alias("pivot")))
     stars = members.join(pivots, "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    likely = materialise(_with(_with(stars, "a", classes), "b", classes).where(_likely(threshold, "a", "b")).select("a", "b"))
-    discard(shared, score, pivots)
+    likely = scratch(_with(_with(stars, "a", classes), "b", classes).where(_likely(threshold, "a", "b")).select("a", "b"))
 
-    texts = _texts(docs, sets, members)
+    texts = _texts(docs, sets, members, scratch)
     links = _confirm(likely, texts, percent, width)
-    found = materialise(components(links))
+    found = components(links)
 
     # What the pivots left apart: buckets whose classes are still in more than one component.
     labelled = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = materialise(labelled.select("key", "rep", F.coalesce("component", "rep").alias("label")))
+    labelled = scratch(labelled.select("key", "rep", F.coalesce("component", "rep").alias("label")))
     apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    open_reps = labelled.join(materialise(apart), "key").select("rep", "label").distinct()
-    rest = materialise(open_reps.join(classes, "rep"))
-    pairs = materialise(_rest_pairs(_prefixes(rest, texts, percent, width), percent).join(likely, ["a", "b"], "left_anti"))
+    open_reps = labelled.join(scratch(apart), "key").select("rep", "label").distinct()
+    rest = scratch(open_reps.join(classes, "rep"))
+    pairs = scratch(_rest_pairs(_prefixes(rest, texts, percent, width, scratch), percent, scratch).join(likely, ["a", "b"], "left_anti"))
     more = _confirm(pairs, texts, percent, width)
-    discard(members, labelled, rest, pairs, texts, found)
-    found = materialise(components(links.union(more)))
+    discard(found)
+    found = components(links.union(more))
+    discard(links, more)
+    scratch.drop()
 
     # Classes are numbered as they come; a component's id is its smallest document.
     linked = sets.select("rep", "set_a", "set_b", "doc_id").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = materialise(linked.groupBy("component").agg(F.min("doc_id").alias("c")))
     ids = materialise(linked.join(least, "component").select("set_a", "set_b", "c", "component"))
+    discard(sets, found, least)
     joined = signed.select("doc_id", "text_key", "n_shingles", "set_a", "set_b").join(ids, ["set_a", "set_b"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")))
     return joined.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "component")
 
 
-def _texts(docs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, sets: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
     """One text for each class that shares a bucket."""
-    wanted = materialise(sets.select("rep", "doc_id", "text_key").join(members.select("rep").distinct(), "rep"))
+    wanted = scratch(sets.select("rep", "doc_id", "text_key").join(members.select("rep").distinct(), "rep"))
     # The wanted rows grow with the documents, so they are never broadcast.
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(wanted.hint("merge"), ["doc_id", "text_key"])
-    return materialise(texts.groupBy("rep").agg(F.min("text").alias("text")))
+    return scratch(texts.groupBy("rep").agg(F.min("text").alias("text")))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -300,7 +303,7 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5)
     found = near_duplicates(apart.where(~wordless).select("doc_id", "text"), percent, width)
     kept = found.where("kept").groupBy("component").agg(F.min("component_id").alias("doc_id"), F.min("text_key").alias("text_key"))
     keyed = apart.where(~wordless).withColumn("text_key", F.xxhash64("text"))
-    same = keyed.join(materialise(kept.select("doc_id", "text_key")), ["doc_id", "text_key"], "left_semi")
+    same = keyed.join(materialise(kept.select("doc_id", "text_key")).hint("merge"), ["doc_id", "text_key"], "left_semi")
     nth = F.row_number().over(W.partitionBy("doc_id", "text_key").orderBy(F.xxhash64(*apart.columns)))
     one = same.withColumn("nth", nth).where("nth = 1").select(*apart.columns)
     return one.unionByName(apart.where(wordless)).select(*[F.col(names[c]).alias(c) for c in docs.columns])

@@ -134,5 +134,5 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int
     apart, names = set_aside(docs, "doc_id", "text", "source")
     numbered = materialise(apart.withColumn("row", F.monotonically_increasing_id()))
     times = mix(numbered, weights, seed, ("row",)).where("repeats > 0").select("row", F.col("repeats").cast("int"))
-    taken = numbered.join(times, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    taken = numbered.join(times.hint("merge"), "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
     return taken.select(*[F.col(names[c]).alias(c) for c in docs.columns])

@@ -115,8 +115,10 @@ def first_places(docs: DataFrame, width: int = 50) -> DataFrame:
     copied = lambda rows, windows: rows.where(F.col("ref.doc_id") < F.col("doc_id")).select("doc_id", "key", "start", windows.alias("windows"), F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
     open_ends = placed.where((F.col("ref.doc_id") == F.col("doc_id")) & F.col("varied"))
     listed = materialise(open_ends.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("blocks")))
-    windows = materialise(_boundary_windows(known.join(listed, ["doc_id", "key"]).select("doc_id", "key", "text", "blocks"), width))
+    # What is listed or copied grows with the documents, so neither is broadcast.
+    windows = materialise(_boundary_windows(known.join(listed.hint("merge"), ["doc_id", "key"]).select("doc_id", "key", "text", "blocks"), width))
     seen = windows.groupBy("anchor", "window").agg(first.alias("ref"), F.max("doc_id").alias("last")).where(F.col("ref.doc_id") < F.col("last"))
+    discard(listed)
     late = windows.join(materialise(seen.select("anchor", "window", "ref")), ["anchor", "window"])
     return copied(placed, F.col("windows")).union(copied(late, F.lit(1)))
 
@@ -175,7 +177,7 @@ def _cut(docs: DataFrame, width: int) -> tuple[DataFrame, dict[str, str]]:
     apart, names = set_aside(docs, "doc_id", "text")
     columns, keyed = apart.columns, apart.withColumn("key", F.xxhash64("text"))
     copies = _parsed(first_places(keyed.select(F.col("doc_id").cast("long"), "key", "text"), width), width)
-    joined = keyed.join(copies.withColumnsRenamed({"doc_id": "of_doc", "key": "of_key"}), (F.col("doc_id") == F.col("of_doc")) & (F.col("key") == F.col("of_key")), "left")
+    joined = keyed.join(copies.withColumnsRenamed({"doc_id": "of_doc", "key": "of_key"}).hint("merge"), (F.col("doc_id") == F.col("of_doc")) & (F.col("key") == F.col("of_key")), "left")
 
     def cut(batches):
         for batch in batches:
