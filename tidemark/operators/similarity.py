@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as X
 from .ranking import written
@@ -14,9 +13,9 @@ MOST_QUERIES, QUERY_BLOCK = 100_000, 1000
 
 
 def normalised(postings: DataFrame) -> DataFrame:
-    """Weights of each item scaled to unit length; an item's terms are few, so its window is small."""
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("item_id")))
-    return postings.withColumn("weight", F.col("weight") / norm)
+    """Weights of each item scaled to unit length. Squares are summed before the shuffle, one row per item and task."""
+    norms = postings.groupBy("item_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
+    return postings.join(norms, "item_id").withColumn("weight", F.col("weight") / F.col("_norm")).drop("_norm")
 
 
 def _idf(counts: DataFrame, items: DataFrame, least: int = 1, share: float = 1.0) -> DataFrame:
@@ -48,7 +47,7 @@ def tfidf(items: DataFrame, least: int = 2, share: float = 0.5, stop_words=X.STO
     Texts are read once: their counts are written, then the postings, which similarity reads twice.
     """
     counts = written(term_counts(items, stop_words))
-    return written(_weighted(counts, _idf(counts, items, least, share), 1 + F.log("tf")))
+    return written(_weighted(counts, written(_idf(counts, items, least, share)), 1 + F.log("tf")))
 
 
 def trigram_counts(items: DataFrame) -> DataFrame:
