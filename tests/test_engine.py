@@ -62,6 +62,9 @@ def test_percentile_shares_ranks_between_ties(spark):
     rows = spark.createDataFrame(list(enumerate([0, 1, 1, 2, 5])), "item_id int, n int")
     got = {r["item_id"]: r["p"] for r in popularity.percentile(rows, "n", "p").collect()}
     assert got == {0: None, 1: 0.375, 2: 0.375, 3: 0.75, 4: 1.0}
+    wide = [1e-9, 2.5, float("nan"), 2.5, -1.0, 1e12, None, 0.0, 2.500001, 7e11]
+    ranks = {r["item_id"]: r["p"] for r in popularity.percentile(spark.createDataFrame(list(enumerate(wide)), "item_id int, x double"), "x", "p").collect()}
+    assert ranks == {0: 1 / 6, 1: 2.5 / 6, 2: None, 3: 2.5 / 6, 4: None, 5: 1.0, 6: None, 7: None, 8: 4 / 6, 9: 5 / 6}
     with pytest.raises(ValueError):
         popularity.popularity(rows, ("n",), "sum")
     with pytest.raises(KeyError):

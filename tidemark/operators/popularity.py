@@ -17,12 +17,12 @@ RANGES = 64
 
 
 def percentile(items: DataFrame, column: str, name: str) -> DataFrame:
-    """Add the mean rank of `column` among its positive values, as a share of their number; null for the others.
+    """Add the mean rank of `column` among its positive values, as a share of their number; null for the others, NaN included.
 
     Ranks come from the histogram of distinct values. Those are ordered within ranges of like size, and only the
     ranges' counts, at most RANGES for each doubling from the smallest to the largest value, in one task.
     """
-    hist = items.where(F.col(column) > 0).groupBy(F.col(column).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    hist = items.where((F.col(column) > 0) & ~F.isnan(column)).groupBy(F.col(column).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
     hist = hist.withColumn("_range", F.floor(F.log2("_x") * RANGES))
     sums = hist.groupBy("_range").agg(F.sum("_n").alias("_all"))
     earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
