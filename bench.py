@@ -13,6 +13,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 from pyspark.sql import SparkSession  # noqa: E402
 
 from tidemark.plans.queries import QUERIES  # noqa: E402
+from tidemark.sources.tables import clear_steps  # noqa: E402
 
 HEADLINE = (
     "popular merge_sources dedup_by_key interactions_dedup tfidf_weights tfidf_recommend cf_recommend embedding_recommend hybrid_recommend hybrid_cf_recommend "
@@ -40,6 +41,7 @@ def main() -> None:
         began = time.time()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
+        clear_steps(spark)
     spark.stop()
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(folder.rstrip("/"))}))
 

@@ -116,6 +116,7 @@ def main(argv: list[str] | None = None) -> None:
             shown(kept).orderBy("model").show(50, truncate=False)
             if given.results:
                 tables.write_results(kept.coalesce(1), f"{given.results}/{name}_seed{given.seed}")
+    tables.clear_steps(spark)
 
 
 if __name__ == "__main__":

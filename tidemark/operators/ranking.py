@@ -5,13 +5,11 @@ Everywhere the order is score (to nine places) descending, then item_id: a total
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..sources.tables import shared_dir
+from ..sources.tables import step_path
 
 
 def best() -> tuple[Column, Column]:
@@ -57,7 +55,7 @@ def completed(scores: DataFrame, items: DataFrame, queries: list | DataFrame) ->
 
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage by a table in the shared folder: what is read several times is made once."""
-    path = f"{shared_dir(df.sparkSession)}/ranking/{uuid.uuid4().hex}"
+    path = step_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

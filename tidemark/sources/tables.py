@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def step_path(spark: SparkSession) -> str:
+    """A new place in the shared folder for a table between steps, under this application's name."""
+    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clear_steps(spark: SparkSession) -> None:
+    """Delete the tables between steps of this application; results that still read them must be saved before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # --- the alias table beside a catalogue -----------------------------------------------------------------------
 
 ALIASES = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("kept_id", T.StringType())])
