@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from contextlib import contextmanager
 from functools import lru_cache
 from weakref import WeakKeyDictionary
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..sources.tables import shared_dir
+from ..sources.tables import step_path
 
 #: ASCII white space, as the contracts of the word operators list it.
 SPACES = r"\x20\x09-\x0D"
@@ -42,7 +41,7 @@ def small_batches(spark: SparkSession):
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = step_path(spark)
     with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

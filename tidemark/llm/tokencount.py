@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import default_vocabulary, encoder, materialise, shared_dir
+from ..sources.tables import shared_dir
+from .common import default_vocabulary, encoder, materialise
 
 #: Ids per block; the vocabulary's end-of-document id fits unsigned 16-bit files.
 BLOCK_TOKENS, END_OF_DOCUMENT, KIND = 1 << 16, 50256, "<u2"
