@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import hnsw, kdtree, licenses, minhash, mixing, packing, quality, substrings, tokencount, toxicity
+from . import ballkmeans, hnsw, kdtree, licenses, minhash, mixing, packing, pieces, quality, resampling, substrings, tokencount, toxicity
 from .common import table
 
 
@@ -51,7 +51,22 @@ def op6_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "component")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_license_scan, op4_substring_dedup, op5_token_counts, op6_minhash_near_dedup, op7_hnsw_neighbours, op8_quality, op9_kdtree_top_products, op10_source_mixing)}
+def op11_importance_resampling(spark, sf_dir):
+    """Every document's n-gram weight towards the benchmark texts, and the quarter drawn by it."""
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_ball_kmeans(spark, sf_dir):
+    """Every embedding's cluster after three rounds from 16 seeded centroids."""
+    return ballkmeans.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_piece_tokens(spark, sf_dir):
+    """Digests of every document's SentencePiece ids and of the text they decode to."""
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_license_scan, op4_substring_dedup, op5_token_counts, op6_minhash_near_dedup, op7_hnsw_neighbours, op8_quality, op9_kdtree_top_products, op10_source_mixing, op11_importance_resampling, op12_ball_kmeans, op13_piece_tokens)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {}
 if corpus_pipeline.ORACLE_SQL:
@@ -77,6 +92,8 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
+ORACLE["op11_importance_resampling"] = resampling.resampled_sql()
+ORACLE["op12_ball_kmeans"] = ballkmeans.clusters_sql()
 ORACLE["op3_license_scan"] = licenses.scan_sql()
 
 #: Exact components: equal sets first, then pairs of sets that share a shingle, then the least doc_id reachable.
