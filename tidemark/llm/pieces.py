@@ -8,13 +8,13 @@ A bit field keeps the places from which no continuation exists, so no place fail
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import lru_cache
 from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .minhash import slices
 
@@ -60,7 +60,7 @@ class MergeEncoder:
         # No merge reaches over a place where a word ends and a space begins, unless some piece does.
         joins = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.words = re.compile(r"(?s).+" if joins else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.fits = lru_cache(PAIRS_KEPT)(self._fits)
+        self.fitting = lru_cache(PAIRS_KEPT)(self._next)
         self.shorter = lru_cache(PAIRS_KEPT)(self._shorter)
         # Nor over one before a mark that follows no letter in any piece.
         after = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
@@ -89,6 +89,12 @@ class MergeEncoder:
         """The longest proper prefix that is a piece or one character; empty if there is none."""
         return next((piece[:n] for n in range(len(piece) - 1, 0, -1) if n == 1 or piece[:n] in self.ids), "")
 
+    def _next(self, before: str, piece: str) -> str:
+        """The piece itself or its longest prefix that fits the piece before; empty if none does."""
+        while piece and not self._fits(before, piece):
+            piece = self.shorter(piece)
+        return piece
+
     def _longest(self, text: str, at: int) -> str:
         """The longest piece that starts at a place, else its character."""
         if text[at] in self.starts:
@@ -98,30 +104,34 @@ class MergeEncoder:
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a normalised text."""
+        fitting, shorter, longest, size = self.fitting, self.shorter, self._longest, len(text)
+        out, at, last, failed = [], 0, "", None
         # Where the longest matches, one after another, fit, there is nothing to search.
-        fits, out, at, last = self.fits, [], 0, ""
-        for end, piece in self.automaton.iter_long(text) if len(text) <= LONGEST_KEPT else ():
-            if end - len(piece) + 1 != at or not fits(last, piece):
+        for end, piece in self.automaton.iter_long(text) if size <= LONGEST_KEPT else ():
+            if end - len(piece) + 1 != at or fitting(last, piece) != piece:
                 break
             out.append(piece)
             at, last = end + 1, piece
-        size = len(text)
         if at == size:
             return out
-        failed, piece = bytearray(size // 8 + 1), self._longest(text, at)
+        piece = fitting(last, longest(text, at))
         while True:
-            stop = at + len(piece)
-            if not failed[stop >> 3] >> (stop & 7) & 1 and fits(out[-1] if out else "", piece):
+            if failed is not None:
+                while piece and failed[(stop := at + len(piece)) >> 3] >> (stop & 7) & 1:
+                    piece = fitting(last, shorter(piece))
+            if piece:
                 out.append(piece)
-                if (at := stop) == size:
+                at, last = at + len(piece), piece
+                if at == size:
                     return out
-                piece = self._longest(text, at)
-            elif shorter := self.shorter(piece):
-                piece = shorter
+                piece = fitting(last, longest(text, at))
             else:
+                failed = bytearray(size // 8 + 1) if failed is None else failed
                 failed[at >> 3] |= 1 << (at & 7)
-                piece = out.pop()
-                at -= len(piece)
+                at -= len(last)
+                piece = shorter(out.pop())
+                last = out[-1] if out else ""
+                piece = fitting(last, piece)
 
     def _ids(self, text: str) -> tuple[int, ...]:
         found = self.pieces(text)
@@ -199,7 +209,26 @@ def decoded(rows: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of docs, as `encoded` and `decoded` give them."""
-    both = decoded(encoded(docs, model), model)
-    joined = F.array_join("ids", " ")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of docs, of what `encoded` and `decoded` give.
+
+    Ids and decoded texts stay in the task, a few MB at a time; digests leave it.
+    """
+    path = model or default_model()
+
+    def run(batches):
+        encoder = merge_encoder(path)
+        library, last = encoder.library, encoder.library.eos_id()
+        written = [str(i) for i in range(library.get_piece_size())]
+        digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        for batch in batches:
+            for part in slices(batch, 1):
+                size, of_ids, of_text = [], [], []
+                for text in part.column(1).to_pylist():
+                    ids = encoder.encode(text or "")
+                    ids.append(last)
+                    size.append(len(ids))
+                    of_ids.append(digest(" ".join([written[i] for i in ids])))
+                    of_text.append(digest(library.decode(ids)))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
