@@ -75,6 +75,22 @@ def test_packed_documents_awkward(spark, awkward):
     check_packing(rows, 1024)
 
 
+@pytest.mark.parametrize("unit", [" ", "\t", "\n", " \n"])
+def test_very_long_white_space(spark, unit):
+    run = unit * (2_000_000 // len(unit))
+    rows = [(1, run), (2, f"a{run}b"), (3, f"one {run}"), (4, "plain")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = packing.packed_documents(df).collect()
+    check_packing(out, 1024)
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == expected_pieces(rows)
+
+
+def test_a_source_named_nul_is_not_the_null_source(spark):
+    rows = [(i, " ".join(["w"] * (i % 7 + 1)), (None, "\0", "a")[i % 3], "en", 1) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    check_mix(mixing.mix(df).collect())
+
+
 def test_packing_query_matches_tokenizers(spark):
     sf = "/root/testdata/sf0.01"
     rows = registry.op1_best_fit_packing(spark, sf).collect()

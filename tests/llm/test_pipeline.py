@@ -12,14 +12,14 @@ from test_substrings import brute as passage_brute
 from tidemark.llm import registry, toxicity
 
 #: The columns of documents, and such as an operator's own names might clash with.
-CLASHING = "n_words string, n_removed long, kept_text string, score string, clauses string, key long, text_key string, _nth int, nth int, _key_a string, row string, copy int, repeats int, size string, target string, kept string, rep string, component long, place string, length long, sequence_id long, piece string, copies string, in_1 string"
+CLASHING = "n_words string, n_removed long, kept_text string, score string, clauses string, key long, text_key string, _nth int, nth int, _key_a string, row string, copy int, repeats int, size string, target string, kept string, rep string, component long, place string, length long, sequence_id long, piece string, copies string, in_1 string, in_lang string, in_0 string, `a.b` string, clause string, y int"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + CLASHING
 OWN = " ".join(f"o{i}" for i in range(60))
 KEEPING = corpus_pipeline.STAGES[:-1]
 
 
 def row(doc_id, text, source="s", n_chars=None):
-    names = [f.split() for f in CLASHING.split(", ")]
+    names = [f.rsplit(" ", 1) for f in CLASHING.split(", ")]
     return (doc_id, text, "en", source, n_chars, *("v" if kind == "string" else 3 for _, kind in names))
 
 
@@ -37,6 +37,7 @@ def awkward(spark):
     rows = [row(1, None), row(1, None), row(2, "", n_chars=0), row(3, " \n\t"), row(None, "some words here", None), row(None, None, None)]
     rows += [row(4, "same text in two rows"), row(4, "same text in two rows"), row(5, "one id"), row(5, "and another text"), row(5, None)]
     rows += [row(6, long, "t", len(long)), row(7, f"{passage} the end of it", "t", 1), row(8, f"begin with {passage} {OWN}", None, 1), row(9, "tie a b c d e", "u"), row(10, "tie a b c d e", "u")]
+    rows += [row(11, "far" + " " * 1_500_000 + "apart", "u"), row(12, "\n" * 1_500_000, "u")]
     return spark.createDataFrame(rows, DOCS)
 
 

@@ -35,6 +35,14 @@ def counts(rows):
     return Counter((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows)
 
 
+@pytest.mark.parametrize("unit", [" ", "\t", "\n", " \n"])
+def test_very_long_white_space(spark, unit):
+    run = unit * (2_000_000 // len(unit))
+    rows = [(1, run), (2, f"a{run}b"), (3, f"one {run}"), (4, "plain")]
+    out = tokencount.token_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in out) == counts(rows)
+
+
 def test_awkward_rows(spark):
     rows = [(1, None), (2, ""), (None, "three word text"), (3, "long " * 70_000), (4, "same"), (4, "same"), (5, "<|endoftext|>")]
     df = spark.createDataFrame([(i, t, 1, "f") for i, t in rows], DOCS)

@@ -94,8 +94,8 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[Column], buckets: in
     on each run, and independent of partitioning. Only (key, salt) counts meet by key.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    null_safe = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"_k{i}") for i, k in enumerate(keys)]
-    names = [f"_k{i}" for i in range(len(keys))]
+    null_safe = [x for i, k in enumerate(keys) for x in (F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_k{i}"), F.col(k).isNull().alias(f"_z{i}"))]
+    names = [f"_{kind}{i}" for i in range(len(keys)) for kind in "kz"]
     salted = salted.select("*", *null_safe)
     counts = salted.groupBy(*names, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*names).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
@@ -144,7 +144,8 @@ def encoder(path: str):
     """The byte-level BPE of a tokenizers JSON file with its special tokens, in a faster implementation.
 
     encode_to_numpy(text, allowed_special="all") gives the ids that tokenizers gives without added special tokens;
-    allowed_special=() reads the special tokens' strings as ordinary text.
+    allowed_special=() reads the special tokens' strings as ordinary text. Its patterns give up on runs of white space
+    of about a million characters; token_ids does not.
     """
     import public_tokenizers
     import tiktoken
@@ -154,3 +155,27 @@ def encoder(path: str):
     letters, special = _byte_letters(), {t["content"]: t["id"] for t in held["added_tokens"]}
     ranks = {bytes(letters[c] for c in token): rank for token, rank in held["model"]["vocab"].items() if token not in special}
     return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+@lru_cache(maxsize=4)
+def whole_encoder(path: str, special: bool):
+    """The vocabulary by `tokenizers` itself: slower, for texts of any shape."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = not special
+    return tokenizer
+
+
+def token_ids(path: str, text: str | None, special: bool):
+    """The ids of a whole text (null: none) as unsigned 32-bit numbers, as `tokenizers` gives them.
+
+    `special` tells whether the special tokens' strings in a text stand for those tokens. Texts whose white space is
+    too long for the faster implementation go to `tokenizers`.
+    """
+    try:
+        return encoder(path).encode_to_numpy(text or "", allowed_special="all" if special else set(), disallowed_special=())
+    except ValueError:
+        import numpy as np
+
+        return np.array(whole_encoder(path, special).encode(text, add_special_tokens=False).ids, dtype=np.uint32)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import default_vocabulary, encoder, materialise, salt_buckets, salted_rank, set_aside
+from .common import default_vocabulary, materialise, salt_buckets, salted_rank, set_aside, token_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 SLOTS = "slot_length long, rank_from long, rank_to long, first_sequence long, per_sequence long, slot_offset long"
@@ -30,11 +30,10 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabul
     path = vocabulary or default_vocabulary()
 
     def cut(batches):
-        bpe = encoder(path)
         for batch in batches:
             doc, piece, start, length, ids = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                all_ids = np.append(bpe.encode_to_numpy(text or "", allowed_special="all"), end_id).astype("<u4")
+                all_ids = np.append(token_ids(path, text, True), end_id).astype("<u4")
                 first = len(all_ids) % capacity or capacity
                 edges = [0, *range(first, len(all_ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources.tables import shared_dir
-from .common import default_vocabulary, encoder, materialise
+from .common import default_vocabulary, materialise, token_ids
 
 #: Ids per block; the vocabulary's end-of-document id fits unsigned 16-bit files.
 BLOCK_TOKENS, END_OF_DOCUMENT, KIND = 1 << 16, 50256, "<u2"
@@ -77,11 +77,11 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str | None = None) -> D
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        bpe, name, ordinal = encoder(path), f"part-{task.partitionId():06d}-{task.taskAttemptId()}.bin", 0
+        name, ordinal = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.bin", 0
         with open(f"{folder}/{name}", "wb") as f:
             for batch in batches:
                 for text in batch.column(1).to_pylist():
-                    f.write(np.append(bpe.encode_to_numpy(text or "", allowed_special=set(), disallowed_special=()), END_OF_DOCUMENT).astype(KIND).tobytes())
+                    f.write(np.append(token_ids(path, text, False), END_OF_DOCUMENT).astype(KIND).tobytes())
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(ordinal, ordinal + n), pa.int64()), batch.column(0).cast(pa.int64())], names=["file", "ordinal", "doc_id"])
                 ordinal += n
@@ -105,7 +105,7 @@ def flat_blocks(docs: DataFrame, vocabulary: str | None = None, block_tokens: in
     def write(batches):
         from pyspark import TaskContext
 
-        bpe, name = encoder(path), f"part-{TaskContext.get().partitionId():06d}"
+        name = f"part-{TaskContext.get().partitionId():06d}"
         held, size, block, ids = [], 0, 0, []
 
         def cut(last=False):
@@ -121,7 +121,7 @@ def flat_blocks(docs: DataFrame, vocabulary: str | None = None, block_tokens: in
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append(np.append(bpe.encode_to_numpy(text or "", allowed_special=set(), disallowed_special=()), END_OF_DOCUMENT).astype(KIND))
+                held.append(np.append(token_ids(path, text, False), END_OF_DOCUMENT).astype(KIND))
                 ids.append(doc_id)
                 size += len(held[-1])
                 if size >= 8 * block_tokens:

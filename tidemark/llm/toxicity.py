@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, set_aside
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 LEXICON = {
@@ -316,12 +316,19 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, clauses) for every row of docs."""
+    """(doc_id, held_out, score, predicted, clauses) for every row of docs (doc_id, text, any other columns).
+
+    Null and empty texts match nothing and get the score of that; texts count whole at any length. Repeated rows are
+    scored each, alike; rows without doc_id are scored, are not held out and learn nothing. Empty tables stay empty.
+    """
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "clauses")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs less those scored 0.5 or more, with its own columns."""
-    scored = score(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns if c != "text"}), train(docs, labels))
-    return scored.where("score < 0.5").select(*[F.col(c if c == "text" else f"in_{c}").alias(c) for c in docs.columns])
+    """docs less those scored 0.5 or more, with its own columns, whatever their names.
+
+    Null and empty texts stay, repeated rows stay or go together, and texts count whole at any length.
+    """
+    apart, names = set_aside(docs, "text")
+    return score(apart, train(docs, labels)).where("score < 0.5").select(*[F.col(names[c]).alias(c) for c in docs.columns])
