@@ -133,14 +133,16 @@ def test_embedding_query_equals_the_embedder(spark):
 
 
 def test_many_dense_queries_go_in_blocks(spark, monkeypatch):
-    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "item_id long, vector array<float>")
+    rows = [(i, [float(i), 1.0]) for i in range(20)] + [(20, [1.0, 2.0, 3.0]), (21, [])]
+    vectors = spark.createDataFrame(rows, "item_id long, vector array<float>")
     asked = vectors.selectExpr("item_id as query_id", "cast(vector as array<double>) as profile")
-    monkeypatch.setattr(M, "QUERY_BLOCK", 3)
-    got = {(r["query_id"], r["item_id"]): r["score"] for r in M.dense_similar(asked, vectors).collect()}
-    assert got == {(a, b): a * b + 1.0 for a in range(20) for b in range(20)}
-    monkeypatch.setattr(M, "MOST_QUERIES", 19)
-    with pytest.raises(ValueError):
-        M.dense_similar(asked, vectors)
+    want = {(a, b): sum(x * y for x, y in zip(u, v, strict=True)) for a, u in rows for b, v in rows if len(u) == len(v) > 0}
+    for queries, items in ((1 << 20, 1 << 20), (6, 10), (1 << 20, 4)):
+        monkeypatch.setattr(M, "QUERY_BLOCK", queries)
+        monkeypatch.setattr(M, "ITEM_BLOCK", items)
+        out = M.dense_similar(asked, vectors).collect()
+        assert {(r["query_id"], r["item_id"]): r["score"] for r in out} == want and len(out) == len(want)
+    assert M.dense_similar(asked.limit(0), vectors).count() == 0 and M.dense_similar(asked, vectors.limit(0)).count() == 0
 
 
 def test_profiles_by_example(spark):

@@ -5,10 +5,13 @@ Arguments are checked on the driver as a caller expects (ValueError, KeyError);
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
+from .operators import models
 from .operators import popularity as pop
 from .operators import ranking as R
 from .operators import search as S
@@ -27,25 +30,40 @@ class Engine:
     """Models over a catalogue (item_id, title, author, description, tags, has_description, and popularity counts).
 
     `vectors` (item_id, vector) adds embeddings, hybrid and hybrid_popular; `interactions` (user_id, item_id) adds
-    cf and hybrid_cf. Postings and the title index are made once and written to the shared folder.
+    cf and hybrid_cf. Postings and the title index are made at the first request that needs them, once, and written to
+    the shared folder.
     """
 
     def __init__(self, catalog: DataFrame, sources: tuple[str, ...], vectors: DataFrame | None = None, interactions: DataFrame | None = None):
         self.spark = catalog.sparkSession
         items = pop.popularity(catalog, sources)
         self.items = R.written(items.withColumn("text", X.model_text(F.col("title"), F.col("tags"), F.col("description"))))
-        self.content = self.items.where("has_description").select("item_id")
-        self.postings = {"tfidf": M.tfidf(self.items.select("item_id", "text"))}
-        self.titles = S.TitleIndex(self.items.select("item_id", "title"))
-        self.vectors = vectors
+        self.vectors, self.interactions = vectors, interactions
         self.models = ["popularity", "tfidf"]
         if vectors is not None:
             self.models += ["embeddings", "hybrid", "hybrid_popular"]
         if interactions is not None:
-            self.postings["cf"] = R.written(M.reader_postings(interactions))
-            self.readers = R.written(pop.readers(interactions))
             self.models += ["cf", "hybrid_cf"]
 
+    @cached_property
+    def titles(self) -> S.TitleIndex:
+        return S.TitleIndex(self.items.select("item_id", "title"))
+
+    @cached_property
+    def tfidf(self) -> DataFrame:
+        return M.tfidf(self.items.select("item_id", "text"))
+
+    @cached_property
+    def cf(self) -> DataFrame:
+        return R.written(M.reader_postings(self.interactions))
+
+    def model(self, name: str) -> models.Model:
+        """A model by name; only what it is made of is built."""
+        tfidf = self.tfidf if name != "popularity" else None
+        vectors = self.vectors if name in ("embeddings", "hybrid", "hybrid_popular") else None
+        cf = self.cf if name in READER_MODELS else None
+        return next(m for m in models.standard(self.items, tfidf, vectors, cf, MIN_READERS, ALPHA, BETA) if m.name == name)
+
     # --- look-ups ---------------------------------------------------------------------------------------------
 
     def get(self, item_id, full: bool = False) -> dict:
@@ -58,7 +76,8 @@ class Engine:
     def popular(self, k: int = 10) -> DataFrame:
         """The k (1 to 100) most popular items."""
         _within("k", k, MOST_POPULAR)
-        return self._results(self._popularity([]), k)
+        best = R.rounded(self.items.select(F.lit(1).alias("query_id"), "item_id", F.col("popularity").alias("score"))).orderBy(*R.best()).limit(k)
+        return self._results(R.top_k(best, k))
 
     def search_titles(self, query: str, n: int = 5) -> tuple[str, list[dict]]:
         """('match', [item]), ('did_you_mean', items) or ('not_found', []); n is 1 to 20."""
@@ -82,61 +101,35 @@ class Engine:
             raise ValueError(f"1 to {MOST_SEEDS} items are needed, not {len(ids)}")
         known = {r[0] for r in self.items.where(F.col("item_id").isin(ids)).select("item_id").collect()}
         if unknown := [i for i in ids if i not in known]:
-            raise KeyError(unknown[0])
+            raise KeyError(unknown)
         if model in CONTENT_MODELS:
-            self._need("tfidf", ids, "has text")
+            self._need(self.tfidf, ids, "has text")
         if model in READER_MODELS:
-            self._need("cf", ids, "has readers")
-        return self._results(self.scores(model, ids), k)
+            self._need(self.cf, ids, "has readers")
+        return self._results(self._top(model, ids, k))
 
     def recommend_by_title(self, title: str, model: str = "popularity", k: int = 10) -> tuple[str, object]:
         """('match', DataFrame), or the status and suggestions of the search."""
         status, found = self.search_titles(title)
         return (status, self.recommend([found[0]["item_id"]], model, k)) if status == "match" else (status, found)
 
-    def scores(self, model: str, ids: list) -> DataFrame:
-        """(query_id, item_id, score) of a model for one query, seeds left out."""
+    def _top(self, model: str, ids: list, k: int) -> DataFrame:
+        """(query_id, item_id, score, rank) of a model for one query, seeds left out."""
         kind = self.items.schema["item_id"].dataType.simpleString()
         seeds = self.spark.createDataFrame([(1, i) for i in ids], f"query_id int, item_id {kind}")
-        if model == "popularity":
-            return self._popularity(ids)
-        if model in ("tfidf", "embeddings", "cf"):
-            return R.without_seeds(self._single(model, seeds), seeds).where("score > 0")
-        if model == "hybrid_popular":
-            blended = R.reranked(self.scores("hybrid", ids), self.items.select("item_id", "popularity"), BETA)
-            return blended.select("query_id", "item_id", "score")
-        second = {"hybrid": ("embeddings", self.content), "hybrid_cf": ("cf", self._supported())}[model]
-        first = R.ranked(R.completed(self._single("tfidf", seeds), self.content, [1]))
-        other = R.ranked(R.completed(self._single(second[0], seeds), second[1], [1]))
-        return R.without_seeds(R.fused(first, other, ALPHA).select("query_id", "item_id", "score"), seeds)
-
-    def _supported(self) -> DataFrame:
-        return self.readers.where(F.col("n_readers") >= MIN_READERS).select("item_id")
-
-    def _single(self, model: str, seeds: DataFrame) -> DataFrame:
-        if model == "embeddings":
-            scores = M.dense_similar(M.dense_profiles(seeds, self.vectors), self.vectors)
-        else:
-            scores = M.similar(seeds, self.postings[model])
-        return scores.join(self._supported() if model == "cf" else self.content, "item_id", "left_semi")
-
-    def _popularity(self, ids: list) -> DataFrame:
-        rows = self.items.where(~F.col("item_id").isin(ids)) if ids else self.items
-        return rows.select(F.lit(1).alias("query_id"), "item_id", F.col("popularity").alias("score"))
-
-    def _need(self, postings: str, ids: list, what: str) -> None:
-        if self.postings[postings].where(F.col("item_id").isin(ids)).isEmpty():
+        return models.Lists(seeds, len(ids)).top(self.model(model), k)
+
+    def _need(self, postings: DataFrame, ids: list, what: str) -> None:
+        if postings.where(F.col("item_id").isin(ids)).isEmpty():
             raise ValueError(f"none of the items {what}")
 
     def _shown(self, rows: DataFrame, full: bool = False) -> DataFrame:
         text = F.col("description") if full else X.snippet(F.col("description")).alias("description")
         return rows.select("item_id", "title", "author", text, *(["tags"] if full else []), *[c for c in ("score", "rank") if c in rows.columns])
 
-    def _results(self, scores: DataFrame, k: int) -> DataFrame:
-        """A single query needs no window over all items: the k best first, then their rank."""
-        best = R.rounded(scores).orderBy(*R.best()).limit(k)
-        top = R.top_k(best, k).select("item_id", F.round("score", 4).alias("score"), "rank")
-        return self._shown(top.join(self.items, "item_id")).orderBy("rank")
+    def _results(self, top: DataFrame) -> DataFrame:
+        shown = top.select("item_id", F.round("score", 4).alias("score"), "rank")
+        return self._shown(shown.join(self.items, "item_id")).orderBy("rank")
 
 
 def _within(name: str, value: int, most: int) -> None:

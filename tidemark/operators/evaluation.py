@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ranking import top_k
+from ..functions import text as X
 
 
 def hashed(seed: int, *columns: str) -> Column:
@@ -49,20 +49,28 @@ def related_pairs(pairs: DataFrame, tags: DataFrame, n: int, seed: int) -> DataF
     return one.orderBy(hashed(seed, "user_id"), "user_id").limit(n).select("user_id", "x.query", "x.target", "x.tag")
 
 
-def target_ranks(top: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, target_rank): the target's place in its query's list, 0 if absent."""
-    found = top.select("query_id", F.col("item_id").alias("target"), "rank")
-    return queries.select("query_id", "target").join(found, ["query_id", "target"], "left").select("query_id", F.coalesce("rank", F.lit(0)).alias("target_rank"))
+def target_ranks(top: DataFrame, queries: DataFrame, models: list[str]) -> DataFrame:
+    """(model, query_id, target_rank): the target's place in its query's list of each named model, 0 if absent."""
+    names = top.sparkSession.createDataFrame([(m,) for m in models], "model string")
+    found = top.select("model", "query_id", F.col("item_id").alias("target"), "rank")
+    every = queries.select("query_id", "target").join(F.broadcast(names)).join(found, ["model", "query_id", "target"], "left")
+    return every.select("model", "query_id", F.coalesce("rank", F.lit(0)).alias("target_rank"))
+
 
+def metrics(top: DataFrame, queries: DataFrame, items: DataFrame, models: list[str]) -> DataFrame:
+    """One row for each of the named models, over top (model, query_id, item_id, rank), queries (query_id, query, target)
+    and items (item_id, author, popularity).
 
-def metrics(top: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per model of top (model, query_id, item_id, rank) over queries (query_id, query, target) and items (item_id, author, popularity)."""
-    models = top.select("model").distinct()
-    a = items.select(F.col("item_id").alias("query"), F.col("author").alias("q_author"))
-    b = items.select(F.col("item_id").alias("target"), F.col("author").alias("t_author"))
+    Authors are compared by their keys; an unknown author is nobody's. coverage counts the distinct items recommended. A
+    model without any list has rates and coverage of 0, and null where there is nothing to average.
+    """
+    names = top.sparkSession.createDataFrame([(m,) for m in models], "model string")
+    keyed = items.select("item_id", "popularity", X.author_key(F.col("author")).alias("author"))
+    a = keyed.select(F.col("item_id").alias("query"), F.col("author").alias("q_author"))
+    b = keyed.select(F.col("item_id").alias("target"), F.col("author").alias("t_author"))
     q = queries.join(a, "query", "left").join(b, "target", "left").withColumn("same", F.coalesce(F.col("q_author") == F.col("t_author"), F.lit(False)))
     found = top.select("model", "query_id", F.col("item_id").alias("target"), "rank")
-    per_query = q.join(F.broadcast(models)).join(found, ["model", "query_id", "target"], "left")
+    per_query = q.join(F.broadcast(names)).join(found, ["model", "query_id", "target"], "left")
     hit = F.col("rank").isNotNull().cast("double")
     hits = per_query.groupBy("model").agg(
         F.avg(hit).alias("hit_rate"),
@@ -71,11 +79,11 @@ def metrics(top: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("same"), hit)).alias("hit_same_author"),
         F.avg(F.when(~F.col("same"), hit)).alias("hit_other_author"),
     )
-    lists = top.join(items.select("item_id", "popularity", "author"), "item_id").join(q.select("query_id", "q_author"), "query_id")
-    total = items.agg(F.count(F.lit(1)).alias("total"))
-    lists = lists.groupBy("model").agg(F.count_distinct("item_id").alias("distinct_items"), F.avg("popularity").alias("avg_popularity"), F.avg((F.col("author") == F.col("q_author")).cast("double")).alias("by_query_author"))
+    lists = top.join(keyed, "item_id").join(q.select("query_id", "q_author"), "query_id")
+    own = F.coalesce(F.col("author") == F.col("q_author"), F.lit(False)).cast("double")
+    lists = lists.groupBy("model").agg(F.count_distinct("item_id").alias("coverage"), F.avg("popularity").alias("avg_popularity"), F.avg(own).alias("by_query_author"))
     error = F.sqrt(F.col("hit_rate") * (1 - F.col("hit_rate")) / F.col("n"))
-    return hits.join(lists, "model").join(F.broadcast(total)).withColumn("std_error", error).withColumn("coverage", F.col("distinct_items") / F.col("total")).drop("total", "distinct_items")
+    return hits.join(lists, "model", "left").withColumn("std_error", error).fillna(0, ["coverage"])
 
 
 def discordant(ranks_a: DataFrame, ranks_b: DataFrame) -> DataFrame:
@@ -91,20 +99,15 @@ def mcnemar_p(only_a: int, only_b: int) -> float:
     return 1.0 if n == 0 else math.erfc(math.sqrt((abs(only_a - only_b) - 1) ** 2 / n / 2))
 
 
-def compared(top: DataFrame, queries: DataFrame, reference: str) -> DataFrame:
-    """(model, only_model, only_reference, p): every model of top against the reference on the same queries."""
+def compared(top: DataFrame, queries: DataFrame, reference: str, models: list[str]) -> DataFrame:
+    """(model, only_model, only_reference, p): each of the named models against the reference on the same queries.
+
+    The counts, one row per model, come to the driver, which has the p-values' error function.
+    """
     hits = top.join(queries.select("query_id", F.col("target").alias("item_id")), ["query_id", "item_id"], "left_semi").select("model", "query_id")
     known = hits.where(F.col("model") == reference).select("query_id", F.lit(True).alias("known"))
-    own = hits.join(known, "query_id", "left").groupBy("model").agg(F.count_if(F.col("known").isNull()).alias("only_model"), F.count_if("known").alias("both"))
-    rows = top.select("model").distinct().join(own, "model", "left").join(F.broadcast(known.agg(F.count(F.lit(1)).alias("found"))))
-    counts = rows.select("model", F.coalesce("only_model", F.lit(0)).alias("only_model"), (F.col("found") - F.coalesce("both", F.lit(0))).alias("only_reference"))
-    return counts.withColumn("p", F.udf(mcnemar_p, "double")("only_model", "only_reference"))
-
-
-def top_lists(scores: dict[str, DataFrame], k: int = 10) -> DataFrame:
-    """(model, query_id, item_id, score, rank) of several models in one table."""
-    out = None
-    for model, df in scores.items():
-        one = top_k(df.select("query_id", "item_id", "score"), k).withColumn("model", F.lit(model))
-        out = one if out is None else out.unionByName(one)
-    return out
+    own = hits.join(known, "query_id", "left").groupBy("model").agg(F.count_if(F.col("known").isNull()).alias("only_model"), F.count_if("known").alias("both")).collect()
+    counts = {r["model"]: (r["only_model"], r["both"]) for r in own}
+    found = counts.get(reference, (0, 0))[1]
+    rows = [(m, only, found - both, mcnemar_p(only, found - both)) for m in models for only, both in [counts.get(m, (0, 0))]]
+    return top.sparkSession.createDataFrame(rows, "model string, only_model long, only_reference long, p double")

@@ -1,173 +1,167 @@
-"""Top lists of every model for many one-seed queries, in one job keyed by query_id and model.
+"""Models by name, and the top lists of many queries under all of them.
 
-Each query needs the ranks of all items in two models. `spark_lists` makes them with the ranking operators, in rows per
-query and item. Where the catalogue is small enough to be held by every task, which `lists` checks, `model_lists` deals
-queries out instead and scores each against the catalogue as arrays. Both give the same lists.
+A model is what gives scores of items for seeds, and which items it may recommend. `Scorer` takes any such function; a
+fusion, a re-ranking and popularity build on that. `Lists` makes the lists: it leaves seeds out, ranks, fuses and cuts,
+and makes what several models need (scores, ranks, fused heads) once.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import fusion
 from . import ranking as R
 from . import similarity as M
 
-#: Postings and vector components that driver and tasks hold at most: about 100 MB.
-MOST_HELD = 5_000_000
-MODELS = ("popularity", "tfidf", "embeddings", "hybrid", "hybrid_popular", "cf", "hybrid_cf")
-LISTS = "model string, query_id long, item_id long, score double, rank int"
-
-
-class Postings:
-    """Items as sparse rows, and the items of each term; items outside `ids` are left out."""
-
-    def __init__(self, postings: DataFrame, ids: np.ndarray):
-        t = postings.select("item_id", "term", "weight").toArrow()
-        item = t["item_id"].to_numpy()
-        place = np.searchsorted(ids, item)
-        known = ids[np.minimum(place, len(ids) - 1)] == item if len(ids) else np.zeros(len(item), bool)
-        place, weight = place[known], t["weight"].to_numpy()[known]
-        term = t["term"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)[known]
-        self.by_item, self.by_term = self._dealt(place, term, weight, len(ids)), self._dealt(term, place, weight, int(term.max(initial=-1)) + 1)
-        self.terms = np.diff(self.by_item[0])
-
-    @staticmethod
-    def _dealt(key, other, weight, n):
-        order = np.lexsort((other, key))
-        return np.searchsorted(key[order], np.arange(n + 1)), other[order], weight[order]
-
-    def scores(self, seed: int) -> np.ndarray:
-        out = np.zeros(len(self.terms))
-        at, terms, weights = self.by_item
-        start, items, item_weights = self.by_term
-        for k in range(at[seed], at[seed + 1]):
-            rows = slice(start[terms[k]], start[terms[k] + 1])
-            out[items[rows]] += weights[k] * item_weights[rows]
-        return out
+#: Items that the re-ranker takes from its base.
+CANDIDATES = 200
 
 
-class Catalogue:
-    """items (item_id, popularity, has_description), postings of texts and readers, and vectors, as arrays by item_id."""
-
-    def __init__(self, items: DataFrame, tfidf: DataFrame, vectors: DataFrame, cf: DataFrame, least_readers: int = 5):
-        t = items.select("item_id", "popularity", "has_description").toArrow().sort_by("item_id")
-        self.ids, self.popularity = t["item_id"].to_numpy(), t["popularity"].to_numpy()
-        self.content = t["has_description"].to_numpy(zero_copy_only=False).astype(bool)
-        self.tfidf, self.cf = Postings(tfidf, self.ids), Postings(cf, self.ids)
-        self.supported = self.content & (self.cf.terms >= least_readers)
-        known = vectors.join(items.select("item_id"), "item_id", "left_semi").select("item_id", "vector").toArrow()
-        rows = np.array(known["vector"].to_pylist(), dtype=np.float64).reshape(len(known), -1)
-        self.vectors = np.zeros((len(self.ids), rows.shape[1]))
-        self.vectors[np.searchsorted(self.ids, known["item_id"].to_numpy())] = rows
-
-    def lists(self, item_id: int, k: int, alphas: tuple[float, ...] | None = None):
-        """(model, places, scores) of each model, or of the text and vector blend per alpha, for one seed."""
-        seed = int(np.searchsorted(self.ids, item_id))
-        if seed == len(self.ids) or self.ids[seed] != item_id:
-            return
-        score = {"tfidf": np.round(self.tfidf.scores(seed), 9), "embeddings": np.round(self.vectors @ self.vectors[seed], 9)}
-        text, dense = _ranks(score["tfidf"], self.content), _ranks(score["embeddings"], self.content)
-        if alphas is not None:
-            for a in alphas:
-                yield f"alpha={a}", *_best(_fused(text, dense, a), _but(self.content, seed), k)
-            return
-        score["cf"] = np.round(self.cf.scores(seed), 9)
-        for model, allowed in (("tfidf", self.content), ("embeddings", self.content), ("cf", self.supported)):
-            yield model, *_best(score[model], _but(allowed, seed) & (score[model] > 0), k)
-        everything = np.ones(len(self.ids), bool)
-        yield "popularity", *_best(np.round(self.popularity, 9), _but(everything, seed), k)
-        hybrid = _fused(text, dense, 0.5)
-        yield "hybrid", *_best(hybrid, _but(self.content, seed), k)
-        places, base = _best(hybrid, _but(self.content, seed), 200)
-        if len(places):
-            blend = np.full(len(self.ids), -np.inf)
-            blend[places] = np.round(0.8 * (base - base.min()) / (base.max() - base.min() + 1e-12) + 0.2 * self.popularity[places], 9)
-            yield "hybrid_popular", *_best(blend, np.isfinite(blend), k)
-        yield "hybrid_cf", *_best(_fused(text, _ranks(score["cf"], self.supported), 0.5), _but(self.supported, seed), k)
-
-
-def _but(allowed: np.ndarray, seed: int) -> np.ndarray:
-    out = allowed.copy()
-    out[seed] = False
-    return out
+@dataclass(frozen=True)
+class Scorer:
+    """A model by a function from seeds (query_id, item_id) to (query_id, item_id, score), over its candidates (item_id).
+
+    Items that it gives no row score zero. Lists hold scores above zero alone; a fusion ranks every candidate.
+    """
+
+    name: str
+    scores: Callable[[DataFrame], DataFrame]
+    items: DataFrame
+
+
+@dataclass(frozen=True)
+class Fusion:
+    """Two scorers by reciprocal ranks; the second one's candidates are candidates of the first."""
 
+    name: str
+    first: Scorer
+    second: Scorer
+    alpha: float = 0.5
 
-def _ranks(scores: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    """The rank of every allowed item, ties by id; seeds and zero scores included."""
-    places = np.flatnonzero(allowed)
-    ranks = np.zeros(len(scores))
-    ranks[places[np.argsort(-scores[places], kind="stable")]] = np.arange(1, len(places) + 1)
-    return ranks
 
+@dataclass(frozen=True)
+class Reranked:
+    """The best of a fusion blended with popularity (item_id, popularity)."""
 
-def _fused(first: np.ndarray, second: np.ndarray, alpha: float, k: int = 60) -> np.ndarray:
-    return np.round(alpha / (k + first) + (1 - alpha) / (k + second), 9)
+    name: str
+    base: Fusion
+    popularity: DataFrame
+    beta: float = 0.2
 
 
-def _best(scores: np.ndarray, allowed: np.ndarray, k: int):
-    places = np.flatnonzero(allowed)
-    places = places[np.argsort(-scores[places], kind="stable")[:k]]
-    return places, scores[places]
+@dataclass(frozen=True)
+class Popular:
+    """The same list for every query, but for its seeds: the most popular of (item_id, popularity)."""
 
+    name: str
+    popularity: DataFrame
 
-def model_lists(queries: DataFrame, catalogue: Catalogue, k: int = 10, alphas: tuple[float, ...] | None = None) -> DataFrame:
-    """(model, query_id, item_id, score, rank) of MODELS for queries (query_id, query), or of the hybrid per alpha.
 
-    Single models list only items with a score above 0, as the engine does. Text and vector models recommend
-    described items, reader models those of them with enough readers.
+Model = Scorer | Fusion | Reranked | Popular
+
+
+def sparse(name: str, postings: DataFrame, items: DataFrame) -> Scorer:
+    return Scorer(name, lambda seeds: M.similar(seeds, postings), items)
+
+
+def dense(name: str, vectors: DataFrame, items: DataFrame) -> Scorer:
+    return Scorer(name, lambda seeds: M.dense_similar(M.dense_profiles(seeds, vectors), vectors), items)
+
+
+def standard(items: DataFrame, tfidf: DataFrame | None = None, vectors: DataFrame | None = None, cf: DataFrame | None = None, least_readers: int = 5, alpha: float = 0.5, beta: float = 0.2) -> list[Model]:
+    """The models that the given parts allow, over items (item_id, popularity, has_description).
+
+    Text and vector models recommend described items, reader models those of them with enough readers.
     """
-    spark = queries.sparkSession
-    held = spark.sparkContext.broadcast(catalogue)
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for query_id, item_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for model, places, scores in held.value.lists(item_id, k, alphas):
-                    out += [(model, query_id, int(held.value.ids[p]), float(s), n) for n, (p, s) in enumerate(zip(places, scores, strict=True), 1)]
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int32())
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in LISTS.split(", ")])
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return queries.select(F.col("query_id").cast("long"), F.col("query").cast("long")).repartition(parts, "query_id").mapInArrow(run, LISTS)
-
-
-def spark_lists(queries: DataFrame, items: DataFrame, tfidf: DataFrame, vectors: DataFrame, cf: DataFrame, k: int = 10, alphas: tuple[float, ...] | None = None, least_readers: int = 5) -> DataFrame:
-    """The rows of model_lists for items (item_id, popularity, has_description), by joins, range ranks and fusion."""
-    seeds = R.written(queries.join(items.select(F.col("item_id").alias("query")), "query", "left_semi").select("query_id", F.col("query").alias("item_id")))
     content = items.where("has_description").select("item_id")
-    text = M.similar(seeds, tfidf).join(content, "item_id", "left_semi")
-    dense = M.dense_similar(seeds.join(vectors, "item_id").select("query_id", F.col("vector").cast("array<double>").alias("profile")), vectors).join(content, "item_id", "left_semi")
-    by_text, by_vector = R.ranked(R.completed(text, content, seeds)), R.ranked(R.completed(dense, content, seeds))
-    named = lambda scores, model: R.top_k(R.without_seeds(scores, seeds), k).select(F.lit(model).alias("model"), F.col("query_id").cast("long"), F.col("item_id").cast("long"), "score", "rank")
-    if alphas is not None:
-        swept = R.top_k(R.without_seeds(R.sweep(by_text, by_vector, alphas), seeds), k, "alpha", "query_id")
-        return swept.select(F.concat(F.lit("alpha="), F.col("alpha").cast("string")).alias("model"), F.col("query_id").cast("long"), F.col("item_id").cast("long"), "score", "rank")
-    supported = cf.groupBy("item_id").count().where(F.col("count") >= least_readers).join(content, "item_id", "left_semi").select("item_id")
-    readers = M.similar(seeds, cf).join(supported, "item_id", "left_semi")
-    hybrid = R.fused(by_text, by_vector).select("query_id", "item_id", "score")
-    # The same list for everyone but for the seed: with one item out, k + 1 suffice.
-    best = items.select("item_id", F.round("popularity", 9).alias("score")).orderBy(*R.best()).limit(k + 1)
-    out = named(seeds.select("query_id").join(F.broadcast(best)), "popularity")
-    for model, scores in {
-        "tfidf": R.rounded(text).where("score > 0"),
-        "embeddings": R.rounded(dense).where("score > 0"),
-        "cf": R.rounded(readers).where("score > 0"),
-        "hybrid": hybrid,
-        "hybrid_popular": R.reranked(R.without_seeds(hybrid, seeds), items).select("query_id", "item_id", "score"),
-        "hybrid_cf": R.fused(R.ranked(R.completed(text, content, seeds)), R.ranked(R.completed(readers, supported, seeds))).select("query_id", "item_id", "score"),
-    }.items():
-        out = out.unionByName(named(scores, model))
+    popularity = items.select("item_id", "popularity")
+    out: list[Model] = [Popular("popularity", popularity)]
+    if tfidf is None:
+        return out
+    text = sparse("tfidf", tfidf, content)
+    out.append(text)
+    if vectors is not None:
+        hybrid = Fusion("hybrid", text, by_vector := dense("embeddings", vectors, content), alpha)
+        out += [by_vector, hybrid, Reranked("hybrid_popular", hybrid, popularity, beta)]
+    if cf is not None:
+        supported = cf.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_readers).join(content, "item_id", "left_semi").select("item_id")
+        readers = sparse("cf", cf, supported)
+        out += [readers, Fusion("hybrid_cf", text, readers, 0.5)]
     return out
 
 
-def lists(queries: DataFrame, items: DataFrame, tfidf: DataFrame, vectors: DataFrame, cf: DataFrame, k: int = 10, alphas: tuple[float, ...] | None = None, least_readers: int = 5, most: int = MOST_HELD) -> DataFrame:
-    """Top lists by arrays where the catalogue has at most `most` postings and vector components, else by joins."""
-    held = tfidf.count() + cf.count() + (vectors.agg(F.sum(F.size("vector"))).first()[0] or 0)
-    if held > most:
-        return spark_lists(queries, items, tfidf, vectors, cf, k, alphas, least_readers)
-    return model_lists(queries, Catalogue(items, tfidf, vectors, cf, least_readers), k, alphas)
+class Lists:
+    """Lists for seeds (query_id, item_id). What it has made it keeps, with the seconds that took."""
+
+    def __init__(self, seeds: DataFrame, most_seeds: int | None = None):
+        self.seeds = R.written(seeds.select("query_id", "item_id"))
+        self.most_seeds = most_seeds or self.seeds.groupBy("query_id").count().agg(F.max("count")).first()[0] or 1
+        self._made: dict[tuple, tuple[object, float]] = {}
+        #: Of fusions whose lists are read deeper by others, how deep.
+        self._deep: dict[int, int] = {}
+
+    def _once(self, kind: str, of: object, make: Callable):
+        key = kind, id(of)
+        if key not in self._made:
+            began = time.perf_counter()
+            made = make()
+            self._made[key] = made, time.perf_counter() - began
+        return self._made[key][0]
+
+    def scores(self, model: Scorer) -> DataFrame:
+        return self._once("scores", model, lambda: R.written(R.rounded(model.scores(self.seeds).join(model.items, "item_id", "left_semi").select("query_id", "item_id", "score"))))
+
+    def ranks(self, model: Scorer) -> fusion.RankList:
+        scores, items = self.scores(model), self._once("places", model.items, lambda: fusion.placed(model.items))
+        return self._once("ranks", model, lambda: fusion.rank_list(scores, items))
+
+    def heads(self, model: Fusion, k: int, alphas: tuple[float, ...] | None = None) -> DataFrame:
+        """(query_id, item_id, alpha, score), among them the k best of each query and weight."""
+        first, second, k = self.ranks(model.first), self.ranks(model.second), max(k, self._deep.get(id(model), 0))
+        return self._once(f"heads {k} {alphas}", model, lambda: R.written(fusion.fused_heads(first, second, self.seeds, k, alphas or (model.alpha,), self.most_seeds)))
+
+    def top(self, model: Model, k: int) -> DataFrame:
+        """(query_id, item_id, score, rank): each query's k best."""
+        if isinstance(model, Scorer):
+            rows = R.without_seeds(self.scores(model).where("score > 0"), self.seeds)
+        elif isinstance(model, Fusion):
+            rows = self.heads(model, k)
+        elif isinstance(model, Reranked):
+            base = self.heads(model.base, max(k, CANDIDATES)).select("query_id", "item_id", "score")
+            rows = R.reranked(base, model.popularity, model.beta, CANDIDATES)
+        else:
+            # With most_seeds items out of the common list, so many more suffice; the list is bounded by k and the seeds.
+            best = model.popularity.select("item_id", F.round("popularity", 9).alias("score")).orderBy(*R.best()).limit(k + self.most_seeds)
+            rows = R.without_seeds(self.seeds.select("query_id").distinct().join(F.broadcast(best)), self.seeds)
+        return R.top_k(rows.select("query_id", "item_id", "score"), k)
+
+    def every(self, models: list[Model], k: int = 10) -> tuple[DataFrame, dict[str, float]]:
+        """(model, query_id, item_id, score, rank) of all models, and the seconds that each one takes, shared parts counted for each."""
+        out, took = None, {}
+        self._deep |= {id(m.base): max(k, CANDIDATES) for m in models if isinstance(m, Reranked)}
+        for model in models:
+            began, before = time.perf_counter(), set(self._made)
+            one = R.written(self.top(model, k).withColumn("model", F.lit(model.name)))
+            own = time.perf_counter() - began - sum(s for key, (_, s) in self._made.items() if key not in before)
+            took[model.name] = own + sum(s for key, (_, s) in self._made.items() if key[1] in _parts(model))
+            out = one if out is None else out.unionByName(one)
+        return out.select("model", "query_id", "item_id", "score", "rank"), took
+
+    def swept(self, model: Fusion, alphas: tuple[float, ...], k: int = 10) -> DataFrame:
+        """(model, query_id, item_id, score, rank) of a fusion per weight; ranks are made once."""
+        top = R.top_k(self.heads(model, k, alphas), k, "alpha", "query_id")
+        return top.select(F.concat(F.lit("alpha="), F.col("alpha").cast("string")).alias("model"), "query_id", "item_id", "score", "rank")
+
+
+def _parts(model: Model) -> set[int]:
+    """The identities of what a model's lists are made of."""
+    if isinstance(model, Reranked):
+        return _parts(model.base)
+    if isinstance(model, Fusion):
+        return {id(model)} | _parts(model.first) | _parts(model.second)
+    return {id(model), id(model.items)} if isinstance(model, Scorer) else set()

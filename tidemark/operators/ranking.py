@@ -76,6 +76,22 @@ def ranked(scores: DataFrame, key: str = "query_id") -> DataFrame:
     return within.join(starts, [key, "_range"]).withColumn("rank", F.col("_before") + F.col("_nth")).drop("_range", "_nth", "_before")
 
 
+def running(rows: DataFrame, keys: list[str], order: list[Column], **sums: Column) -> DataFrame:
+    """Add, by name, the sum of a column over the key's rows before a row in a total order, without gathering a key in one task.
+
+    As for `ranked`, rows are dealt by range; each range sums its own rows, from the sums of the ranges before it.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    valued = rows.withColumns({f"_x_{n}": x for n, x in sums.items()})
+    dealt = written(valued.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy(*keys, "_range").agg(*[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in sums])
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in sums])
+    within = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    own = dealt.withColumns({n: F.coalesce(F.sum(f"_x_{n}").over(within), F.lit(0)) for n in sums})
+    return own.join(starts, [*keys, "_range"]).select(*rows.columns, *[(F.col(n) + F.col(f"_s_{n}")).alias(n) for n in sums])
+
+
 def fused(first: DataFrame, second: DataFrame, alpha: float | Column = 0.5, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two rank tables (query_id, item_id, rank); an item that either lacks drops out.
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from .ranking import written
 
-#: Queries that a dense search takes at once, as their vectors go to every task, and how many of them one row holds.
-MOST_QUERIES, QUERY_BLOCK = 100_000, 1000
+#: Components that one row holds at most of a dense search's queries, and of its items: 8 MB of each meet in a task.
+QUERY_BLOCK, ITEM_BLOCK = 1 << 20, 1 << 20
 
 
 def normalised(postings: DataFrame) -> DataFrame:
@@ -90,20 +94,49 @@ def similar(seeds: DataFrame, postings: DataFrame) -> DataFrame:
     return p.join(postings, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
 
 
+def _blocks(rows: DataFrame, key: str, vector: str, components: int) -> DataFrame:
+    """(block, keys, vectors): rows dealt by hash of their key into blocks of about so many components."""
+    rows = rows.where(F.size(vector) > 0)
+    held = rows.agg(F.sum(F.size(vector))).first()[0] or 0
+    block = F.pmod(F.xxhash64(key), F.lit(max(1, -(-held // components)))).alias("block")
+    packed = rows.groupBy(block).agg(F.collect_list(F.struct(F.col(key), F.col(vector).cast("array<double>").alias("v"))).alias("rows"))
+    return packed.select("block", F.col(f"rows.{key}").alias(f"{key}s"), F.col("rows.v").alias(f"{vector}s"))
+
+
 def dense_similar(profile: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, item_id, score): inner products of (query_id, profile) with every (item_id, vector).
+    """(query_id, item_id, score): inner products of (query_id, profile) with every (item_id, vector) of its length.
 
-    A stated set of queries against all rows, in blocks: QUERY_BLOCK queries are packed into an array, so each
-    vector is read once and no row is made before its score. More than MOST_QUERIES raise ValueError; pass them in parts.
+    A stated set of queries against all rows, in blocks: both sides are packed into rows of bounded size, and each
+    block of queries meets each block of items once, as two matrices. Nothing is broadcast, and any number of queries
+    goes; vectors are read as many times as there are blocks of queries. Products of 0 to nine places have no row.
     """
-    n = profile.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries at once")
-    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // QUERY_BLOCK)))).alias("block")
-    packed = profile.groupBy(block).agg(F.collect_list(F.struct("query_id", "profile")).alias("queries")).select("queries")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.join(F.broadcast(packed)).select("item_id", "vector", F.explode("queries").alias("q"))
-    return pairs.select(F.col("q.query_id").alias("query_id"), "item_id", dot(F.col("vector"), F.col("q.profile")).alias("score"))
+    asked, held = profile.schema["query_id"].dataType, vectors.schema["item_id"].dataType
+    q, v = _blocks(profile, "query_id", "profile", QUERY_BLOCK), _blocks(vectors, "item_id", "vector", ITEM_BLOCK)
+    parts = int(profile.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = v.drop("block").repartition(parts).join(q.drop("block").hint("shuffle_replicate_nl"))
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                at = dict(zip(batch.schema.names, (column.slice(row, 1) for column in batch.columns), strict=True))
+                asked_ids, item_ids = at["query_ids"].flatten(), at["item_ids"].flatten()
+                yield from _products(asked_ids, at["profiles"].flatten(), item_ids, at["vectors"].flatten())
+
+    return cells.select("query_ids", "profiles", "item_ids", "vectors").mapInArrow(run, T.StructType([T.StructField("query_id", asked), T.StructField("item_id", held), T.StructField("score", T.DoubleType())]))
+
+
+def _products(asked_ids: pa.Array, asked: pa.Array, item_ids: pa.Array, items: pa.Array, most: int = 1 << 18):
+    """Batches of (query_id, item_id, score) for two lists of vectors, of about `most` products each."""
+    length_q, length_i = np.asarray(pc.list_value_length(asked)), np.asarray(pc.list_value_length(items))
+    for n in np.intersect1d(length_q, length_i):
+        some_q, some_i = pa.array(np.flatnonzero(length_q == n)), pa.array(np.flatnonzero(length_i == n))
+        matrix = lambda x: x.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+        a, b = matrix(asked.take(some_q)), matrix(items.take(some_i))
+        for start in range(0, len(a), step := max(1, most // len(b))):
+            scores = a[start : start + step] @ b.T
+            of_q, of_i = np.nonzero(np.round(scores, 9))
+            columns = [asked_ids.take(some_q.take(pa.array(of_q + start))), item_ids.take(some_i.take(pa.array(of_i))), pa.array(scores[of_q, of_i])]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "item_id", "score"])
 
 
 def dense_profiles(seeds: DataFrame, vectors: DataFrame) -> DataFrame:
