@@ -37,7 +37,11 @@ CASES = [
     (X.list_literal, None, []),
     (U.any_list_literal, "['a', 1]", ["a", "1"]),
     (U.any_list_literal, " [ 'it\\'s', \"two, 'three'\", -2.50, None, True, ] ", ["it's", "two, 'three'", "-2.5", "None", "True"]),
-    (U.any_list_literal, "['a' 'b']", []),
+    (U.any_list_literal, "['a' 'b']", ["ab"]),
+    (U.any_list_literal, "[['a'], 'b']", ["['a']", "b"]),
+    (U.any_list_literal, "[u'a', r'\\n', ('x', 1), {'k': [2]}, -1.5]", ["a", "\\n", "('x', 1)", "{'k': [2]}", "-1.5"]),
+    (U.any_list_literal, "['a', f()]", []),
+    (U.any_list_literal, "['a'] + ['b']", []),
     (U.any_list_literal, "['a', b]", []),
     (U.any_list_literal, "{'a': 1}", []),
     (U.any_list_literal, "[]", []),

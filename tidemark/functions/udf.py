@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import ast
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -27,47 +27,25 @@ def fold_any(texts: pd.Series) -> pd.Series:
     return texts.str.casefold().str.normalize("NFKD").str.translate(combining_marks())
 
 
-#: An item of a list: quoted either way, or bare up to the next comma; then a comma or the end.
-_ITEM = re.compile(r"""\s*(?:'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)"|([^\s,'"\[\](){}]+))\s*(,|$)""", re.DOTALL)
-_ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|(.))", re.DOTALL)
-_ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "\n": ""}
-
-
-def _unescaped(text: str) -> str:
-    return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[3] is None else _ESCAPED.get(m[3], m[3]), text)
-
-
-def _bare(word: str) -> str | None:
-    """A number or constant as text, None for what is neither."""
-    if word in ("True", "False", "None"):
-        return word
-    for kind in (int, float):
-        try:
-            return str(kind(word))
-        except ValueError:
-            pass
-    return None
-
-
 def list_items(literal: str | None) -> list[str]:
-    """The items of a flat list of strings, numbers and constants, as text; an empty list for everything else."""
-    text = (literal or "").strip()
-    if text[:1] != "[" or text[-1:] != "]":
+    """The items of a Python list literal, each as its str(); an empty list for everything else.
+
+    Items may be any literal: strings with prefixes, escapes and quotes of every kind, adjacent strings, numbers,
+    constants, and lists, tuples, sets and dicts within one another.
+    """
+    text = (literal or "").strip(" \t\n\f\r")
+    if text[:1] != "[":
+        return []
+    try:
+        value = ast.literal_eval(text)
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
         return []
-    inner, items, at = text[1:-1].rstrip(), [], 0
-    while at < len(inner):
-        m = _ITEM.match(inner, at)
-        item = None if m is None else _bare(m[3]) if m[3] else _unescaped(m[1] if m[1] is not None else m[2])
-        if item is None:
-            return []
-        items.append(item)
-        at = m.end()
-    return items
+    return [str(x) for x in value] if isinstance(value, list) else []
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def any_list_literal(values: pd.Series) -> pd.Series:
-    """Flat list literals to their items as text; everything else to an empty list."""
+    """List literals to their items as text; everything else to an empty list."""
     return values.map(list_items)
 
 

@@ -26,12 +26,14 @@ CANDIDATES = 200
 class Scorer:
     """A model by a function from seeds (query_id, item_id) to (query_id, item_id, score), over its candidates (item_id).
 
-    Items that it gives no row score zero. Lists hold scores above zero alone; a fusion ranks every candidate.
+    Items that it gives no row score zero. Lists hold scores above zero alone; a fusion ranks every candidate. Where
+    the best can be found without all scores, `best` gives, for seeds and k, rows with the k best of each query.
     """
 
     name: str
     scores: Callable[[DataFrame], DataFrame]
     items: DataFrame
+    best: Callable[[DataFrame, int], DataFrame] | None = None
 
 
 @dataclass(frozen=True)
@@ -66,7 +68,7 @@ Model = Scorer | Fusion | Reranked | Popular
 
 
 def sparse(name: str, postings: DataFrame, items: DataFrame) -> Scorer:
-    return Scorer(name, lambda seeds: M.similar(seeds, postings), items)
+    return Scorer(name, lambda seeds: M.similar(seeds, postings), items, lambda seeds, k: M.best_similar(seeds, postings, k, items))
 
 
 def dense(name: str, vectors: DataFrame, items: DataFrame) -> Scorer:
@@ -102,6 +104,8 @@ class Lists:
         self.seeds = R.written(seeds.select("query_id", "item_id"))
         self.most_seeds = most_seeds or self.seeds.groupBy("query_id").count().agg(F.max("count")).first()[0] or 1
         self._made: dict[tuple, tuple[object, float]] = {}
+        #: Scorers of which fusions need all scores.
+        self._whole: set[int] = set()
         #: Of fusions whose lists are read deeper by others, how deep.
         self._deep: dict[int, int] = {}
 
@@ -127,7 +131,9 @@ class Lists:
 
     def top(self, model: Model, k: int) -> DataFrame:
         """(query_id, item_id, score, rank): each query's k best."""
-        if isinstance(model, Scorer):
+        if isinstance(model, Scorer) and model.best and id(model) not in self._whole:
+            rows = model.best(self.seeds, k).where("score > 0")
+        elif isinstance(model, Scorer):
             rows = R.without_seeds(self.scores(model).where("score > 0"), self.seeds)
         elif isinstance(model, Fusion):
             rows = self.heads(model, k)
@@ -144,6 +150,7 @@ class Lists:
         """(model, query_id, item_id, score, rank) of all models, and the seconds that each one takes, shared parts counted for each."""
         out, took = None, {}
         self._deep |= {id(m.base): max(k, CANDIDATES) for m in models if isinstance(m, Reranked)}
+        self._whole |= {id(s) for m in models for f in [getattr(m, "base", m)] if isinstance(f, Fusion) for s in (f.first, f.second)}
         for model in models:
             began, before = time.perf_counter(), set(self._made)
             one = R.written(self.top(model, k).withColumn("model", F.lit(model.name)))

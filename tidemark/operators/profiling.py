@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from .ranking import written
 
 
 def shared_text_groups(items: DataFrame) -> DataFrame:
@@ -52,13 +55,89 @@ def crosstab(df: DataFrame, rows: str, columns: str, values: list) -> DataFrame:
     return wide.select(rows, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(str(v)) for v in values])
 
 
-def described(df: DataFrame, value: Column, **quantiles: float) -> DataFrame:
-    """One row: n, mean, low, a column per named quantile, high. Quantiles are exact, from one counter per distinct value."""
+#: Ranges into which a round of the selection cuts the values between which a rank lies.
+CUTS = 1024
+
+
+def quantiles(df: DataFrame, value: Column, *shares: float) -> list[float | None]:
+    """Exact quantiles with linear interpolation, one for each share; nulls are left out, NaN is above every number.
+
+    Distributed selection: a round counts values per range between the least and the largest that a wanted rank can
+    have, and only the range that holds it goes on, until that is one value. No task holds more than CUTS counters per
+    wanted rank, however many distinct values there are; each round reads the written values once.
+    """
+    held = written(df.select(value.cast("double").alias("x")).where("x is not null"))
+    row = held.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.isnan("x")).alias("nan"), F.min("x").alias("low"), F.max(F.when(~F.isnan("x"), F.col("x"))).alias("high")).first()
+    n, numbers = row["n"], row["n"] - row["nan"]
+    if n == 0:
+        return [None] * len(shares)
+    places = [q * (n - 1) for q in shares]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    # Per rank: values from low to high, of which `before` lie below low.
+    open_ranks, found = {r: (row["low"], row["high"], 0) for r in ranks if r < numbers}, {r: math.nan for r in ranks if r >= numbers}
+    while open_ranks:
+        for r in [r for r, (low, high, _) in open_ranks.items() if low == high]:
+            found[r] = open_ranks.pop(r)[0]
+        if not open_ranks:
+            break
+        bands = sorted(set(open_ranks.values()))
+        counts = _counted(held, bands)
+        for r, band in list(open_ranks.items()):
+            below = band[2]
+            for low, high, count in counts[bands.index(band)]:
+                if r < below + count:
+                    open_ranks[r] = (low, high, below)
+                    break
+                below += count
+    low, share = [found[math.floor(p)] for p in places], [p - math.floor(p) for p in places]
+    return [a if s == 0 else a + (found[math.ceil(p)] - a) * s if a != found[math.ceil(p)] else a for a, s, p in zip(low, share, places, strict=True)]
+
+
+def _counted(held: DataFrame, bands: list[tuple[float, float, int]]) -> list[list[tuple[float, float, int]]]:
+    """For each band the least and largest value and the number of values in each of its ranges that has some."""
+    cells = []
+    for k, (low, high, _) in enumerate(bands):
+        # Halves, as the width of a band may be more than a double holds.
+        share = (F.col("x") / 2 - low / 2) / (high / 2 - low / 2) if math.isfinite(low) and math.isfinite(high) else F.when(F.col("x") == low, 0.0).when(F.col("x") == high, 1.0).otherwise(0.5)
+        cell = F.least(F.floor(F.least(share, F.lit(1.0)) * CUTS), F.lit(CUTS - 1))
+        # The ends stand alone, so that every round makes a band narrower.
+        cell = F.when(F.col("x") == low, -1).when(F.col("x") == high, CUTS).otherwise(cell)
+        cells.append(F.when(F.col("x").between(low, high) & ~F.isnan("x"), F.struct(F.lit(k).alias("k"), cell.cast("int").alias("cell"))))
+    rows = held.select("x", F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c"))
+    out: list[list] = [[] for _ in bands]
+    grouped = rows.groupBy("c").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n"))
+    for r in sorted(grouped.collect(), key=lambda r: (r["c"]["k"], r["c"]["cell"])):
+        out[r["c"]["k"]].append((r["low"], r["high"], r["n"]))
+    return out
+
+
+def described(df: DataFrame, value: Column, **shares: float) -> DataFrame:
+    """One row: n, mean, low, a column per named quantile, high. Quantiles are exact, by distributed selection."""
     n = df.select(value.alias("n"))
-    exact = [F.percentile("n", F.lit(q)).alias(name) for name, q in quantiles.items()]
+    exact = [F.lit(x).cast("double").alias(name) for name, x in zip(shares, quantiles(df, value, *shares.values()), strict=True)]
     return n.agg(F.count("n").alias("n"), F.avg("n").alias("mean"), F.min("n").alias("low"), *exact, F.max("n").alias("high"))
 
 
+def hexagons(df: DataFrame, x: Column, y: Column, width: float, height: float | None = None, log: bool = False) -> DataFrame:
+    """(q, r, x, y, n): rows per hexagon with a point on top, in axial coordinates, with its centre; null, NaN and infinite values have none.
+
+    `width` is a hexagon's from side to side along x, `height` the distance of its rows along y, by default that of
+    regular hexagons. With log, both axes are in powers of ten, and values of 0 and less have no place. A point goes to the
+    nearest centre in those units: its cube coordinates are rounded, the one that moves most is made to fit.
+    """
+    height = width * math.sqrt(3) / 2 if height is None else height
+    axis = lambda v: F.when(v > 0, F.log10(v)) if log else v.cast("double")
+    points = df.select(axis(x).alias("x"), axis(y).alias("y")).where("abs(x) < double('infinity') and abs(y) < double('infinity')")
+    r = F.col("y") / height
+    q = F.col("x") / width - r / 2
+    near = points.select(q.alias("q"), r.alias("r"), (-q - r).alias("s")).select("*", *[F.floor(F.col(c) + 0.5).alias(f"r{c}") for c in "qrs"])
+    off = {c: F.abs(F.col(f"r{c}") - F.col(c)) for c in "qrs"}
+    fixed_q = F.when((off["q"] > off["r"]) & (off["q"] > off["s"]), -F.col("rr") - F.col("rs")).otherwise(F.col("rq"))
+    fixed_r = F.when((off["q"] > off["r"]) & (off["q"] > off["s"]), F.col("rr")).when(off["r"] > off["s"], -F.col("rq") - F.col("rs")).otherwise(F.col("rr"))
+    cells = near.select(fixed_q.cast("long").alias("q"), fixed_r.cast("long").alias("r")).groupBy("q", "r").agg(F.count(F.lit(1)).alias("n"))
+    return cells.select("q", "r", ((F.col("q") + F.col("r") / 2) * width).alias("x"), (F.col("r") * height).alias("y"), "n")
+
+
 def repeats(df: DataFrame, **keys: tuple[str, ...]) -> DataFrame:
     """One row: for each named key, how many rows repeat the values of another in its columns."""
     return df.agg(*[(F.count(F.lit(1)) - F.count_distinct(*columns)).alias(name) for name, columns in keys.items()])

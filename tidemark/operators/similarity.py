@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from .ranking import written
+from .ranking import best, first_k, rounded, without_seeds, written
 
 #: Components that one row holds at most of a dense search's queries, and of its items: 8 MB of each meet in a task.
 QUERY_BLOCK, ITEM_BLOCK = 1 << 20, 1 << 20
@@ -94,6 +97,69 @@ def similar(seeds: DataFrame, postings: DataFrame) -> DataFrame:
     return p.join(postings, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
 
 
+#: Postings of the rarest terms that a bounded search adds up first, as a multiple of the list it looks for.
+FIRST_POSTINGS = 50
+#: Sums of bounds and of scores may differ by this where they are equal.
+SLACK = 1e-7
+
+
+def term_bounds(postings: DataFrame) -> DataFrame:
+    """(term, df, high): each term's postings and their largest weight."""
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("high"))
+
+
+def _added(terms: DataFrame, postings: DataFrame, items: DataFrame | None) -> DataFrame:
+    """(query_id, item_id, score) over some terms (query_id, term, w) of the queries' profiles."""
+    sums = terms.select("query_id", "term", "w").join(postings, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
+    return sums if items is None else sums.join(items.select("item_id"), "item_id", "left_semi").select("query_id", "item_id", "score")
+
+
+@dataclass(frozen=True)
+class BoundedSearch:
+    """The k best items per query over postings with weights above zero, without adding up every pair that shares a term.
+
+    `profile` (query_id, term, w, df, most) has each term's share of a score at most. The rarest terms alone give partial
+    scores, and the k-th of those is a `threshold` that the k-th best reaches. Terms whose shares together stay below it
+    are not `essential`: an item that has no other term cannot enter the list. `candidates` are items with an essential
+    term that can still reach the threshold; only theirs are the remaining terms looked up for.
+    """
+
+    profile: DataFrame
+    essential: DataFrame
+    candidates: DataFrame
+    postings: DataFrame
+
+    def scores(self) -> DataFrame:
+        """(query_id, item_id, score) of the candidates, the k best of each query among them."""
+        rest = self.essential.where("not needed").select("query_id", "term", "w")
+        found = self.candidates.select("query_id", "item_id").join(self.postings, "item_id").join(rest, ["query_id", "term"])
+        more = found.groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("weight")).alias("more"))
+        return self.candidates.join(more, ["query_id", "item_id"], "left").select("query_id", "item_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+
+
+def bounded(seeds: DataFrame, postings: DataFrame, k: int, items: DataFrame | None = None, bounds: DataFrame | None = None) -> BoundedSearch:
+    """A bounded search for the k best of items (all without), seeds left out, per query of seeds (query_id, item_id)."""
+    bounds = term_bounds(postings) if bounds is None else bounds
+    known = profiles(seeds, postings).withColumnRenamed("weight", "w").join(bounds, "term")
+    profile = written(known.select("query_id", "term", "w", "df", (F.col("w") * F.col("high")).alias("most")))
+    earlier = W.partitionBy("query_id").orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)
+    rare = profile.withColumn("_before", F.coalesce(F.sum("df").over(earlier), F.lit(0))).where(F.col("_before") < FIRST_POSTINGS * k)
+    partial = rounded(without_seeds(_added(rare, postings, items), seeds))
+    threshold = first_k(partial, k, ("query_id",), best()).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    upto = W.partitionBy("query_id").orderBy("most", "term").rowsBetween(W.unboundedPreceding, 0)
+    together = profile.withColumn("_sum", F.sum("most").over(upto)).join(threshold, "query_id", "left").fillna(0.0, ["least"])
+    essential = written(together.withColumn("needed", F.col("_sum") >= F.col("least") - SLACK).drop("_sum"))
+    rest = essential.groupBy("query_id").agg(F.sum(F.when(~F.col("needed"), F.col("most")).otherwise(0.0)).alias("rest"), F.max("least").alias("least"))
+    reached = without_seeds(_added(essential.where("needed"), postings, items), seeds).join(rest, "query_id")
+    candidates = reached.where(F.col("score") + F.col("rest") >= F.col("least") - SLACK).select("query_id", "item_id", "score")
+    return BoundedSearch(profile, essential, written(candidates), postings)
+
+
+def best_similar(seeds: DataFrame, postings: DataFrame, k: int, items: DataFrame | None = None, bounds: DataFrame | None = None) -> DataFrame:
+    """(query_id, item_id, score): rows of `similar` among which are each query's k best, and no seeds."""
+    return bounded(seeds, postings, k, items, bounds).scores()
+
+
 def _blocks(rows: DataFrame, key: str, vector: str, components: int) -> DataFrame:
     """(block, keys, vectors): rows dealt by hash of their key into blocks of about so many components."""
     rows = rows.where(F.size(vector) > 0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..engine import Engine
 from ..functions import text as X
 from ..functions import udf as U
+from ..operators import fusion
 from ..operators import popularity as pop
 from ..operators import ranking as R
 from ..operators import search as S
@@ -70,7 +71,7 @@ def completed_sql(scores: str, items: str, p: str) -> str:
 
 
 DOCS_SQL = "d AS (SELECT doc_id AS item_id, text FROM documents)"
-BOTH_SQL = "d AS (SELECT doc_id AS item_id, text FROM documents SEMI JOIN embeddings ON doc_id = vec_id), v AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings)"
+BOTH_SQL = "d AS (SELECT doc_id AS item_id, text FROM documents), v AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings)"
 DENSE_SQL = "dense AS (SELECT query_id, v.item_id, round(sum(list_dot_product(s.x, v.x)), 9) AS score FROM seeds JOIN v s USING (item_id) CROSS JOIN v GROUP BY query_id, v.item_id)"
 CF_SQL = "cw AS (SELECT item_id, user_id AS term, 1 / sqrt(n_readers) AS weight FROM inter JOIN readers USING (item_id))"
 PARTS_SQL = "d AS (SELECT p_partkey AS item_id, p_name || '. ' || p_type || ', ' || p_brand || '. ' AS text FROM part)"
@@ -111,7 +112,7 @@ def tfidf_similar(spark, d):
 
 @query(f"WITH {DOCS_SQL}, {SEEDS_SQL}, {tfidf_sql('d')}, {similar_sql('t', 's')}, {top_sql('s')}")
 def tfidf_recommend(spark, d):
-    return listed(M.similar(seeds(spark), M.tfidf(documents(spark, d))), spark)
+    return listed(M.best_similar(seeds(spark), M.tfidf(documents(spark, d)), 10), spark)
 
 
 @query(f"WITH {DOCS_SQL}, {tfidf_sql('d')}, e AS (SELECT a.term, round(a.weight * b.weight, 9) AS score FROM t a JOIN t b USING (term) WHERE a.item_id = 7 AND b.item_id = 12 ORDER BY 2 DESC, 1 LIMIT 10) SELECT term, round(score, 3) AS score FROM e")
@@ -129,25 +130,31 @@ def cf_similar(spark, d):
     return R.rounded(M.similar(seeds(spark), M.reader_postings(interactions(spark, d)))).withColumn("score", six())
 
 
-def cf_scores(spark, d, inter=None, who=None, least=MIN_READERS):
-    inter = interactions(spark, d) if inter is None else inter
-    supported = pop.readers(inter).where(c("n_readers") >= least)
-    return M.similar(seeds(spark) if who is None else who, M.reader_postings(inter)).join(supported, "item_id", "left_semi")
+def described(spark, d):
+    """(item_id): parts that count as described, as a catalogue's items with a description do."""
+    return table(spark, d, "part").where("p_size >= 15").select(c("p_partkey").alias("item_id"))
+
+
+def cf_best(spark, d, least=MIN_READERS, who=None, k=10):
+    """The best by common readers, of described items with enough readers."""
+    inter = R.written(interactions(spark, d))
+    supported = pop.readers(inter).where(c("n_readers") >= least).join(described(spark, d), "item_id", "left_semi")
+    return M.best_similar(seeds(spark) if who is None else who, R.written(M.reader_postings(inter)), k, supported)
 
 
 def supported_sql(least: int) -> str:
-    return f"WITH {INTER_SQL}, {SEEDS_SQL}, {CF_SQL}, {similar_sql('cw', 's')}, sup AS (SELECT s.* FROM s SEMI JOIN (SELECT * FROM readers WHERE n_readers >= {least}) r ON s.item_id = r.item_id), {top_sql('sup')}"
+    return f"WITH {INTER_SQL}, {SEEDS_SQL}, {CF_SQL}, {similar_sql('cw', 's')}, sup AS (SELECT s.* FROM s SEMI JOIN (SELECT item_id FROM readers SEMI JOIN (SELECT p_partkey FROM part WHERE p_size >= 15) ON item_id = p_partkey WHERE n_readers >= {least}) r ON s.item_id = r.item_id), {top_sql('sup')}"
 
 
 @query(supported_sql(MIN_READERS))
 def cf_recommend(spark, d):
-    return listed(cf_scores(spark, d), spark)
+    return listed(cf_best(spark, d), spark)
 
 
 @query(supported_sql(25))
 def cf_recommend_supported(spark, d):
     """As cf_recommend, but for items with 25 readers, which leaves some out in every table."""
-    return listed(cf_scores(spark, d, least=25), spark)
+    return listed(cf_best(spark, d, 25), spark)
 
 
 @query(f"WITH {BOTH_SQL}, {SEEDS_SQL}, {DENSE_SQL} SELECT query_id, item_id, CAST(round(CAST(score AS DECIMAL(18, 9)), 6) AS DOUBLE) AS score FROM dense")
@@ -233,42 +240,46 @@ PART_RANKS = f"{INTER_SQL}, {PARTS_SQL}, {SEEDS_SQL}, {tfidf_sql('d')}, {similar
 PART_RRF = f"{PART_RANKS}, rrf AS (SELECT query_id, item_id, {RRF.format('0.5::DOUBLE')} AS score FROM r1 JOIN r2 USING (query_id, item_id))"
 
 
-def both_ranks(spark, d):
-    """Ranks of every item that has a text and a vector: by TF-IDF and by vector."""
-    v = vectors(spark, d)
-    docs = documents(spark, d).join(v.select("item_id"), "item_id", "left_semi")
-    text = R.completed(M.similar(seeds(spark), M.tfidf(docs)), docs, QUERY_IDS)
-    dense = M.dense_similar(M.dense_profiles(seeds(spark), v), v).join(docs.select("item_id"), "item_id", "left_semi")
-    return R.ranked(text), R.ranked(dense)
+def both_scores(spark, d):
+    """((scores, items) by TF-IDF over all documents, (scores, items) by vector over those that have one)."""
+    docs, v = documents(spark, d).select("item_id", "text"), vectors(spark, d)
+    text = M.similar(seeds(spark), M.tfidf(docs))
+    return (text, docs.select("item_id")), (M.dense_similar(M.dense_profiles(seeds(spark), v), v), v.select("item_id").join(docs, "item_id", "left_semi").select("item_id"))
+
+
+def part_scores(spark, d):
+    """((scores, items) by TF-IDF over all parts, (scores, items) by readers over those with enough)."""
+    items, inter = parts(spark, d), R.written(interactions(spark, d))
+    supported = R.written(pop.readers(inter).where(c("n_readers") >= MIN_READERS).select("item_id"))
+    return (M.similar(seeds(spark), M.tfidf(items)), items.select("item_id")), (M.similar(seeds(spark), R.written(M.reader_postings(inter))), supported)
 
 
-def part_ranks(spark, d):
-    items, inter = parts(spark, d), interactions(spark, d)
-    text = R.completed(M.similar(seeds(spark), M.tfidf(items)), items, QUERY_IDS)
-    supported = pop.readers(inter).where(c("n_readers") >= MIN_READERS)
-    cf = R.completed(M.similar(seeds(spark), M.reader_postings(inter)), supported, QUERY_IDS)
-    return R.ranked(text), R.ranked(cf)
+def heads(spark, pair, k, alphas=(0.5,)):
+    """(query_id, item_id, alpha, score), the k best of the fusion among them."""
+    first, second = (fusion.rank_list(scores, fusion.placed(items)) for scores, items in pair)
+    return fusion.fused_heads(first, second, seeds(spark), k, alphas, 2)
 
 
 @query(f"WITH {BOTH_RRF} SELECT query_id, item_id, score FROM rrf")
 def hybrid_rrf(spark, d):
-    return R.fused(*both_ranks(spark, d)).select("query_id", "item_id", "score")
+    """Every item's fused score: the one query that wants all ranks as rows."""
+    ranks = [R.ranked(R.completed(scores.join(items, "item_id", "left_semi"), items, QUERY_IDS)) for scores, items in both_scores(spark, d)]
+    return R.fused(*ranks).select("query_id", "item_id", "score")
 
 
 @query(f"WITH {BOTH_RRF}, {top_sql('rrf')}")
 def hybrid_recommend(spark, d):
-    return listed(R.fused(*both_ranks(spark, d)), spark)
+    return listed(heads(spark, both_scores(spark, d), 10), spark)
 
 
 @query(f"WITH {PART_RRF}, {top_sql('rrf')}")
 def hybrid_cf_recommend(spark, d):
-    return listed(R.fused(*part_ranks(spark, d)), spark)
+    return listed(heads(spark, part_scores(spark, d), 10), spark)
 
 
 @query(f"WITH {BOTH_RANKS}, rrf AS (SELECT alpha, query_id, item_id, {RRF.format('alpha')} AS score FROM r1 JOIN r2 USING (query_id, item_id), (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS alpha)) SELECT alpha, query_id, item_id, CAST(row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM rrf ANTI JOIN seeds USING (query_id, item_id) QUALIFY rank <= 10")
 def alpha_sweep(spark, d):
-    rows = R.without_seeds(R.sweep(*both_ranks(spark, d), (0.0, 0.25, 0.5, 0.75, 1.0)), seeds(spark))
-    return R.top_k(rows, 10, "alpha", "query_id").select("alpha", "query_id", "item_id", "rank")
+    return R.top_k(heads(spark, both_scores(spark, d), 10, (0.0, 0.25, 0.5, 0.75, 1.0)), 10, "alpha", "query_id").select("alpha", "query_id", "item_id", "rank")
 
 
 RERANK_SQL = f"""{{0}}, cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS n FROM rrf ANTI JOIN seeds USING (query_id, item_id)) WHERE n <= 200),
@@ -276,7 +287,7 @@ blend AS (SELECT query_id, item_id, round(0.8::DOUBLE * sim + 0.2::DOUBLE * coal
 
 
 def part_reranked(spark, d):
-    return R.reranked(R.without_seeds(R.fused(*part_ranks(spark, d)), seeds(spark)), item_popularity(spark, d))
+    return R.reranked(heads(spark, part_scores(spark, d), 200).select("query_id", "item_id", "score"), item_popularity(spark, d))
 
 
 @query(f"WITH {RERANK_SQL.format(PART_RRF + ', ' + READ_SQL)} SELECT query_id, item_id, round(score, 6) AS score, round(sim, 6) AS similarity FROM blend")
@@ -317,7 +328,9 @@ def hybrid_business_rules(spark, d):
     items = pop.popularity(docs, ("n_chars",)).select("item_id", "popularity", c("source").alias("author"), F.md5(X.normalized_text(c("text"))).alias("dedup_key"))
     one = spark.createDataFrame(OWN, "query_id int, item_id long")
     own = one.join(items, "item_id")
-    scores = R.reranked(R.without_seeds(R.fused(*both_ranks(spark, d)), seeds(spark)), items).where("query_id = 1").select("query_id", "item_id", "score")
+    first, second = (fusion.rank_list(scores.where("query_id = 1"), fusion.placed(known)) for scores, known in both_scores(spark, d))
+    near = fusion.fused_heads(first, second, one, 200)
+    scores = R.reranked(near.select("query_id", "item_id", "score"), items).select("query_id", "item_id", "score")
     unique = R.first_copies(scores, items.where("dedup_key is not null"), own.select("query_id", c("dedup_key").alias("own_key"))).select("query_id", "item_id", "score")
     kept = R.capped(unique, items, own.select("query_id", c("author").alias("own_author")), 2, 0)
     return R.top_k(kept, 10).select("item_id", F.round("score", 4).alias("score"), "author")
@@ -379,12 +392,12 @@ def title_search_status(spark, d):
     return S.search(named_items(spark, d), "Blue Gear").select("item_id", "title", "rank", F.round("match", 3).alias("match"), "status")
 
 
-@query(f"{search_sql('blue gear')}, seeds AS (SELECT 1 AS query_id, item_id FROM found WHERE status = 'match'), {CF_SQL}, {similar_sql('cw', 's')}, {top_sql('s')}".replace("FROM s ANTI", "FROM (SELECT s.* FROM s SEMI JOIN (SELECT item_id FROM readers WHERE n_readers >= 5) o USING (item_id)) s ANTI"))
+@query(f"{search_sql('blue gear')}, seeds AS (SELECT 1 AS query_id, item_id FROM found WHERE status = 'match'), {CF_SQL}, {similar_sql('cw', 's')}, {top_sql('s')}".replace("FROM s ANTI", "FROM (SELECT s.* FROM s SEMI JOIN (SELECT item_id FROM readers SEMI JOIN (SELECT p_partkey FROM part WHERE p_size >= 15) ON item_id = p_partkey WHERE n_readers >= 5) o USING (item_id)) s ANTI"))
 def recommend_by_title(spark, d):
     """A clear match becomes the seed; without one there is no list."""
     found = S.search(named_items(spark, d), "Blue Gear").where("status = 'match'").select(lit(1).alias("query_id"), "item_id")
-    scores = cf_scores(spark, d, who=found)
-    return R.top_k(R.without_seeds(scores, found), 10).select("query_id", "item_id", "rank", F.round("score", 4).alias("score"))
+    found = R.written(found)
+    return R.top_k(cf_best(spark, d, who=found), 10).select("query_id", "item_id", "rank", F.round("score", 4).alias("score"))
 
 
 @query("SELECT p_partkey AS item_id, p_name AS title FROM part WHERE contains(lower(p_name), 'ring') ORDER BY p_size DESC, p_partkey LIMIT 10")

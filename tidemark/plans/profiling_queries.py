@@ -88,3 +88,26 @@ def shared_description_mask(spark, d):
 def dedup_text(spark, d):
     docs = table(spark, d, "documents").select(F.md5(X.normalized_text(c("text"))).alias("digest"), "doc_id")
     return first_of(docs, ["digest"], c("doc_id"))
+
+
+HEX_SQL = """WITH p AS ({points}), c AS (SELECT x / {w} - y / {h} / 2 AS q, y / {h} AS r FROM p), s AS (SELECT *, -q - r AS s FROM c),
+n AS (SELECT *, floor(q + 0.5) AS rq, floor(r + 0.5) AS rr, floor(s + 0.5) AS rs FROM s), o AS (SELECT *, abs(rq - q) AS oq, abs(rr - r) AS o_r, abs(rs - s) AS os FROM n),
+f AS (SELECT CAST(CASE WHEN oq > o_r AND oq > os THEN -rr - rs ELSE rq END AS BIGINT) AS q, CAST(CASE WHEN oq > o_r AND oq > os THEN rr WHEN o_r > os THEN -rq - rs ELSE rr END AS BIGINT) AS r FROM o)
+SELECT q, r, round((q + r / 2) * {w}, 6) AS x, round(r * {h}, 6) AS y, count(*) AS n FROM f GROUP BY q, r"""
+
+
+def _hexagons(spark, d, name, x, y, width, height, log=False):
+    cells = P.hexagons(table(spark, d, name), x, y, width, height, log)
+    return cells.select("q", "r", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n")
+
+
+@query(HEX_SQL.format(points="SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem", w="2.0::DOUBLE", h="4000.0::DOUBLE"))
+def hexbin_counts(spark, d):
+    """Lines per hexagon of quantity and price."""
+    return _hexagons(spark, d, "lineitem", c("l_quantity"), c("l_extendedprice"), 2.0, 4000.0)
+
+
+@query(HEX_SQL.format(points="SELECT log10(n_chars) AS x, log10(length(text)) AS y FROM documents WHERE n_chars > 0 AND length(text) > 0", w="0.125::DOUBLE", h="0.125::DOUBLE"))
+def hexbin_log_counts(spark, d):
+    """Documents per hexagon of stated and real length, in powers of ten."""
+    return _hexagons(spark, d, "documents", c("n_chars"), F.length("text"), 0.125, 0.125, True)

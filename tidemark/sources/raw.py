@@ -19,7 +19,7 @@ ITEMS, AUTHORS, SUBJECTS = ["work_id", "title", "author_id", "description", "lan
 
 def listed_items(spark: SparkSession, path: str) -> DataFrame:
     """The first source. Of rows that share an id the first of the file stays."""
-    rows = read_text_table(spark, path, LISTED).withColumn("nth", F.monotonically_increasing_id())
+    rows = read_text_table(spark, path, LISTED, order="nth")
     one = catalog.first_of(rows, ["bookId"], F.col("nth")).where(X.is_english(F.col("language")))
     return one.select(
         F.col("bookId").alias("item_id"),
@@ -52,6 +52,6 @@ def shelf_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def interactions(spark: SparkSession, path: str, items: DataFrame, aliases: DataFrame) -> DataFrame:
     """(user_id, item_id, rating): of each reader and kept item of the catalogue the first rating; dropped copies count for the kept one."""
-    rows = read_text_table(spark, path, ["user_id", "work_id", "rating"], {"rating": "double"}).withColumnRenamed("work_id", "item_id")
-    known = catalog.remapped(rows.withColumn("nth", F.monotonically_increasing_id()), aliases).join(items.select("item_id"), "item_id", "left_semi")
+    rows = read_text_table(spark, path, ["user_id", "work_id", "rating"], {"rating": "double"}, "nth").withColumnRenamed("work_id", "item_id")
+    known = catalog.remapped(rows, aliases).join(items.select("item_id"), "item_id", "left_semi")
     return catalog.first_of(known, ["user_id", "item_id"], F.col("nth")).select("user_id", "item_id", "rating")

@@ -23,18 +23,37 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_table(spark, f"{folder}/{name}.parquet")
 
 
-def read_text_table(spark: SparkSession, path: str, columns: list[str], types: dict[str, str] | None = None) -> DataFrame:
+def quoted_line_ends(spark: SparkSession, path: str) -> dict[str, bool]:
+    """For each text file under path whether a quoted value holds a line end, or may.
+
+    A line that begins outside quotes and ends within them has an odd number of quotes; where every line has an even
+    number, no line end is quoted. One pass over the lines, which Spark deals out in parts of files; a row per file.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (F.regexp_count("value", F.lit('"')) % 2).alias("odd"))
+    return {r["file"]: bool(r["odd"]) for r in lines.groupBy("file").agg(F.max("odd").alias("odd")).collect()}
+
+
+def read_text_table(spark: SparkSession, path: str, columns: list[str], types: dict[str, str] | None = None, order: str | None = None) -> DataFrame:
     """Columns of a headed CSV as strings, '' as null; `types` narrows some of them, null where a value doesn't fit.
 
-    No columns: all that the header names. The projection reaches the scan.
+    No columns: all that the header names. The projection reaches the scan. Files are read in parts by many tasks; only
+    those with quoted line ends are read whole, by one task each, and have \n for such a line end. `order` names a column to add by which rows sort as
+    they stand in the files, the files by name.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    wanted = columns or raw.columns
-    missing = [c for c in wanted if c not in raw.columns]
-    if missing:
-        raise KeyError(f"{path} lacks the columns {missing}")
-    strings = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in wanted]
-    return raw.select(*strings).withColumns({c: F.col(f"`{c}`").try_cast(kind) for c, kind in (types or {}).items()})
+    whole = quoted_line_ends(spark, path)
+    kinds = [(many, files) for many in (False, True) if (files := sorted(f for f, quoted in whole.items() if quoted == many))]
+    out = None
+    for many, files in kinds or [(False, path)]:
+        raw = spark.read.option("header", True).option("multiLine", many).option("escape", '"').csv(files)
+        wanted = columns or raw.columns
+        missing = [c for c in wanted if c not in raw.columns]
+        if missing:
+            raise KeyError(f"{path} lacks the columns {missing}")
+        strings = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in wanted]
+        place = [F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias(order)] if order else []
+        part = raw.select(*strings, *place).withColumns({c: F.col(f"`{c}`").try_cast(kind) for c, kind in (types or {}).items()})
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def write_table(df: DataFrame, path: str) -> None:
