@@ -94,7 +94,7 @@ def test_the_sample_is_bounded_by_its_features(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, None, "s", "c") for i, t in rows], DOCS)
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     seen = []
-    monkeypatch.setattr(quality, "fit", lambda ids, value, at, y: seen.append((len(ids), len(y))))
+    monkeypatch.setattr(quality, "calibrated", lambda ids, value, at, y: seen.append((len(ids), len(y))))
     quality.train(df, labels)
     whole = seen[-1]
     assert whole[1] == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(60))
@@ -104,18 +104,34 @@ def test_the_sample_is_bounded_by_its_features(spark, monkeypatch):
     assert seen[-1] == (0, 0)
 
 
-def test_query_separates_held_out_rows(spark):
-    sf = "/root/testdata/sf0.1"
-    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    rows = registry.op8_quality(spark, sf).collect()
-    assert len(rows) == 10_000
+@pytest.mark.parametrize("sf, most_missed", [("sf0.01", 1), ("sf0.1", 6)])
+def test_query_separates_held_out_rows(spark, sf, most_missed):
+    """At the threshold of the contract, with few labels and with many."""
+    folder = f"/root/testdata/{sf}"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = registry.op8_quality(spark, folder).collect()
+    assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()
     hit = {0: [0, 0], 1: [0, 0]}
     for r in rows:
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3)
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
         if r["held_out"] and r["doc_id"] in labels:
             hit[labels[r["doc_id"]]][r["predicted"] == labels[r["doc_id"]]] += 1
-    assert hit[1][1] > 0.99 * sum(hit[1]) and hit[0][1] > 0.9 * sum(hit[0])
+    assert hit[1][1] > 0.99 * sum(hit[1]) and hit[0][0] <= most_missed and sum(hit[0]) > 5
+
+
+def test_few_rows_are_calibrated_on_rows_that_no_machine_has_seen():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["fine", "calm", "river", "stone", "plain"], 30)) + "." for _ in range(60)] + ["!!! $$$ BUY " * int(rng.integers(3, 9)) for _ in range(12)]
+    y = np.array([1] * 60 + [0] * 12, np.float32)
+    order = rng.permutation(72)
+    ids, value, at = quality.features(pa.array([texts[k] for k in order], pa.string()))
+    model = quality.calibrated(ids, value, at, y[order])
+    assert model["slope"] > 0
+    p = 1 / (1 + np.exp(-(model["slope"] * quality.machine_scores(model, ids, value, at) + model["shift"])))
+    assert ((p >= 0.3) == (y[order] > 0)).all()
+    alone = quality.calibrated(*quality.rows_of(ids, value, at, np.flatnonzero(y[order] > 0)), np.ones(60, np.float32))
+    assert (alone["slope"], alone["shift"]) == (1.0, 0.0)
 
 
 def test_awkward_rows(spark):

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from .common import discard, materialise
 from .minhash import slices
-from .toxicity import held_out, training_rows
+from .toxicity import fit_logistic, held_out, training_rows
 from .words import Prefixes, hash_words, mix, word_lists
 
 #: Buckets for hashed words, after those of the statistics; factors per feature; labelled rows, and their features, used at most.
@@ -122,8 +122,14 @@ def machine_scores(model: dict, ids: np.ndarray, value: np.ndarray, at: np.ndarr
     return model["w0"] + linear + 0.5 * (total * total - squares).sum(axis=1)
 
 
-def fit(ids: np.ndarray, value: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 10, rate: float = 0.1, seed: int = 3) -> dict:
+#: Rows of a mini-batch, and passes over the sample and steps that training takes at least: few rows are passed more often.
+MINI_BATCH, LEAST_EPOCHS, LEAST_STEPS = 128, 10, 600
+
+
+def fit(ids: np.ndarray, value: np.ndarray, at: np.ndarray, y: np.ndarray, rate: float = 0.1, seed: int = 3) -> dict:
     """Logistic loss by AdaGrad over mini-batches of a bounded sample."""
+    batches = max(1, len(y) // MINI_BATCH)
+    epochs = max(LEAST_EPOCHS, -(-LEAST_STEPS // batches))
     rng = np.random.default_rng(seed)
     share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
     model = {"w0": np.float32(np.log(share / (1 - share))), "w": np.zeros(SIZE, np.float32), "v": rng.normal(0, 0.05, (SIZE, FACTORS)).astype(np.float32)}
@@ -131,7 +137,7 @@ def fit(ids: np.ndarray, value: np.ndarray, at: np.ndarray, y: np.ndarray, epoch
     lengths = np.diff(at)
     for _ in range(epochs if 0 < y.sum() < len(y) else 0):
         order = rng.permutation(len(y))
-        for part in np.array_split(order, max(1, len(y) // 128)):
+        for part in np.array_split(order, batches):
             n = lengths[part]
             sub_at = np.concatenate(([0], np.cumsum(n)))
             pick = np.repeat(at[part] - sub_at[:-1], n) + np.arange(sub_at[-1])
@@ -152,6 +158,34 @@ def fit(ids: np.ndarray, value: np.ndarray, at: np.ndarray, y: np.ndarray, epoch
     return model
 
 
+def rows_of(ids: np.ndarray, value: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature ids, values, offsets) of some rows, in their order."""
+    n = np.diff(at)[rows]
+    new_at = np.concatenate(([0], np.cumsum(n))).astype(np.int64)
+    pick = np.repeat(at[:-1][rows] - new_at[:-1], n) + np.arange(new_at[-1])
+    return ids[pick], value[pick], new_at
+
+
+def calibrated(ids: np.ndarray, value: np.ndarray, at: np.ndarray, y: np.ndarray) -> dict:
+    """A machine fitted on all rows, with the line (slope, shift) that turns its logits into those of probabilities.
+
+    Each half of the rows is scored by a machine fitted on the other half; a logistic regression of the labels on those
+    logits, which no machine has seen, gives the line. Without rows of both labels in both halves logits stay as they are.
+    """
+    model = fit(ids, value, at, y) | {"slope": 1.0, "shift": 0.0}
+    halves = [np.arange(k, len(y), 2) for k in (0, 1)]
+    if any(len(set(y[half])) < 2 for half in halves):
+        return model
+    logits = np.zeros(len(y))
+    for own, other in (halves, halves[::-1]):
+        logits[own] = machine_scores(fit(*rows_of(ids, value, at, other), y[other]), *rows_of(ids, value, at, own))
+    # Targets short of 0 and 1, as one more row of each kind was seen on the other side.
+    good, bad = y.sum(), len(y) - y.sum()
+    target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+    slope, shift = fit_logistic(logits[:, None], target, np.ones(len(y)), 1e-3)
+    return model | ({"slope": float(slope), "shift": float(shift)} if slope > 0 else {})
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_features: int = MOST_FEATURES) -> dict:
     """Fit on at most `most` labelled rows outside the held-out fold, the first with `most_features` features in all.
 
@@ -185,24 +219,23 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_featur
     at = np.concatenate(([0], np.cumsum([len(b) // 4 for b in rows["ids"].to_pylist()]))).astype(np.int64)
     # Rows arrive in any order; sorted by content, reruns agree.
     key = sorted(range(len(y)), key=lambda r: (y[r], ids[at[r] : at[r + 1]].tobytes()))
-    lengths = np.diff(at)[key]
-    new_at = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-    pick = np.repeat(at[:-1][key] - new_at[:-1], lengths) + np.arange(new_at[-1]) if len(y) else np.zeros(0, np.int64)
-    return fit(ids[pick], value[pick], new_at, y[key])
+    ids, value, at = rows_of(ids, value, at, np.array(key, np.int64)) if len(y) else (ids, value, at)
+    return calibrated(ids, value, at, y[key])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs; predicted is 1 from a score of 0.3 on.
 
-    Null and empty texts are scored by the statistics of nothing. Without labels of both kinds every score is
-    the share of label 1 (0.5 without labels).
+    Null and empty texts are scored by the statistics of nothing, texts of any length by all of it, repeated rows alike.
+    Without labels of both kinds every score is the share of label 1 (0.5 without labels). Null ids are scored, not held
+    out; columns other than doc_id and text are not read. Empty tables stay empty.
     """
     model = train(docs, labels)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                logit = machine_scores(model, *features(part.column(1)))
+                logit = model["slope"] * machine_scores(model, *features(part.column(1))) + model["shift"]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30))))], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
