@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from . import ranking as R
 
 
 def hashed(seed: int, *columns: str) -> Column:
@@ -33,9 +34,16 @@ def _least_two(rows: DataFrame, keys: list[str], key: Column) -> DataFrame:
     return two.agg(F.max(F.when(F.col("_n") == 1, F.col("item_id"))).alias("query"), F.max(F.when(F.col("_n") == 2, F.col("item_id"))).alias("target")).where("target is not null")
 
 
+def _first_readers(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """The rows of n readers (user_id) in seeded order; a histogram of their hashes leaves few others to order."""
+    rows = R.written(rows)
+    key = F.conv(F.substring(hashed(seed, "user_id"), 1, 15), 16, 10).cast("long")
+    return R.least_by_hash(rows, key, n).orderBy(hashed(seed, "user_id"), "user_id").limit(n)
+
+
 def test_pairs(pairs: DataFrame, n: int, seed: int) -> DataFrame:
     """(user_id, query, target): n readers in seeded order, two of their liked items each."""
-    return _least_two(pairs.distinct(), ["user_id"], hashed(seed, "user_id", "item_id")).orderBy(hashed(seed, "user_id"), "user_id").limit(n)
+    return _first_readers(_least_two(pairs.distinct(), ["user_id"], hashed(seed, "user_id", "item_id")), n, seed)
 
 
 def related_pairs(pairs: DataFrame, tags: DataFrame, n: int, seed: int) -> DataFrame:
@@ -46,7 +54,7 @@ def related_pairs(pairs: DataFrame, tags: DataFrame, n: int, seed: int) -> DataF
     tagged = pairs.distinct().join(tags.select("item_id", "tag").distinct(), "item_id")
     both = _least_two(tagged, ["user_id", "tag"], hashed(seed, "user_id", "item_id"))
     one = both.groupBy("user_id").agg(F.min_by(F.struct("query", "target", "tag"), hashed(seed, "user_id", "tag")).alias("x"))
-    return one.orderBy(hashed(seed, "user_id"), "user_id").limit(n).select("user_id", "x.query", "x.target", "x.tag")
+    return _first_readers(one.select("user_id", "x.query", "x.target", "x.tag"), n, seed)
 
 
 def target_ranks(top: DataFrame, queries: DataFrame, models: list[str]) -> DataFrame:

@@ -34,6 +34,28 @@ def first_k(rows: DataFrame, k: int, keys: tuple[str, ...] | list[str], order: t
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def least_by_hash(rows: DataFrame, key: Column, n: int) -> DataFrame:
+    """The rows with the n smallest keys, whole numbers spread like hashes, and no more than about as many others.
+
+    A histogram of the keys' leading bits finds the cut; where one bar alone holds far more than n, its next bits are
+    counted. So no task orders rows that cannot be among the first n. Pass written rows: each count reads them once.
+    """
+    kept, open_bar, have = None, F.lit(True), 0
+    for bits in (52, 40, 28, 16, 4, 0):
+        bar = F.shiftright(key, bits)
+        bars = sorted((r["bar"], r["n"]) for r in rows.where(open_bar).groupBy(bar.alias("bar")).agg(F.count(F.lit(1)).alias("n")).collect() if r["bar"] is not None)
+        for value, count in bars:
+            if have + count >= n:
+                kept, open_bar = bar <= value, bar == value
+                break
+            have += count
+        else:
+            return rows if kept is None else rows.where(kept)
+        if count <= n:
+            break
+    return rows.where(kept)
+
+
 def sweep(first: DataFrame, second: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
     """(query_id, item_id, alpha, score): the fusion for several weights; ranks are made once, only the blend differs."""
     return fused(first.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas)))), second, F.col("alpha")).drop("first_rank", "second_rank")
