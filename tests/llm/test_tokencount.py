@@ -10,8 +10,9 @@ from tidemark.llm import registry, tokencount
 DOCS = "doc_id long, text string, block long, file string"
 
 
-@pytest.mark.parametrize("block", [1, 3, 8, 1000])
-def test_scan_of_flat_files(spark, tmp_path, block):
+@pytest.mark.parametrize("block, run", [(1, 7), (3, 2), (8, 1), (1000, 1024)])
+def test_scan_of_flat_files(spark, tmp_path, monkeypatch, block, run):
+    monkeypatch.setattr(tokencount, "RUN_BLOCKS", run)
     rng = np.random.default_rng(block)
     want = Counter()
     for name in ("a", "b", "c", "empty", "tail"):

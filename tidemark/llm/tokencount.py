@@ -9,7 +9,6 @@ edge, or longer than many blocks, are measured whole.
 from __future__ import annotations
 
 import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..sources.tables import shared_dir
+from ..sources.tables import step_path
 from .common import default_vocabulary, materialise, token_ids
 
 #: Ids per block; the vocabulary's end-of-document id fits unsigned 16-bit files.
 BLOCK_TOKENS, END_OF_DOCUMENT, KIND = 1 << 16, 50256, "<u2"
 #: Blocks of a file that one row of the listing asks for.
 RANGE_BLOCKS = 64
+#: Blocks of a file whose carries are scanned together.
+RUN_BLOCKS = 1024
 BLOCKS = "file string, block long, start long, data binary"
 ENDS = "file string, block long, start long, n long, first long, last long, gaps array<long>, doc_ids array<long>"
 
@@ -135,7 +136,8 @@ def document_lengths(blocks: DataFrame, end: int = END_OF_DOCUMENT, kind: str =
     """(file, ordinal, n_tokens, ended, doc_id): every document of flat files, separators not counted.
 
     Ids after a file's last separator make a last document with ended false. doc_id comes from a doc_ids column
-    if blocks have one, else it is null. Blocks are scanned apart; one short row per block meets per file.
+    if blocks have one, else it is null. Blocks are scanned apart and their ends written; narrow rows, one a block, are
+    scanned within runs of RUN_BLOCKS blocks, and one row a run meets per file. Files without ids have no documents.
     """
     sidecar = "doc_ids" in blocks.columns
 
@@ -149,10 +151,19 @@ def document_lengths(blocks: DataFrame, end: int = END_OF_DOCUMENT, kind: str =
                 rows.append({"file": row["file"], "block": row["block"], "start": row["start"], "n": len(ids), "first": row["start"] + int(ends[0]) if len(ends) else None, "last": row["start"] + int(ends[-1]) if len(ends) else None, "gaps": (np.diff(ends) - 1).tolist(), "doc_ids": row["doc_ids"] if "doc_ids" in names else None})
             yield pa.RecordBatch.from_pylist(rows, _arrow(ENDS))
 
-    found = blocks.select("file", "block", "start", "data", *(["doc_ids"] if sidecar else [])).mapInArrow(scan, ENDS)
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    found = materialise(blocks.select("file", "block", "start", "data", *(["doc_ids"] if sidecar else [])).mapInArrow(scan, ENDS))
     count = F.when(F.col("first").isNotNull(), F.size("gaps") + 1).otherwise(0)
-    carried = found.select("*", F.coalesce(F.max("last").over(before), F.lit(-1)).alias("previous"), F.coalesce(F.sum(count).over(before), F.lit(0)).alias("done"), F.lead("block").over(W.partitionBy("file").orderBy("block")).isNull().alias("final"))
+    narrow = found.select("file", "block", F.floor(F.col("block") / RUN_BLOCKS).alias("run"), "last", count.alias("count"))
+    earlier = W.partitionBy("file").orderBy("run")
+    runs = narrow.groupBy("file", "run").agg(F.max("last").alias("last"), F.sum("count").alias("count"), F.max("block").alias("end"))
+    upto = earlier.rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.select("file", "run", F.max("last").over(upto).alias("run_last"), F.sum("count").over(upto).alias("run_count"), F.when(F.lead("run").over(earlier).isNull(), F.col("end")).alias("final"))
+    within = W.partitionBy("file", "run").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = narrow.select("file", "block", "run", F.max("last").over(within).alias("own_last"), F.sum("count").over(within).alias("own_count")).join(runs, ["file", "run"])
+    before = before.select(
+        "file", "block", F.coalesce(F.greatest("own_last", "run_last"), F.lit(-1)).alias("previous"), (F.coalesce("own_count", F.lit(0)) + F.coalesce("run_count", F.lit(0))).alias("done"), F.coalesce(F.col("final") == F.col("block"), F.lit(False)).alias("final")
+    )
+    carried = found.join(before, ["file", "block"])
     whole = F.when(F.col("first").isNotNull(), F.concat(F.array(F.col("first") - F.col("previous") - 1), F.col("gaps"))).otherwise(F.array().cast("array<long>"))
     stop = F.col("start") + F.col("n") - 1
     tail = F.when(F.col("final") & (stop > F.greatest("last", "previous")), F.array(stop - F.greatest("last", "previous"))).otherwise(F.array().cast("array<long>"))
@@ -161,16 +172,17 @@ def document_lengths(blocks: DataFrame, end: int = END_OF_DOCUMENT, kind: str =
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, file, ordinal) per row of docs; null and empty texts have 0 tokens.
+    """(doc_id, n_tokens, file, ordinal) per row of docs (doc_id, text, any other columns).
 
-    Documents are written as flat files into the shared folder and measured by the scan of those files. Where
-    Python cannot open the shared folder, the blocks are scanned as they are made.
+    Null and empty texts have 0 tokens, texts of any length and any run of white space are counted whole, and repeated
+    rows and rows without doc_id each. Documents are written as flat files among the tables between steps and measured
+    by the scan of those files. Where Python cannot open the shared folder, the blocks are scanned as they are made.
     """
     spark = docs.sparkSession
-    base = shared_dir(spark)
+    base = step_path(spark)
     if not base.startswith(("file:", "/")):
         return document_lengths(flat_blocks(docs, vocabulary)).select("doc_id", "n_tokens", "file", "ordinal")
-    folder = "/" + base.removeprefix("file:").lstrip("/") + f"/tokens/{uuid.uuid4().hex}"
+    folder = "/" + base.removeprefix("file:").lstrip("/")
     os.makedirs(folder)
     written = write_flat(docs, folder, vocabulary)
     lengths = document_lengths(read_flat(spark, f"file://{folder}")).select(F.substring_index("file", "/", -1).alias("file"), "ordinal", "n_tokens")

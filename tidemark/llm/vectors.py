@@ -10,8 +10,10 @@ from pyspark.sql import Window as W
 
 from .common import materialise
 
-#: Vectors per shard, and queries that meet a shard in one row: both a few MB, so neither is copied for little work.
+#: Vectors per shard at least, and queries that meet a shard in one row: both a few MB, so neither is copied for little work.
 SHARD_ROWS, QUERY_BLOCK = 8192, 8192
+#: Bytes of a shard's components at most: 200,000 vectors of 64 doubles.
+SHARD_BYTES = 100 << 20
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -35,10 +37,13 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
 def shard_ranges(classes: DataFrame, shard_rows: int | None = None) -> tuple[DataFrame, int]:
     """((d, first, shards): the shards of each vector length, one after another; their number).
 
-    One row per length: a vector meets only those of its own length.
+    One row per length: a vector meets only those of its own length. As every query meets every shard, shards are as
+    large as leaves two for each core, within SHARD_ROWS and what a task's memory holds; `shard_rows` fixes their size.
     """
     n = classes.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    n = n.select("d", F.ceil(F.col("n") / (shard_rows or SHARD_ROWS)).cast("int").alias("shards"))
+    shared = F.ceil(F.col("n") / (2 * classes.sparkSession.sparkContext.defaultParallelism))
+    size = F.lit(shard_rows) if shard_rows else F.greatest(F.lit(SHARD_ROWS), F.least(shared, F.floor(F.lit(SHARD_BYTES) / (8 * F.col("d")))))
+    n = n.select("d", F.ceil(F.col("n") / size).cast("int").alias("shards"))
     before = F.coalesce(F.sum("shards").over(W.orderBy("d").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranges = materialise(n.select("d", before.cast("int").alias("first"), "shards"))
     return ranges, int(ranges.agg(F.sum("shards")).first()[0] or 0)
