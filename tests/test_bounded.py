@@ -37,3 +37,19 @@ def test_few_pairs_are_scored(spark, postings):
     assert found.candidates.count() < every / 2
     needed = found.essential.where("needed").agg(F.sum("df")).first()[0]
     assert needed < 0.75 * found.profile.agg(F.sum("df")).first()[0]
+
+
+def test_look_ups_open_few_folders_and_move_no_postings(spark, postings):
+    index = M.PostingIndex(postings)
+    seeds = spark.createDataFrame([(1, 5), (1, 77)], "query_id int, item_id long")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = index.of("item_id", seeds)
+    opened = plan(found)
+    assert "PartitionFilters: [isnotnull(bucket" in opened or "PartitionFilters: [bucket" in opened
+    assert "Exchange" not in opened and found.select(F.input_file_name()).distinct().count() <= 2
+    profile = R.written(M.profiles(seeds, index)).where("weight > 0.3").limit(3)
+    moved = plan(F.broadcast(profile).join(index.of("term", profile), "term"))
+    assert "hashpartitioning(term" not in moved and "BroadcastHashJoin" in moved
+    show = lambda df: {(r["query_id"], r["item_id"]): round(r["score"], 9) for r in df.collect()}
+    assert show(M.similar(seeds, index)) == show(M.similar(seeds, postings))
+    assert show(R.top_k(M.best_similar(seeds, index, 7), 7)) == show(R.top_k(M.best_similar(seeds, postings, 7), 7))

@@ -50,12 +50,12 @@ class Engine:
         return S.TitleIndex(self.items.select("item_id", "title"))
 
     @cached_property
-    def tfidf(self) -> DataFrame:
-        return M.tfidf(self.items.select("item_id", "text"))
+    def tfidf(self) -> M.PostingIndex:
+        return M.PostingIndex(M.tfidf(self.items.select("item_id", "text")))
 
     @cached_property
-    def cf(self) -> DataFrame:
-        return R.written(M.reader_postings(self.interactions))
+    def cf(self) -> M.PostingIndex:
+        return M.PostingIndex(M.reader_postings(self.interactions))
 
     def model(self, name: str) -> models.Model:
         """A model by name; only what it is made of is built."""
@@ -113,14 +113,17 @@ class Engine:
         status, found = self.search_titles(title)
         return (status, self.recommend([found[0]["item_id"]], model, k)) if status == "match" else (status, found)
 
+    def _seeds(self, ids: list) -> DataFrame:
+        kind = self.items.schema["item_id"].dataType.simpleString()
+        return self.spark.createDataFrame([(1, i) for i in ids], f"query_id int, item_id {kind}")
+
     def _top(self, model: str, ids: list, k: int) -> DataFrame:
         """(query_id, item_id, score, rank) of a model for one query, seeds left out."""
-        kind = self.items.schema["item_id"].dataType.simpleString()
-        seeds = self.spark.createDataFrame([(1, i) for i in ids], f"query_id int, item_id {kind}")
-        return models.Lists(seeds, len(ids)).top(self.model(model), k)
+        return models.Lists(self._seeds(ids), len(ids)).top(self.model(model), k)
 
-    def _need(self, postings: DataFrame, ids: list, what: str) -> None:
-        if postings.where(F.col("item_id").isin(ids)).isEmpty():
+    def _need(self, postings: M.PostingIndex, ids: list, what: str) -> None:
+        asked = self._seeds(ids)
+        if postings.of("item_id", asked).join(asked, "item_id", "left_semi").isEmpty():
             raise ValueError(f"none of the items {what}")
 
     def _shown(self, rows: DataFrame, full: bool = False) -> DataFrame:

@@ -67,7 +67,7 @@ class Popular:
 Model = Scorer | Fusion | Reranked | Popular
 
 
-def sparse(name: str, postings: DataFrame, items: DataFrame) -> Scorer:
+def sparse(name: str, postings: DataFrame | M.PostingIndex, items: DataFrame) -> Scorer:
     return Scorer(name, lambda seeds: M.similar(seeds, postings), items, lambda seeds, k: M.best_similar(seeds, postings, k, items))
 
 
@@ -75,7 +75,7 @@ def dense(name: str, vectors: DataFrame, items: DataFrame) -> Scorer:
     return Scorer(name, lambda seeds: M.dense_similar(M.dense_profiles(seeds, vectors), vectors), items)
 
 
-def standard(items: DataFrame, tfidf: DataFrame | None = None, vectors: DataFrame | None = None, cf: DataFrame | None = None, least_readers: int = 5, alpha: float = 0.5, beta: float = 0.2) -> list[Model]:
+def standard(items: DataFrame, tfidf: DataFrame | M.PostingIndex | None = None, vectors: DataFrame | None = None, cf: DataFrame | M.PostingIndex | None = None, least_readers: int = 5, alpha: float = 0.5, beta: float = 0.2) -> list[Model]:
     """The models that the given parts allow, over items (item_id, popularity, has_description).
 
     Text and vector models recommend described items, reader models those of them with enough readers.
@@ -91,7 +91,8 @@ def standard(items: DataFrame, tfidf: DataFrame | None = None, vectors: DataFram
         hybrid = Fusion("hybrid", text, by_vector := dense("embeddings", vectors, content), alpha)
         out += [by_vector, hybrid, Reranked("hybrid_popular", hybrid, popularity, beta)]
     if cf is not None:
-        supported = cf.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_readers).join(content, "item_id", "left_semi").select("item_id")
+        pairs = cf.postings if isinstance(cf, M.PostingIndex) else cf
+        supported = pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_readers).join(content, "item_id", "left_semi").select("item_id")
         readers = sparse("cf", cf, supported)
         out += [readers, Fusion("hybrid_cf", text, readers, 0.5)]
     return out

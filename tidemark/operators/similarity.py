@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..sources.tables import step_path
 from .ranking import best, first_k, rounded, without_seeds, written
 
 #: Components that one row holds at most of a dense search's queries, and of its items: 8 MB of each meet in a task.
@@ -82,19 +83,55 @@ def vector_postings(vectors: DataFrame) -> DataFrame:
     return vectors.select("item_id", F.posexplode("vector").alias("term", "weight")).withColumn("weight", F.col("weight").cast("double"))
 
 
-def profiles(seeds: DataFrame, postings: DataFrame) -> DataFrame:
+#: Folders that laid-out postings are dealt to.
+BUCKETS = 64
+
+
+class PostingIndex:
+    """Postings laid out for look-up, once in folders by hash of the term and once by hash of the item.
+
+    Within a folder files are sorted by that key and carry Bloom filters of it, so a look-up of some keys opens the
+    folders of their hashes alone and moves no postings. `bounds` has each term's number of postings and largest weight.
+    """
+
+    def __init__(self, postings: DataFrame):
+        self.postings = written(postings.select("item_id", "term", "weight"))
+        self.by = {key: self._laid_out(key) for key in ("term", "item_id")}
+        self.bounds = written(term_bounds(self.postings))
+
+    def _laid_out(self, key: str) -> DataFrame:
+        spark, path = self.postings.sparkSession, step_path(self.postings.sparkSession)
+        dealt = self.postings.withColumn("bucket", _bucket(key)).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", key)
+        dealt.write.partitionBy("bucket").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+        return spark.read.schema(dealt.schema).parquet(path)
+
+    def of(self, key: str, wanted: DataFrame) -> DataFrame:
+        """The folders (item_id, term, weight) that may hold rows with a key of `wanted`; at most BUCKETS numbers come to the driver."""
+        buckets = sorted(r[0] for r in wanted.select(_bucket(key).alias("bucket")).distinct().collect())
+        return self.by[key].where(F.col("bucket").isin(buckets)).drop("bucket")
+
+
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def _of(postings: DataFrame | PostingIndex, key: str, wanted: DataFrame) -> DataFrame:
+    return postings.of(key, wanted) if isinstance(postings, PostingIndex) else postings
+
+
+def profiles(seeds: DataFrame, postings: DataFrame | PostingIndex) -> DataFrame:
     """(query_id, term, weight): per query the sum, not the mean, of its seeds' vectors."""
-    return seeds.join(postings, "item_id").groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
+    return seeds.join(_of(postings, "item_id", seeds), "item_id").groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
 
 
-def similar(seeds: DataFrame, postings: DataFrame) -> DataFrame:
+def similar(seeds: DataFrame, postings: DataFrame | PostingIndex) -> DataFrame:
     """(query_id, item_id, score) for items that share a term with a query's seeds (query_id, item_id).
 
     An equi-join over the terms of the seeds only; Spark broadcasts the profile when its size allows and
     splits frequent terms otherwise.
     """
     p = profiles(seeds, postings).withColumnRenamed("weight", "w")
-    return p.join(postings, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
+    return p.join(_of(postings, "term", p), "term").groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
 
 
 #: Postings of the rarest terms that a bounded search adds up first, as a multiple of the list it looks for.
@@ -108,9 +145,9 @@ def term_bounds(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("high"))
 
 
-def _added(terms: DataFrame, postings: DataFrame, items: DataFrame | None) -> DataFrame:
+def _added(terms: DataFrame, postings: DataFrame | PostingIndex, items: DataFrame | None) -> DataFrame:
     """(query_id, item_id, score) over some terms (query_id, term, w) of the queries' profiles."""
-    sums = terms.select("query_id", "term", "w").join(postings, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
+    sums = terms.select("query_id", "term", "w").join(_of(postings, "term", terms), "term").groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
     return sums if items is None else sums.join(items.select("item_id"), "item_id", "left_semi").select("query_id", "item_id", "score")
 
 
@@ -127,19 +164,19 @@ class BoundedSearch:
     profile: DataFrame
     essential: DataFrame
     candidates: DataFrame
-    postings: DataFrame
+    postings: DataFrame | PostingIndex
 
     def scores(self) -> DataFrame:
         """(query_id, item_id, score) of the candidates, the k best of each query among them."""
         rest = self.essential.where("not needed").select("query_id", "term", "w")
-        found = self.candidates.select("query_id", "item_id").join(self.postings, "item_id").join(rest, ["query_id", "term"])
+        found = self.candidates.select("query_id", "item_id").join(_of(self.postings, "item_id", self.candidates), "item_id").join(rest, ["query_id", "term"])
         more = found.groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("weight")).alias("more"))
         return self.candidates.join(more, ["query_id", "item_id"], "left").select("query_id", "item_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
-def bounded(seeds: DataFrame, postings: DataFrame, k: int, items: DataFrame | None = None, bounds: DataFrame | None = None) -> BoundedSearch:
+def bounded(seeds: DataFrame, postings: DataFrame | PostingIndex, k: int, items: DataFrame | None = None) -> BoundedSearch:
     """A bounded search for the k best of items (all without), seeds left out, per query of seeds (query_id, item_id)."""
-    bounds = term_bounds(postings) if bounds is None else bounds
+    bounds = postings.bounds if isinstance(postings, PostingIndex) else term_bounds(postings)
     known = profiles(seeds, postings).withColumnRenamed("weight", "w").join(bounds, "term")
     profile = written(known.select("query_id", "term", "w", "df", (F.col("w") * F.col("high")).alias("most")))
     earlier = W.partitionBy("query_id").orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)
@@ -155,9 +192,9 @@ def bounded(seeds: DataFrame, postings: DataFrame, k: int, items: DataFrame | No
     return BoundedSearch(profile, essential, written(candidates), postings)
 
 
-def best_similar(seeds: DataFrame, postings: DataFrame, k: int, items: DataFrame | None = None, bounds: DataFrame | None = None) -> DataFrame:
+def best_similar(seeds: DataFrame, postings: DataFrame | PostingIndex, k: int, items: DataFrame | None = None) -> DataFrame:
     """(query_id, item_id, score): rows of `similar` among which are each query's k best, and no seeds."""
-    return bounded(seeds, postings, k, items, bounds).scores()
+    return bounded(seeds, postings, k, items).scores()
 
 
 def _blocks(rows: DataFrame, key: str, vector: str, components: int) -> DataFrame:
