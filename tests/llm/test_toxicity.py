@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -139,3 +140,44 @@ def test_without_the_grammar_scores_are_worse(monkeypatch):
     assert right() == 1
     monkeypatch.setattr(toxicity, "LEXICON", {tag: words if tag in (toxicity.INSULT, toxicity.THREAT) else "" for tag, words in toxicity.LEXICON.items()})
     assert right() < 0.8
+
+
+def slow_mining(rows):
+    """Mined words by whole lists of clauses in memory."""
+    known = {w for tag in (toxicity.INSULT, toxicity.THREAT) for w in toxicity.LEXICON[tag].split()}
+    targets, reach = set(toxicity.LEXICON[toxicity.TARGET].split()), toxicity.REACH[toxicity.TARGET]
+    seen, explained = set(), 0
+    for text, y in rows:
+        plain = toxicity.clauses(text or "")
+        if not known & set(plain.split()):
+            explained += y
+            seen |= {(tuple(c.split()), y) for c in plain.split("\n") if c.split()}
+    if not explained:
+        return {}
+    nats = math.log(max(len(seen), 1) / max(sum(y for _, y in seen), 1))
+    out = {}
+    for w in {w for c, y in seen if y for w in c}:
+        pos, neg = (sum(w in c for c, y in seen if y == side) for side in (1, 0))
+        e = pos * nats - neg * toxicity.AGAINST
+        if e >= toxicity.EVIDENCE and pos >= max(toxicity.LEAST_CLAUSES, toxicity.LEAST_SHARE * explained):
+            # A clause counts once for each label that it stands under.
+            places = [(c, i) for c, _ in seen for i, x in enumerate(c) if x == w]
+            before = sum(bool(targets & set(c[max(0, i - reach) : i])) for c, i in places)
+            after = sum(bool(targets & set(c[i + 1 : i + 1 + reach])) for c, i in places)
+            out[w] = (toxicity.THREAT if after > max(2 * before, toxicity.LEAST_CLAUSES) else toxicity.INSULT, min(2.0, 0.5 + math.log1p(e) / 4))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mining_against_a_slow_version(spark, seed):
+    rng = np.random.default_rng(seed)
+    common, marks, at = ["plain", "river", "and", "number", "here", "the"], ["glurm", "frab", "snix"], ["you", "they", "du"]
+    rows = []
+    for i in range(400):
+        y = int(i % 3 == 0)
+        words = [*rng.choice(common, 4), str(i % 50), *rng.choice(at, 1)] + ([str(rng.choice(marks))] if y or rng.random() < 0.02 else [])
+        rows.append((" ".join(map(str, rng.permutation(words))) + str(rng.choice([". ", "! ", "\n"])) + " ".join(rng.choice(common, 3)), y))
+    rows += [("copied frab line", 1)] * 50 + [(None, 1), ("", 0), ("you idiot glurm", 1)]
+    got = toxicity.mined_words(spark.createDataFrame(rows, "text string, y int"))
+    want = slow_mining(rows)
+    assert {w: (t, round(x, 9)) for w, (t, x) in got.items()} == {w: (t, round(x, 9)) for w, (t, x) in want.items()} and want

@@ -117,7 +117,11 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:
-    """Tokenise, cut and pack documents; a digest stands for the ids so that only narrow rows are shuffled."""
+    """Tokenise, cut and pack docs (doc_id, text, any other columns); a digest stands for the ids so that only narrow rows are shuffled.
+
+    Null and empty texts are one piece, the end id; texts of any length and any white space are tokenised whole; repeated
+    rows and rows without doc_id are packed each. An empty table stays empty.
+    """
     pieces = token_pieces(docs, capacity, end_id, vocabulary)
     narrow = materialise(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return pack(narrow, capacity)

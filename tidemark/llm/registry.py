@@ -11,43 +11,53 @@ from .common import table
 
 
 def op1_best_fit_packing(spark, sf_dir):
+    """Every document's token pieces with their sequence and offset."""
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
 def op7_hnsw_neighbours(spark, sf_dir):
+    """The five nearest vectors found for every fiftieth id."""
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def op8_quality(spark, sf_dir):
+    """Every document's quality score and prediction."""
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_kdtree_top_products(spark, sf_dir):
+    """The five largest whole-number products for every fiftieth id."""
     return kdtree.top_products(table(spark, sf_dir, "embeddings"))
 
 
 def op10_source_mixing(spark, sf_dir):
+    """How many words of every document the mix takes, with its source's size and target."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
 def op2_toxicity(spark, sf_dir):
+    """Every document's toxicity score and prediction."""
     return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_license_scan(spark, sf_dir):
+    """License phrases and notices in every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op4_substring_dedup(spark, sf_dir):
+    """What is left of every document without passages of earlier ones."""
     return substrings.removal_digests(table(spark, sf_dir, "documents"))
 
 
 def op5_token_counts(spark, sf_dir):
+    """Every document's number of tokens, measured in flat token files."""
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
 def op6_minhash_near_dedup(spark, sf_dir):
+    """Every document's component of near copies."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "component")
 
 

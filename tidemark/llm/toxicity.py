@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranking import least_by_hash
 from .common import materialise, set_aside
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -174,7 +175,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, most: int = M
     """
     usable = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     nth = F.xxhash64(F.lit(5), "doc_id")
-    chosen = usable.groupBy("doc_id").agg((F.max(column) > 0).cast("int").alias("y")).withColumn("nth", nth).orderBy("nth", "doc_id").limit(most)
+    labelled = materialise(usable.groupBy("doc_id").agg((F.max(column) > 0).cast("int").alias("y")).withColumn("nth", nth))
+    chosen = least_by_hash(labelled, F.col("nth"), most).orderBy("nth", "doc_id").limit(most)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("nth", "text", "y")
 
 
