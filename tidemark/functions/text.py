@@ -80,6 +80,15 @@ def normalize_title(c: Column) -> Column:
     return empty_to_null(F.regexp_replace(t, r"^(the|a|an) ", ""))
 
 
+def any_script_key(c: Column) -> Column:
+    """A caseless, accentless key for every script, to group and join by: the string under an ICU collation of primary strength.
+
+    Where both are defined it joins what casefolded strings without combining marks join, and more: characters that ICU
+    ranks alike at that strength, such as full-width forms, ligatures and the Greek final sigma.
+    """
+    return F.collate(c, "UNICODE_CI_AI")
+
+
 def display_author(c: Column) -> Column:
     name = F.trim(without_parentheses(c))
     parts = F.split(name, ",", -1)

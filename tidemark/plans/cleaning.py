@@ -233,3 +233,10 @@ def tags_by_item(spark, d):
 @query("SELECT p_partkey, unnest([lower(p_type), lower(p_brand)]) AS tag FROM part")
 def explode_tags(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(X.combine_tags(tags_column())).alias("tag"))
+
+
+@query(r"SELECT min(w) AS word, count(*) AS n FROM (SELECT regexp_extract(text, '^\S+') AS w FROM documents) WHERE w <> '' GROUP BY strip_accents(replace(lower(w), 'ß', 'ss'))")
+def collated_first_words(spark, d):
+    """First words of documents, grouped by their caseless and accentless key."""
+    words = table(spark, d, "documents").select(F.regexp_extract("text", r"^\S+", 0).alias("w")).where("w <> ''")
+    return words.groupBy(X.any_script_key(c("w")).alias("key")).agg(F.min("w").alias("word"), F.count(lit(1)).alias("n")).select("word", "n")
