@@ -10,6 +10,7 @@ fused are the heads of the two lists, of a depth that depends on k and the weigh
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -106,7 +107,9 @@ def fused_heads(first: RankList, second: RankList, seeds: DataFrame, k: int, alp
     if not same:
         pairs = pairs.join(second.items.select("item_id"), "item_id", "left_semi").select("query_id", "item_id")
     pairs = R.written(pairs)
-    ranked = ranks_of(first, pairs, "first_rank").join(ranks_of(second, pairs, "second_rank"), ["query_id", "item_id"])
+    with ThreadPoolExecutor(2) as pool:
+        by_first, by_second = pool.map(ranks_of, (first, second), (pairs, pairs), ("first_rank", "second_rank"))
+    ranked = by_first.join(by_second, ["query_id", "item_id"])
     swept = ranked.withColumn("alpha", F.explode(F.array(*map(F.lit, map(float, alphas)))))
     score = F.col("alpha") / (K + F.col("first_rank")) + (1 - F.col("alpha")) / (K + F.col("second_rank"))
     return swept.select("query_id", "item_id", "alpha", F.round(score, 9).alias("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -110,11 +112,18 @@ def modelled(spark, d, q, parts_of):
     return items, models.standard(items, tfidf, vectors, cf, MIN_READERS), models.Lists(q.select("query_id", c("query").alias("item_id")), 1)
 
 
-def lists(spark, d):
-    """(queries, items, top lists of all models) of the readers of all_pairs."""
+def listed(spark, d, q, parts_of, names=MODELS):
+    """(items, top lists of the named models) for one test set."""
+    items, known, made = modelled(spark, d, q, parts_of)
+    some = [m for m in known if m.name in names]
+    made.prepare(some)
+    return items, made.every(some)[0]
+
+
+def lists(spark, d, names=MODELS):
+    """(queries, items, top lists of the named models) of the readers of all_pairs."""
     q = R.written(pairs(spark, d))
-    items, known, made = modelled(spark, d, q, shared(spark, d))
-    return q, items, made.every(known)[0]
+    return q, *listed(spark, d, q, shared(spark, d), names)
 
 
 @query(f"WITH {LIKED_SQL} SELECT * FROM liked")
@@ -187,7 +196,7 @@ def eval_metrics(spark, d):
 
 @query(f"WITH {EVAL_SQL}, x AS (SELECT query_id, max(target_rank) FILTER (model = 'cf') AS a, max(target_rank) FILTER (model = 'popularity') AS b FROM ranks GROUP BY 1) SELECT count(*) FILTER (a > 0 AND b = 0) AS only_a, count(*) FILTER (a = 0 AND b > 0) AS only_b FROM x")
 def mcnemar_counts(spark, d):
-    q, _, top = lists(spark, d)
+    q, _, top = lists(spark, d, ["cf", "popularity"])
     ranks = E.target_ranks(top, q, ["cf", "popularity"])
     return E.discordant(ranks.where("model = 'cf'"), ranks.where("model = 'popularity'"))
 
@@ -200,10 +209,10 @@ SELECT '{name}' AS test_set, * FROM m JOIN w USING (model))"""
 @query(compare_sql("all_pairs", ALL_PAIRS_SQL) + " UNION ALL BY NAME " + compare_sql("related_pairs", RELATED_SQL + ", q AS (SELECT user_id AS query_id, query, target FROM related)"))
 def eval_compare(spark, d):
     """Every model on both test sets of 2,000 readers, with the paired counts against tfidf that the test's p-value needs."""
-    out, parts_of = None, shared(spark, d)
-    for name, q in test_sets(spark, d).items():
-        items, known, made = modelled(spark, d, q, parts_of)
-        top = made.every(known)[0]
+    out, parts_of, sets = None, shared(spark, d), test_sets(spark, d)
+    with ThreadPoolExecutor(len(sets)) as pool:
+        done = list(pool.map(lambda q: listed(spark, d, q, parts_of), sets.values()))
+    for (name, q), (items, top) in zip(sets.items(), done, strict=True):
         against = E.compared(top, q, "tfidf", MODELS).select("model", "only_model", c("only_reference").alias("only_tfidf"))
         one = shown(E.metrics(top, q, items, MODELS)).join(against, "model").withColumn("test_set", lit(name))
         out = one if out is None else out.unionByName(one)
@@ -220,5 +229,7 @@ def alpha_metrics(spark, d):
     q = test_sets(spark, d)["all_pairs"]
     items, known, made = modelled(spark, d, q, shared(spark, d))
     hybrid = next(m for m in known if m.name == "hybrid")
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(made.ranks, (hybrid.first, hybrid.second)))
     m = shown(E.metrics(R.written(made.swept(hybrid, ALPHAS)), q, items, [f"alpha={a}" for a in ALPHAS]))
     return m.withColumn("alpha", F.substring_index("model", "=", -1).cast("double")).drop("model")
