@@ -17,7 +17,7 @@ from tidemark.sources.tables import clear_steps  # noqa: E402
 
 HEADLINE = (
     "popular merge_sources dedup_by_key interactions_dedup tfidf_weights tfidf_recommend cf_recommend embedding_recommend hybrid_recommend hybrid_cf_recommend "
-    "hybrid_popular_recommend alpha_sweep title_search eval_metrics classify_shared_text english_word_ratio"
+    "hybrid_popular_recommend alpha_sweep title_search mcnemar_counts classify_shared_text english_word_ratio"
 ).split()
 
 
