@@ -71,8 +71,9 @@ def test_few_rows(spark):
         assert [(r["query_id"], r["vec_id"]) for r in op(frame(spark, [(50, [1.0, 2.0]), (3, [2.0, 1.0])])).collect()] == [(50, 3)]
 
 
-def test_top_products_query_matches_sql(spark, oracle, rows_of):
-    sf, name = "/root/testdata/sf0.01", "op9_kdtree_top_products"
+@pytest.mark.parametrize("name", ["op7_hnsw_neighbours", "op9_kdtree_top_products"])
+def test_the_query_matches_sql(spark, oracle, rows_of, name):
+    sf = "/root/testdata/sf0.01"
     assert rows_of(registry.QUERIES[name](spark, sf)) == oracle(registry.ORACLE[name], sf)
 
 

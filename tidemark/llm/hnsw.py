@@ -127,6 +127,11 @@ def build_graph(shard: int, ids: np.ndarray, vectors: np.ndarray) -> pd.DataFram
     return pd.DataFrame([row], columns=[f.split()[0] for f in GRAPH.split(", ")])
 
 
+def _summed(products: np.ndarray) -> np.ndarray:
+    """Sums along the last axis from left to right, as SQL adds: equal vectors give equal scores in any layout."""
+    return np.add.accumulate(products, axis=-1)[..., -1]
+
+
 def ask(graph, queries, k: int) -> list[tuple[int, int, float]]:
     """The k + 1 most similar classes of a shard per query, with exact cosines in double precision."""
     d = graph.dimension
@@ -137,14 +142,14 @@ def ask(graph, queries, k: int) -> list[tuple[int, int, float]]:
     seen, mark, out = np.zeros(len(ids), np.int64), 0, []
     for q in queries:
         x = np.asarray(q["x"], dtype=np.float64)
-        length = np.sqrt((x * x).sum())
-        query = (x / length).astype(np.float32)
+        exact = np.sqrt(_summed(x * x))
+        query = (x / exact).astype(np.float32)
         found = [(float(unit[graph.entry] @ query), graph.entry)]
         for level in range(len(layers) - 1, -1, -1):
             mark += 1
             found = _walk(unit, layers[level], query, found[:1], 1 if level else ASK_BREADTH, seen, mark)
         near = np.array([e for _, e in found[: 4 * (k + 1)]])
-        scores = (vectors[near] * x).sum(axis=1) / (norms[near] * length)
+        scores = _summed(vectors[near] * x) / (np.sqrt(_summed(vectors[near] ** 2)) * exact)
         first = np.lexsort((ids[near], -scores))[: k + 1]
         out += [(q["query_id"], int(ids[near[i]]), float(scores[i])) for i in first]
     return out

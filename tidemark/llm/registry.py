@@ -102,6 +102,16 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
+#: The exact neighbours: the search is approximate, its recall on the test tables is 1, and a miss would show as a difference.
+ORACLE["op7_hnsw_neighbours"] = """
+WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+v AS (SELECT DISTINCT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM u),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x) / (c.norm * q.norm) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
 ORACLE["op11_importance_resampling"] = resampling.resampled_sql()
 ORACLE["op12_ball_kmeans"] = ballkmeans.clusters_sql()
 ORACLE["op3_license_scan"] = licenses.scan_sql()
