@@ -41,10 +41,13 @@ class RankList:
 
 
 def rank_list(scores: DataFrame, items: DataFrame) -> RankList:
-    """The list of (query_id, item_id, score) over candidates numbered by `placed`; scores of others are left out."""
-    scored = R.rounded(scores).where("score <> 0").join(items.select("item_id"), "item_id", "left_semi")
-    in_order = R.ranked(scored.select("query_id", "item_id", "score"))
-    ends = R.written(in_order.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("high"), F.count(F.lit(1)).alias("held")))
+    """The list of (query_id, item_id, score) over candidates numbered by `placed`; scores of others are left out.
+
+    Pass written scores: they are counted, their ranges found, and dealt.
+    """
+    scored = R.rounded(scores).where("score <> 0").join(items.select("item_id"), "item_id", "left_semi").select("query_id", "item_id", "score")
+    in_order = R.ranked(scored)
+    ends = R.written(scored.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("high"), F.count(F.lit(1)).alias("held")))
     n = items.count()
     below = F.when(F.col("score") < 0, F.lit(n) - F.col("held")).otherwise(F.lit(0))
     rows = in_order.join(ends, "query_id").select("query_id", "item_id", "score", (F.col("rank") + below).alias("rank"))

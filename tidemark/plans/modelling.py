@@ -256,7 +256,7 @@ def part_scores(spark, d):
 
 def heads(spark, pair, k, alphas=(0.5,)):
     """(query_id, item_id, alpha, score), the k best of the fusion among them."""
-    first, second = (fusion.rank_list(scores, fusion.placed(items)) for scores, items in pair)
+    first, second = (fusion.rank_list(R.written(scores), fusion.placed(items)) for scores, items in pair)
     return fusion.fused_heads(first, second, seeds(spark), k, alphas, 2)
 
 
@@ -328,7 +328,7 @@ def hybrid_business_rules(spark, d):
     items = pop.popularity(docs, ("n_chars",)).select("item_id", "popularity", c("source").alias("author"), F.md5(X.normalized_text(c("text"))).alias("dedup_key"))
     one = spark.createDataFrame(OWN, "query_id int, item_id long")
     own = one.join(items, "item_id")
-    first, second = (fusion.rank_list(scores.where("query_id = 1"), fusion.placed(known)) for scores, known in both_scores(spark, d))
+    first, second = (fusion.rank_list(R.written(scores.where("query_id = 1")), fusion.placed(known)) for scores, known in both_scores(spark, d))
     near = fusion.fused_heads(first, second, one, 200)
     scores = R.reranked(near.select("query_id", "item_id", "score"), items).select("query_id", "item_id", "score")
     unique = R.first_copies(scores, items.where("dedup_key is not null"), own.select("query_id", c("dedup_key").alias("own_key"))).select("query_id", "item_id", "score")
