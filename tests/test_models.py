@@ -1,5 +1,6 @@
 """The lists of all models, against arrays and against the engine's one query at a time, and the whole evaluation."""
 
+import bisect
 import random
 
 import duckdb
@@ -87,6 +88,22 @@ def test_items_that_no_list_scores_have_rows_only_up_to_the_depth(spark):
     assert listed.rows.count() == 50
 
 
+def test_zero_scores_are_counted_across_bitmaps(spark):
+    """Ranks of items that score zero, among 70,000 items: three bitmaps, one of them empty, marks at their ends and in a query without scores."""
+    n, rng = 70_000, random.Random(3)
+    scored = {1: set(rng.sample(range(n), 9000)), 2: {i for i in rng.sample(range(n), 500) if not 32_768 <= i < 65_536}, 3: set()}
+    scores = spark.createDataFrame([(q, i, rng.choice((-0.5, 0.5, 0.25))) for q, ids in scored.items() for i in ids], "query_id long, item_id long, score double")
+    high = {q: 0 for q in scored} | {r["query_id"]: r["n"] for r in scores.where("score > 0").groupBy("query_id").count().withColumnRenamed("count", "n").collect()}
+    marks = [(q, i) for q in scored for i in {0, 7, 8, 32_767, 32_768, 65_535, 65_536, n - 1, *rng.sample(range(n), 200)}]
+    listed = fusion.rank_list(scores, fusion.placed(spark.range(n).withColumnRenamed("id", "item_id")))
+    got = {(r["query_id"], r["item_id"]): r["rank"] for r in fusion.ranks_of(listed, spark.createDataFrame(marks, "query_id long, item_id long"), "rank").collect()}
+    assert len(got) == len(marks)
+    before = {q: sorted(ids) for q, ids in scored.items()}
+    for q, i in marks:
+        if i not in scored[q]:
+            assert got[q, i] == high[q] + 1 + i - bisect.bisect_left(before[q], i)
+
+
 def test_an_eighth_model_is_listed_fused_and_evaluated(spark, small):
     items, vectors, inter = small
     engine = Engine(items, ("n_readers",), vectors, inter)

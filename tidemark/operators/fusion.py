@@ -14,8 +14,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import ranking as R
 
@@ -30,7 +31,7 @@ def placed(items: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class RankList:
-    """A model's candidates by rank: rows (query_id, item_id, score, rank) of scores other than zero, written;
+    """A model's candidates by rank: rows (query_id, item_id, place, score, rank) of scores other than zero, written;
     ends (query_id, high, held): how many scores of a query are above zero and how many are not zero; items (item_id,
     place), all n candidates, numbered by id."""
 
@@ -45,12 +46,12 @@ def rank_list(scores: DataFrame, items: DataFrame) -> RankList:
 
     Pass written scores: they are counted, their ranges found, and dealt.
     """
-    scored = R.rounded(scores).where("score <> 0").join(items.select("item_id"), "item_id", "left_semi").select("query_id", "item_id", "score")
+    scored = R.rounded(scores).where("score <> 0").join(items, "item_id").select("query_id", "item_id", "place", "score")
     in_order = R.ranked(scored)
     ends = R.written(scored.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("high"), F.count(F.lit(1)).alias("held")))
     n = items.count()
     below = F.when(F.col("score") < 0, F.lit(n) - F.col("held")).otherwise(F.lit(0))
-    rows = in_order.join(ends, "query_id").select("query_id", "item_id", "score", (F.col("rank") + below).alias("rank"))
+    rows = in_order.join(ends, "query_id").select("query_id", "item_id", "place", "score", (F.col("rank") + below).alias("rank"))
     return RankList(R.written(rows), ends, items, n)
 
 
@@ -65,16 +66,36 @@ def first_zeros(given: RankList, queries: DataFrame, most: int, among: DataFrame
     return R.first_k(zeros, most, ("query_id",), (F.col("item_id"),)).select("query_id", "item_id")
 
 
+def _scored_before(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, bucket, start, bits) for the wanted (query_id, bucket): the scored places of a bucket as a bitmap, and how many
+    come before it. Places are bits, 4 KB a bucket made before the shuffle, so scored rows are neither sorted by id nor moved."""
+    place = F.bitmap_bucket_number("place").alias("bucket")
+    bits = R.written(rows.groupBy("query_id", place).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")))
+    wanted = wanted.distinct()
+    counts = bits.select("query_id", "bucket", F.bitmap_count("bits").alias("n")).unionByName(wanted.withColumn("n", F.lit(0).cast("long")))
+    earlier = W.partitionBy("query_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.groupBy("query_id", "bucket").agg(F.sum("n").alias("n")).select("query_id", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    return starts.join(wanted, ["query_id", "bucket"], "left_semi").join(bits, ["query_id", "bucket"], "left")
+
+
+def _bits_below(bits: str, bit: str) -> Column:
+    """How many bits of a bitmap (null: none) are set below a position."""
+    whole = F.floor(F.col(bit) / 8).cast("int")
+    last = F.conv(F.hex(F.substring(bits, whole + 1, F.lit(1))), 16, 10).cast("long")
+    below = F.expr(f"shiftleft(1L, cast({bit} % 8 as int)) - 1L")
+    return F.coalesce(F.bitmap_count(F.substring(bits, F.lit(1), whole)) + F.bit_count(last.bitwiseAND(below)), F.lit(0))
+
+
 def ranks_of(given: RankList, pairs: DataFrame, name: str) -> DataFrame:
     """pairs (query_id, item_id), all of them candidates, with their rank under a name."""
     known = R.written(pairs.join(given.rows.select("query_id", "item_id", F.col("rank").cast("long").alias(name)), ["query_id", "item_id"], "left"))
     unscored = known.where(F.col(name).isNull()).select("query_id", "item_id")
     if unscored.isEmpty():
         return known
+    asked = unscored.join(given.items, "item_id").withColumns({"bucket": F.bitmap_bucket_number("place"), "bit": F.bitmap_bit_position("place")})
     of_them = given.rows.join(unscored.select("query_id").distinct(), "query_id", "left_semi")
-    marks = of_them.select("query_id", "item_id", F.lit(1).alias("scored")).unionByName(unscored.withColumn("scored", F.lit(0)))
-    counted = R.running(marks, ["query_id"], [F.col("item_id"), F.col("scored")], before=F.col("scored")).where("scored = 0")
-    ends = counted.join(given.items, "item_id").join(given.ends, "query_id", "left").fillna(0, ["high"])
+    counted = asked.join(_scored_before(of_them, asked.select("query_id", "bucket")), ["query_id", "bucket"]).withColumn("before", F.col("start") + _bits_below("bits", "bit"))
+    ends = counted.join(given.ends, "query_id", "left").fillna(0, ["high"])
     zero = ends.select("query_id", "item_id", (F.col("high") + F.col("place") - F.col("before")).alias(name))
     return known.where(F.col(name).isNotNull()).unionByName(zero)
 
