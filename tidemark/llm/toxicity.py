@@ -252,15 +252,30 @@ def mined_words(rows: DataFrame) -> dict[str, tuple[int, float]]:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the intercept (last column) is free."""
+    """Ridge logistic regression by Newton steps; the intercept (last column) is free.
+
+    Where labels are all but separable a whole step can overshoot, and the next ones run away: a step is halved until the loss falls.
+    """
     x = np.column_stack((x, np.ones(len(x))))
     b = np.zeros(x.shape[1])
     penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-3])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ b)
-        b += step
-        if np.abs(step).max() < 1e-8:
+
+    def loss(b):
+        z = x @ b
+        return weight @ (np.logaddexp(0, z) - y * z) + b @ penalty @ b / 2
+
+    now = loss(b)
+    for _ in range(100):
+        p = (1 + np.tanh(x @ b / 2)) / 2
+        slope = x.T @ (weight * (y - p)) - penalty @ b
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, slope)
+        size = 1.0
+        while (then := loss(b + size * step)) > now - 1e-4 * size * (slope @ step) and size > 1e-10:
+            size /= 2
+        if then >= now:
+            break
+        b, now = b + size * step, then
+        if np.abs(size * step).max() < 1e-8:
             break
     return b
 
