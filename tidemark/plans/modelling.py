@@ -130,20 +130,15 @@ def cf_similar(spark, d):
     return R.rounded(M.similar(seeds(spark), M.reader_postings(interactions(spark, d)))).withColumn("score", six())
 
 
-def described(spark, d):
-    """(item_id): parts that count as described, as a catalogue's items with a description do."""
-    return table(spark, d, "part").where("p_size >= 15").select(c("p_partkey").alias("item_id"))
-
-
 def cf_best(spark, d, least=MIN_READERS, who=None, k=10):
-    """The best by common readers, of described items with enough readers."""
+    """The best by common readers, of all items with enough readers."""
     inter = R.written(interactions(spark, d))
-    supported = pop.readers(inter).where(c("n_readers") >= least).join(described(spark, d), "item_id", "left_semi")
+    supported = pop.readers(inter).where(c("n_readers") >= least)
     return M.best_similar(seeds(spark) if who is None else who, R.written(M.reader_postings(inter)), k, supported)
 
 
 def supported_sql(least: int) -> str:
-    return f"WITH {INTER_SQL}, {SEEDS_SQL}, {CF_SQL}, {similar_sql('cw', 's')}, sup AS (SELECT s.* FROM s SEMI JOIN (SELECT item_id FROM readers SEMI JOIN (SELECT p_partkey FROM part WHERE p_size >= 15) ON item_id = p_partkey WHERE n_readers >= {least}) r ON s.item_id = r.item_id), {top_sql('sup')}"
+    return f"WITH {INTER_SQL}, {SEEDS_SQL}, {CF_SQL}, {similar_sql('cw', 's')}, sup AS (SELECT s.* FROM s SEMI JOIN (SELECT item_id FROM readers WHERE n_readers >= {least}) r ON s.item_id = r.item_id), {top_sql('sup')}"
 
 
 @query(supported_sql(MIN_READERS))
@@ -392,7 +387,7 @@ def title_search_status(spark, d):
     return S.search(named_items(spark, d), "Blue Gear").select("item_id", "title", "rank", F.round("match", 3).alias("match"), "status")
 
 
-@query(f"{search_sql('blue gear')}, seeds AS (SELECT 1 AS query_id, item_id FROM found WHERE status = 'match'), {CF_SQL}, {similar_sql('cw', 's')}, {top_sql('s')}".replace("FROM s ANTI", "FROM (SELECT s.* FROM s SEMI JOIN (SELECT item_id FROM readers SEMI JOIN (SELECT p_partkey FROM part WHERE p_size >= 15) ON item_id = p_partkey WHERE n_readers >= 5) o USING (item_id)) s ANTI"))
+@query(f"{search_sql('blue gear')}, seeds AS (SELECT 1 AS query_id, item_id FROM found WHERE status = 'match'), {CF_SQL}, {similar_sql('cw', 's')}, {top_sql('s')}".replace("FROM s ANTI", "FROM (SELECT s.* FROM s SEMI JOIN (SELECT item_id FROM readers WHERE n_readers >= 5) o USING (item_id)) s ANTI"))
 def recommend_by_title(spark, d):
     """A clear match becomes the seed; without one there is no list."""
     found = S.search(named_items(spark, d), "Blue Gear").where("status = 'match'").select(lit(1).alias("query_id"), "item_id")
