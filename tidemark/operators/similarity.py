@@ -21,9 +21,12 @@ QUERY_BLOCK, ITEM_BLOCK = 1 << 20, 1 << 20
 
 
 def normalised(postings: DataFrame) -> DataFrame:
-    """Weights of each item scaled to unit length. Squares are summed before the shuffle, one row per item and task."""
+    """Weights of each item scaled to unit length. Squares are summed before the shuffle, one row per item and task.
+
+    Postings are moved once, and met with their norms by hash: nothing is sorted, so nothing spills.
+    """
     norms = postings.groupBy("item_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
-    return postings.join(norms, "item_id").withColumn("weight", F.col("weight") / F.col("_norm")).drop("_norm")
+    return postings.join(norms.hint("shuffle_hash"), "item_id").withColumn("weight", F.col("weight") / F.col("_norm")).drop("_norm")
 
 
 def _idf(counts: DataFrame, items: DataFrame, least: int = 1, share: float = 1.0) -> DataFrame:
@@ -34,14 +37,34 @@ def _idf(counts: DataFrame, items: DataFrame, least: int = 1, share: float = 1.0
     return kept.select("term", "df", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+#: Terms up to which a vocabulary goes to every task, some 15 MB; a larger one is shuffled, the counts with it, and they meet by hash.
+SMALL_VOCABULARY = 200_000
+
+
 def _weighted(counts: DataFrame, idf: DataFrame, tf) -> DataFrame:
-    return normalised(counts.join(idf.select("term", "idf"), "term").select("item_id", "term", (tf * F.col("idf")).alias("weight")))
+    """Unit-length postings of written counts (item_id, term, tf) and a written vocabulary."""
+    known = idf.select("term", "idf")
+    known = F.broadcast(known) if known.count() <= SMALL_VOCABULARY else known.hint("shuffle_hash")
+    return normalised(counts.join(known, "term").select("item_id", "term", (tf * F.col("idf")).alias("weight")))
+
+
+def _one_text(items: DataFrame) -> DataFrame:
+    """items (item_id, text) with one row per item: texts of the same item one after another, on lines of their own."""
+    items = items.select("item_id", "text")
+    if items.groupBy("item_id").count().where("count > 1").isEmpty():
+        return items
+    return items.groupBy("item_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
 
 
 def term_counts(items: DataFrame, stop_words=X.STOP_WORDS) -> DataFrame:
-    """(item_id, term, tf) of items (item_id, text), without stop words."""
-    words = items.select("item_id", F.explode(X.tokens(F.col("text"))).alias("term"))
-    return words.where(~F.col("term").isin(*stop_words)).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(item_id, term, tf) of items (item_id, text), without stop words.
+
+    An item's words are sorted and their runs counted within its row, so words are not shuffled.
+    """
+    words = _one_text(items).select("item_id", F.sort_array(F.filter(X.tokens(F.col("text")), lambda w: ~w.isin(*stop_words))).alias("w")).where("size(w) > 0")
+    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    runs = F.transform("s", lambda start, nth: F.struct(F.get("w", start).alias("term"), (F.coalesce(F.get("s", nth + 1), F.size("w")) - start).cast("long").alias("tf")))
+    return words.select("item_id", "w", starts.alias("s")).select("item_id", F.inline(runs))
 
 
 def vocabulary(items: DataFrame, least: int = 2, share: float = 0.5, stop_words=X.STOP_WORDS) -> DataFrame:
@@ -49,13 +72,19 @@ def vocabulary(items: DataFrame, least: int = 2, share: float = 0.5, stop_words=
     return _idf(term_counts(items, stop_words), items, least, share)
 
 
-def tfidf(items: DataFrame, least: int = 2, share: float = 0.5, stop_words=X.STOP_WORDS) -> DataFrame:
-    """Unit-length postings with sublinear term frequency and smooth inverse document frequency.
+def tfidf_weights(items: DataFrame, least: int = 2, share: float = 0.5, stop_words=X.STOP_WORDS, of: DataFrame | None = None) -> DataFrame:
+    """Unit-length postings with sublinear term frequency and smooth inverse document frequency, of all items or of those in `of` (item_id).
 
-    Texts are read once: their counts are written, then the postings, which similarity reads twice.
+    Texts are read once, as their counts are written; the vocabulary is always that of all items.
     """
     counts = written(term_counts(items, stop_words))
-    return written(_weighted(counts, written(_idf(counts, items, least, share)), 1 + F.log("tf")))
+    idf = written(_idf(counts, items, least, share))
+    return _weighted(counts if of is None else counts.join(written(of.select("item_id")), "item_id", "left_semi"), idf, 1 + F.log("tf"))
+
+
+def tfidf(items: DataFrame, least: int = 2, share: float = 0.5, stop_words=X.STOP_WORDS, of: DataFrame | None = None) -> DataFrame:
+    """`tfidf_weights`, written, as similarity reads them twice."""
+    return written(tfidf_weights(items, least, share, stop_words, of))
 
 
 def trigram_counts(items: DataFrame) -> DataFrame:
@@ -120,17 +149,21 @@ def _of(postings: DataFrame | PostingIndex, key: str, wanted: DataFrame) -> Data
 
 
 def profiles(seeds: DataFrame, postings: DataFrame | PostingIndex) -> DataFrame:
-    """(query_id, term, weight): per query the sum, not the mean, of its seeds' vectors."""
+    """(query_id, term, weight): per query the sum, not the mean, of its seeds' vectors.
+
+    Seeds are written, so Spark knows how few they are and leaves the postings in place.
+    """
+    seeds = written(seeds.select("query_id", "item_id"))
     return seeds.join(_of(postings, "item_id", seeds), "item_id").groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
 
 
 def similar(seeds: DataFrame, postings: DataFrame | PostingIndex) -> DataFrame:
     """(query_id, item_id, score) for items that share a term with a query's seeds (query_id, item_id).
 
-    An equi-join over the terms of the seeds only; Spark broadcasts the profile when its size allows and
-    splits frequent terms otherwise.
+    An equi-join over the terms of the seeds only. The profile is written, so Spark knows its size: it broadcasts it when
+    that allows, and the postings stay in place, and splits frequent terms otherwise.
     """
-    p = profiles(seeds, postings).withColumnRenamed("weight", "w")
+    p = written(profiles(seeds, postings).withColumnRenamed("weight", "w"))
     return p.join(_of(postings, "term", p), "term").groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
 
 

@@ -97,12 +97,12 @@ def tfidf_vocab(spark, d):
 
 @query(f"WITH {DOCS_SQL}, {tfidf_sql('d')} SELECT item_id, term, round(weight, 6) AS weight FROM t")
 def tfidf_weights(spark, d):
-    return M.tfidf(documents(spark, d)).withColumn("weight", F.round("weight", 6))
+    return M.tfidf_weights(documents(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"WITH {DOCS_SQL}, {SEEDS_SQL}, {tfidf_sql('d')}, {similar_sql('t', 's')} SELECT query_id, term, round(w, 6) AS weight FROM s_prof")
 def multi_seed_profile(spark, d):
-    return M.profiles(seeds(spark), M.tfidf(documents(spark, d))).withColumn("weight", F.round("weight", 6))
+    return M.profiles(seeds(spark), M.tfidf(documents(spark, d), of=seeds(spark))).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"WITH {DOCS_SQL}, {SEEDS_SQL}, {tfidf_sql('d')}, {similar_sql('t', 's')} SELECT query_id, item_id, CAST(round(CAST(score AS DECIMAL(18, 9)), 6) AS DOUBLE) AS score FROM s")
@@ -117,7 +117,7 @@ def tfidf_recommend(spark, d):
 
 @query(f"WITH {DOCS_SQL}, {tfidf_sql('d')}, e AS (SELECT a.term, round(a.weight * b.weight, 9) AS score FROM t a JOIN t b USING (term) WHERE a.item_id = 7 AND b.item_id = 12 ORDER BY 2 DESC, 1 LIMIT 10) SELECT term, round(score, 3) AS score FROM e")
 def explain_match(spark, d):
-    return M.shared_terms(7, 12, M.tfidf(documents(spark, d)))
+    return M.shared_terms(7, 12, M.tfidf(documents(spark, d), of=spark.createDataFrame([(7,), (12,)], "item_id long")))
 
 
 @query(f"WITH {INTER_SQL}, {CF_SQL} SELECT item_id, term, round(weight, 6) AS weight FROM cw")
