@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,10 +22,22 @@ def combining_marks() -> dict[int, None]:
     return dict.fromkeys(c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c)))
 
 
-@F.pandas_udf(T.StringType())
-def fold_any(texts: pd.Series) -> pd.Series:
-    """Casefolded and stripped of combining marks, for every script."""
-    return texts.str.casefold().str.normalize("NFKD").str.translate(combining_marks())
+#: Texts that `fold_any` has as Python strings at a time.
+FOLDED_AT_ONCE = 64
+
+
+def folded(text: str | None) -> str | None:
+    """Casefolded and stripped of combining marks; ASCII has none."""
+    if text is None or text.isascii():
+        return text and text.lower()
+    return unicodedata.normalize("NFKD", text.casefold()).translate(combining_marks())
+
+
+@F.arrow_udf(T.StringType())
+def fold_any(texts: pa.Array) -> pa.Array:
+    """Casefolded and stripped of combining marks, for every script; a batch is held as Arrow, and a few texts as strings."""
+    some = [pa.array(map(folded, texts.slice(k, FOLDED_AT_ONCE).to_pylist()), pa.string()) for k in range(0, len(texts), FOLDED_AT_ONCE)]
+    return pa.concat_arrays(some) if some else pa.array([], pa.string())
 
 
 def list_items(literal: str | None) -> list[str]:
