@@ -157,8 +157,9 @@ def informative_tags(tags: Column) -> Column:
 def function_word_ratio(c: Column) -> Column:
     """Share of letter runs that are English function words; null for null, 0 without words."""
     words = F.regexp_extract_all(casefold(c), F.lit(f"({LETTERS}+)"))
-    hits = F.size(F.filter(words, lambda w: w.isin(*FUNCTION_WORDS)))
-    return F.when(c.isNotNull(), F.when(F.size(words) == 0, F.lit(0.0)).otherwise(hits / F.size(words)))
+    # Named in a lambda, the words are found once, not once for each use.
+    share = F.transform(F.array(words), lambda w: F.when(F.size(w) == 0, F.lit(0.0)).otherwise(F.size(F.filter(w, lambda x: x.isin(*FUNCTION_WORDS))) / F.size(w)))
+    return F.when(c.isNotNull(), F.get(share, F.lit(0)))
 
 
 def is_english_text(c: Column, least: float = 0.05) -> Column:

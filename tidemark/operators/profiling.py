@@ -161,7 +161,10 @@ def dense_counts(df: DataFrame, value: Column, lo: int, hi: int) -> DataFrame:
 
 
 def banded_sample(df: DataFrame, ratio: Column, edges: list[float], n: int, order: Column) -> DataFrame:
-    """n rows of each half-open band [edges[i], edges[i+1]) in the given order."""
-    band = F.coalesce(*[F.when((ratio >= lo) & (ratio < hi), F.lit(i)) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
-    rows = df.withColumn("band", band).where("band is not null")
+    """n rows of each half-open band [edges[i], edges[i+1]) in the given order.
+
+    The band comes from an explode, below which a filter of bands cannot go: a costly ratio is computed once a row.
+    """
+    of = lambda r: F.coalesce(*[F.when((r >= lo) & (r < hi), F.lit(i)) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
+    rows = df.withColumn("band", F.explode(F.filter(F.transform(F.array(ratio), of), lambda band: band.isNotNull())))
     return rows.withColumn("_n", F.row_number().over(W.partitionBy("band").orderBy(order))).where(F.col("_n") <= n).drop("_n")
