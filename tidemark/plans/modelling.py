@@ -235,11 +235,11 @@ PART_RANKS = f"{INTER_SQL}, {PARTS_SQL}, {SEEDS_SQL}, {tfidf_sql('d')}, {similar
 PART_RRF = f"{PART_RANKS}, rrf AS (SELECT query_id, item_id, {RRF.format('0.5::DOUBLE')} AS score FROM r1 JOIN r2 USING (query_id, item_id))"
 
 
-def both_scores(spark, d):
+def both_scores(spark, d, who=None):
     """((scores, items) by TF-IDF over all documents, (scores, items) by vector over those that have one)."""
-    docs, v = documents(spark, d).select("item_id", "text"), vectors(spark, d)
-    text = M.similar(seeds(spark), M.tfidf(docs))
-    return (text, docs.select("item_id")), (M.dense_similar(M.dense_profiles(seeds(spark), v), v), v.select("item_id").join(docs, "item_id", "left_semi").select("item_id"))
+    docs, v, who = documents(spark, d).select("item_id", "text"), vectors(spark, d), seeds(spark) if who is None else who
+    text = M.similar(who, M.tfidf(docs))
+    return (text, docs.select("item_id")), (M.dense_similar(M.dense_profiles(who, v), v), v.select("item_id").join(docs, "item_id", "left_semi").select("item_id"))
 
 
 def part_scores(spark, d):
@@ -320,13 +320,16 @@ RULES_SQL = f"""pn AS (SELECT doc_id AS item_id, source AS author, {DIGEST_SQL}
 def hybrid_business_rules(spark, d):
     """Fusion, 200 candidates, popularity blend, one per text, two per author, none of the query's own author or text."""
     docs = documents(spark, d)
-    items = pop.popularity(docs, ("n_chars",)).select("item_id", "popularity", c("source").alias("author"), F.md5(X.normalized_text(c("text"))).alias("dedup_key"))
+    items = R.written(pop.popularity(docs.select("item_id", "n_chars", c("source").alias("author")), ("n_chars",)).select("item_id", "popularity", "author"))
     one = spark.createDataFrame(OWN, "query_id int, item_id long")
-    own = one.join(items, "item_id")
-    first, second = (fusion.rank_list(R.written(scores.where("query_id = 1")), fusion.placed(known)) for scores, known in both_scores(spark, d))
+    first, second = (fusion.rank_list(R.written(scores), fusion.placed(known)) for scores, known in both_scores(spark, d, one))
     near = fusion.fused_heads(first, second, one, 200)
-    scores = R.reranked(near.select("query_id", "item_id", "score"), items).select("query_id", "item_id", "score")
-    unique = R.first_copies(scores, items.where("dedup_key is not null"), own.select("query_id", c("dedup_key").alias("own_key"))).select("query_id", "item_id", "score")
+    scores = R.written(R.reranked(near.select("query_id", "item_id", "score"), items).select("query_id", "item_id", "score"))
+    # Of all texts only the candidates' and the query's own are compared.
+    asked = R.written(scores.select("item_id").union(one.select("item_id")).distinct())
+    keys = R.written(docs.join(asked, "item_id", "left_semi").select("item_id", F.md5(X.normalized_text(c("text"))).alias("dedup_key")))
+    own = one.join(items, "item_id").join(keys, "item_id")
+    unique = R.first_copies(scores, keys.where("dedup_key is not null"), own.select("query_id", c("dedup_key").alias("own_key"))).select("query_id", "item_id", "score")
     kept = R.capped(unique, items, own.select("query_id", c("author").alias("own_author")), 2, 0)
     return R.top_k(kept, 10).select("item_id", F.round("score", 4).alias("score"), "author")
 
