@@ -5,6 +5,8 @@ rows; they rank by their scores, and an item that scores zero ranks behind the p
 of ids, less the scored items before it: counted, not sorted. Nor is every item fused. The first k of a list give
 a score that the k-th best must reach; what ranks too low in both lists to reach it is never looked at, so what is
 fused are the heads of the two lists, of a depth that depends on k and the weights alone.
+
+For many queries scored pairs are too many for rows; a `BlockList` gives the same heads and ranks from blocks of scores.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import ranking as R
+from .blocks import BlockList
 
 #: The constant of the fusion: weight / (K + rank).
 K = 60
@@ -40,6 +43,18 @@ class RankList:
     items: DataFrame
     n: int
 
+    def heads(self, queries: DataFrame, d: int) -> list[DataFrame]:
+        """(query_id, item_id), in parts, with ranks up to d among them."""
+        return [self.rows.where(F.col("rank") <= d).select("query_id", "item_id"), first_zeros(self, queries, d, self.items, self.n)]
+
+    def heads_among(self, queries: DataFrame, d: int, items: DataFrame, n: int) -> list[DataFrame]:
+        """(query_id, item_id), in parts, the first d of the n items (item_id, place) among them."""
+        both = self.rows.join(items.select("item_id"), "item_id", "left_semi")
+        return [R.first_k(both, d, ("query_id",), (F.col("rank"),)).select("query_id", "item_id"), first_zeros(self, queries, d, items, n)]
+
+    def ranks_of(self, pairs: DataFrame, name: str) -> DataFrame:
+        return ranks_of(self, pairs, name)
+
 
 def rank_list(scores: DataFrame, items: DataFrame) -> RankList:
     """The list of (query_id, item_id, score) over candidates numbered by `placed`; scores of others are left out.
@@ -110,7 +125,7 @@ def depth(k: int, alphas: tuple[float, ...], same: bool) -> int:
     return max((math.floor((K + k) / w) - K for w in weights if w > 0), default=k)
 
 
-def fused_heads(first: RankList, second: RankList, seeds: DataFrame, k: int, alphas: tuple[float, ...] = (0.5,), most_seeds: int = 1) -> DataFrame:
+def fused_heads(first: RankList | BlockList, second: RankList | BlockList, seeds: DataFrame, k: int, alphas: tuple[float, ...] = (0.5,), most_seeds: int = 1) -> DataFrame:
     """(query_id, item_id, alpha, score): for each query of seeds (query_id, item_id) and weight of the first list, rows
     among which are its k best items but for its seeds, and no seed. `most_seeds` bounds the seeds of a query.
 
@@ -121,18 +136,16 @@ def fused_heads(first: RankList, second: RankList, seeds: DataFrame, k: int, alp
     same = first.n == second.n
     need = k + most_seeds
     d = depth(need, alphas, same)
-    heads = [given.rows.where(F.col("rank") <= d).select("query_id", "item_id") for given in (first, second)]
-    heads += [first_zeros(given, queries, d, given.items, given.n) for given in (first, second)]
+    heads = first.heads(queries, d) + second.heads(queries, d)
     if not same and max(alphas) == 1:
         # The first list alone decides, over the second one's candidates.
-        both = first.rows.join(second.items.select("item_id"), "item_id", "left_semi")
-        heads += [R.first_k(both, need, ("query_id",), (F.col("rank"),)).select("query_id", "item_id"), first_zeros(first, queries, need, second.items, second.n)]
+        heads += first.heads_among(queries, need, second.items, second.n)
     pairs = reduce(DataFrame.unionByName, heads).distinct().join(seeds.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
     if not same:
         pairs = pairs.join(second.items.select("item_id"), "item_id", "left_semi").select("query_id", "item_id")
     pairs = R.written(pairs)
     with ThreadPoolExecutor(2) as pool:
-        by_first, by_second = pool.map(ranks_of, (first, second), (pairs, pairs), ("first_rank", "second_rank"))
+        by_first, by_second = pool.map(lambda given, name: given.ranks_of(pairs, name), (first, second), ("first_rank", "second_rank"))
     ranked = by_first.join(by_second, ["query_id", "item_id"])
     swept = ranked.withColumn("alpha", F.explode(F.array(*map(F.lit, map(float, alphas)))))
     score = F.col("alpha") / (K + F.col("first_rank")) + (1 - F.col("alpha")) / (K + F.col("second_rank"))
