@@ -64,18 +64,18 @@ top AS MATERIALIZED (SELECT model, query_id, item_id, score, CAST(row_number() O
 ranks AS (SELECT md.model, q.query_id, coalesce(rank, 0) AS target_rank FROM q CROSS JOIN (SELECT unnest({MODELS}) AS model) md LEFT JOIN top ON top.model = md.model AND top.query_id = q.query_id AND top.item_id = target)"""
 
 
-def liked(spark, d):
+def liked(spark, d, inter=None):
     described = table(spark, d, "part").where("p_size >= 15").select(c("p_partkey").alias("item_id"))
-    return E.liked(interactions(spark, d), described)
+    return E.liked(interactions(spark, d) if inter is None else inter, described)
 
 
 def tags(spark, d):
     return table(spark, d, "part").select(c("p_partkey").alias("item_id"), F.explode(X.informative_tags(F.array("p_type", "p_brand"))).alias("tag"))
 
 
-def pairs(spark, d):
+def pairs(spark, d, inter=None):
     """(query_id, query, target); the reader is the query's id."""
-    return E.test_pairs(liked(spark, d), READERS, SEED).withColumnRenamed("user_id", "query_id")
+    return E.test_pairs(liked(spark, d, inter), READERS, SEED).withColumnRenamed("user_id", "query_id")
 
 
 def training(inter, q):
@@ -90,17 +90,19 @@ def safe_popularity(spark, d, q, inter):
     return pop.popularity(counts, ("n_readers",)).join(authors, "item_id").select("item_id", "author", "popularity")
 
 
-def test_sets(spark, d, n=READERS):
+def test_sets(spark, d, n=READERS, inter=None):
     """Both test sets (query_id, query, target): any two liked items of a reader, and two that share a tag."""
-    good = R.written(liked(spark, d))
+    good = R.written(liked(spark, d, inter))
     sets = {"all_pairs": E.test_pairs(good, n, SEED), "related_pairs": E.related_pairs(good, tags(spark, d), n, SEED)}
     return {name: R.written(q.select(c("user_id").alias("query_id"), "query", "target")) for name, q in sets.items()}
 
 
-def shared(spark, d):
-    """What no test set changes: written interactions, text postings and vectors of the parts."""
+def shared(spark, d, names=MODELS):
+    """What no test set changes: written interactions, and the text postings and vectors of the parts if a named model has them."""
     text = parts(spark, d)
-    return R.written(interactions(spark, d)), M.tfidf(text), R.written(U.embed(text, lambda: U.hashed_words))
+    tfidf = M.tfidf(text) if set(names) - {"popularity", "cf"} else None
+    vectors = R.written(U.embed(text, lambda: U.hashed_words)) if set(names) - {"popularity", "tfidf", "cf", "hybrid_cf"} else None
+    return R.written(interactions(spark, d)), tfidf, vectors
 
 
 def modelled(spark, d, q, parts_of):
@@ -122,8 +124,9 @@ def listed(spark, d, q, parts_of, names=MODELS):
 
 def lists(spark, d, names=MODELS):
     """(queries, items, top lists of the named models) of the readers of all_pairs."""
-    q = R.written(pairs(spark, d))
-    return q, *listed(spark, d, q, shared(spark, d), names)
+    parts_of = shared(spark, d, names)
+    q = R.written(pairs(spark, d, parts_of[0]))
+    return q, *listed(spark, d, q, parts_of, names)
 
 
 @query(f"WITH {LIKED_SQL} SELECT * FROM liked")
@@ -209,7 +212,8 @@ SELECT '{name}' AS test_set, * FROM m JOIN w USING (model))"""
 @query(compare_sql("all_pairs", ALL_PAIRS_SQL) + " UNION ALL BY NAME " + compare_sql("related_pairs", RELATED_SQL + ", q AS (SELECT user_id AS query_id, query, target FROM related)"))
 def eval_compare(spark, d):
     """Every model on both test sets of 2,000 readers, with the paired counts against tfidf that the test's p-value needs."""
-    out, parts_of, sets = None, shared(spark, d), test_sets(spark, d)
+    out, parts_of = None, shared(spark, d)
+    sets = test_sets(spark, d, inter=parts_of[0])
     with ThreadPoolExecutor(len(sets)) as pool:
         done = list(pool.map(lambda q: listed(spark, d, q, parts_of), sets.values()))
     for (name, q), (items, top) in zip(sets.items(), done, strict=True):
@@ -226,8 +230,9 @@ top AS MATERIALIZED (SELECT alpha AS model, query_id, item_id, CAST(row_number()
 @query(f"WITH {SWEPT_SQL}, {metrics_sql(models='(SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS model)')} SELECT model AS alpha, * EXCLUDE (model) FROM m")
 def alpha_metrics(spark, d):
     """The metrics of the text and vector hybrid per alpha, over the readers of all_pairs."""
-    q = test_sets(spark, d)["all_pairs"]
-    items, known, made = modelled(spark, d, q, shared(spark, d))
+    parts_of = shared(spark, d)
+    q = R.written(pairs(spark, d, parts_of[0]))
+    items, known, made = modelled(spark, d, q, parts_of)
     hybrid = next(m for m in known if m.name == "hybrid")
     with ThreadPoolExecutor(2) as pool:
         list(pool.map(made.ranks, (hybrid.first, hybrid.second)))
