@@ -100,10 +100,17 @@ def trigrams(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(_weighted(counts, idf, F.col("tf"))), idf
 
 
-def reader_postings(interactions: DataFrame) -> DataFrame:
-    """Readers as terms: every distinct (item_id, user_id) weighs 1 / sqrt(readers of the item)."""
+def reader_postings(interactions: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Readers as terms: every distinct (item_id, user_id) weighs 1 / sqrt(readers of the item).
+
+    With `of` (item_id) only of the readers of those items, which is all that their similarity reads. Pass written
+    interactions then: they are read three times, and few rows but the counts per item are moved.
+    """
     pairs = interactions.select("item_id", F.col("user_id").alias("term")).where("item_id is not null and term is not null").distinct()
     readers = pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    if of is not None:
+        asked = written(interactions.join(F.broadcast(of.select("item_id").distinct()), "item_id", "left_semi").select("user_id").distinct())
+        pairs = interactions.join(asked, "user_id", "left_semi").select("item_id", F.col("user_id").alias("term")).where("item_id is not null").distinct()
     return pairs.join(readers, "item_id").select("item_id", "term", (1 / F.sqrt("n")).alias("weight"))
 
 

@@ -242,11 +242,11 @@ def both_scores(spark, d, who=None):
     return (text, docs.select("item_id")), (M.dense_similar(M.dense_profiles(who, v), v), v.select("item_id").join(docs, "item_id", "left_semi").select("item_id"))
 
 
-def part_scores(spark, d):
+def part_scores(spark, d, inter=None):
     """((scores, items) by TF-IDF over all parts, (scores, items) by readers over those with enough)."""
-    items, inter = parts(spark, d), R.written(interactions(spark, d))
+    items, inter = parts(spark, d), R.written(interactions(spark, d)) if inter is None else inter
     supported = R.written(pop.readers(inter).where(c("n_readers") >= MIN_READERS).select("item_id"))
-    return (M.similar(seeds(spark), M.tfidf(items)), items.select("item_id")), (M.similar(seeds(spark), R.written(M.reader_postings(inter))), supported)
+    return (M.similar(seeds(spark), M.tfidf(items)), items.select("item_id")), (M.similar(seeds(spark), R.written(M.reader_postings(inter, seeds(spark)))), supported)
 
 
 def heads(spark, pair, k, alphas=(0.5,)):
@@ -282,7 +282,9 @@ blend AS (SELECT query_id, item_id, round(0.8::DOUBLE * sim + 0.2::DOUBLE * coal
 
 
 def part_reranked(spark, d):
-    return R.reranked(heads(spark, part_scores(spark, d), 200).select("query_id", "item_id", "score"), item_popularity(spark, d))
+    inter = R.written(interactions(spark, d))
+    near = R.written(heads(spark, part_scores(spark, d, inter), 200).select("query_id", "item_id", "score"))
+    return R.reranked(near, item_popularity(spark, d, inter))
 
 
 @query(f"WITH {RERANK_SQL.format(PART_RRF + ', ' + READ_SQL)} SELECT query_id, item_id, round(score, 6) AS score, round(sim, 6) AS similarity FROM blend")
